@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mnemo.llm import mixing, quality, secrets_scan, substring, toxicity
+from mnemo.llm import decontam, hamming, licences, mixing, neardup, quality, secrets_scan, substring, toxicity
 from mnemo.llm.common import table
 
 
@@ -30,6 +31,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(rows, rows.where(F.col("vec_id") % hamming.QUERY_EVERY == 0))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -67,5 +85,16 @@ select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as sour
 from taken"""
 
 
+OP7_SQL = """with codes as (
+  select vec_id, list_transform(embedding, lambda x: coalesce(x >= 0 and not isnan(x), false)) as bits
+  from embeddings where vec_id is not null and embedding is not null),
+pairs as (
+  select q.vec_id as query_id, r.vec_id,
+         len(list_filter(range(1, len(q.bits) + 1), lambda i: q.bits[i] <> r.bits[i])) as distance
+  from codes q, codes r where q.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from pairs)
+select query_id, cast(rank as bigint) as rank, vec_id, cast(distance as bigint) as distance from ranked where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    return {"op3_mixing": OP3_SQL, "op7_hamming": OP7_SQL, "op8_licences": licences.oracle_sql()}
