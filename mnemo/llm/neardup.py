@@ -244,3 +244,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     found = grouped(docs, Scratch(docs.sparkSession, "neardup"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row, with all its columns, of each component: the one of its smallest doc_id. Rows with a null doc_id all stay.
+
+    Rows alike in the kept doc_id are one document: of several one stays, the one of the least text.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "representatives")
+    found = grouped(docs, scratch)
+    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    gone = scratch.table(gone.withColumnRenamed("doc_id", "gone_id"), "gone")
+    left = docs.join(small(gone, gone.count(), 40), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    twice = scratch.table(left.where("doc_id is not null").groupBy(F.col("doc_id").alias("twice_id")).agg(F.count("*").alias("n_twice")).where("n_twice > 1"), "twice")
+    n = twice.count()
+    if not n:
+        return left
+    # Repeated ids are rare and met only here; alike rows go through one aggregate, not a window over all texts.
+    again = left.join(small(twice.select("twice_id"), n, 40), F.col("doc_id") == F.col("twice_id"), "left_semi")
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    row = F.struct(*(F.col(f"`{c}`").alias(v) for c, v in names.items()))
+    one = again.groupBy(F.col("doc_id").alias("k")).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select(*(F.col(f"row.{v}").alias(c) for c, v in names.items()))
+    return left.join(small(twice.select("twice_id"), n, 40), F.col("doc_id") == F.col("twice_id"), "left_anti").unionByName(one)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import decontam, hamming, licences, mixing, neardup, quality, secrets_scan, substring, toxicity
+from mnemo.llm import decontam, hamming, licences, mixing, neardup, quality, secrets_scan, substring, token_store, toxicity
 from mnemo.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return hamming.top_k(rows, rows.where(F.col("vec_id") % hamming.QUERY_EVERY == 0))
