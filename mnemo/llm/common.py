@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A small side is broadcast only if its rows, at a fixed width, stay below this; otherwise the join is shuffled.
 BROADCAST_BYTES = 16 << 20
+BATCH_ROWS = 1000
 #: Words remembered by a worker while it scans; the memo is emptied beyond that, which changes no result.
 MEMO_WORDS = 300_000
 
@@ -132,7 +133,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None]]) -> DataFrame:
-    """mapInArrow with state per task: start() is called once in a task and returns what maps each batch."""
+    """mapInArrow with state per task: start() is called once in a task and returns what maps each batch.
+
+    Texts are long: where the session has Spark's default of 10,000 rows to a batch, it is lowered to BATCH_ROWS.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()

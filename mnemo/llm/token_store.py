@@ -38,11 +38,15 @@ WIDTH = 2
 #: Chunks: least and most ids, and the mean distance of cuts as a power of two.
 LEAST, MOST, BITS = 64, 4096, 9
 ROLL = 8
-_MEMO_PIECES = 400_000
+_MEMO_PIECES, _JOINED = 250_000, 512
+#: Marks that, after a letter at a piece's end, are a pre-token of their own.
+_MARKS = ".,;:!?#$%&*|"
 #: White space next to a space: the pieces on both sides depend on each other there.
 _RUN = re.compile(r"\s (?:\s|$)")
 _pieces: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
+#: Which ids begin with a space (written as U+0120 in the vocabulary).
+_opens: dict[str, np.ndarray] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -63,37 +67,59 @@ class Encoder:
             if tokenizer.get_vocab_size() > 1 << (8 * WIDTH):
                 raise ValueError(f"ids of {name} don't fit in {WIDTH} bytes")
             _tokenizers[name] = tokenizer
-        self.tokenizer, self.memo = _tokenizers[name], _pieces.setdefault(name, {})
+            if hasattr(tokenizer.model, "_resize_cache"):
+                tokenizer.model._resize_cache(0)  # pieces are remembered here
+            vocabulary = tokenizer.get_vocab()
+            _opens[name] = np.zeros(1 << (8 * WIDTH), bool)
+            _opens[name][[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.tokenizer, self.memo, self.opens = _tokenizers[name], _pieces.setdefault(name, {}), _opens[name]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
+    def each(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of single pieces, each after a space. Those without white space at their edges are encoded as one text and told apart by ids that begin with a space."""
+        joinable = [p for p in pieces if p[:1].strip() and p[-1:].strip()]
+        apart = [p for p in pieces if not (p[:1].strip() and p[-1:].strip())]
+        out: dict[str, bytes] = {}
+        groups = [joinable[i : i + _JOINED] for i in range(0, len(joinable), _JOINED)]
+        for low in range(0, len(groups), 16):
+            some = groups[low : low + 16]
+            for group, ids in zip(some, self.encode([" " + " ".join(g) for g in some])):
+                at = (np.nonzero(self.opens[np.frombuffer(ids, "<u2")])[0] * WIDTH).tolist()
+                if len(at) != len(group) or at[0]:
+                    apart += group
+                    continue
+                at.append(len(ids))
+                out.update(zip(group, [ids[a:b] for a, b in zip(at, at[1:])]))
+        for low in range(0, len(apart), 2048):
+            some = apart[low : low + 2048]
+            out.update(zip(some, self.encode([" " + p for p in some])))
+        return out
+
     def __call__(self, batch: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > _MEMO_PIECES:
             memo.clear()
-        split: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in batch:
-            if _RUN.search(text):
-                split.append(None)
-                continue
-            first, *rest = text.split(" ")
-            pieces = [first, *(" " + p for p in rest)]
-            new.update(dict.fromkeys(p for p in pieces if p not in memo))
-            split.append(pieces)
-        names = list(new)
-        local = {}
-        for low in range(0, len(names), 4096):
-            local.update(zip(names[low : low + 4096], self.encode(names[low : low + 4096])))
-        memo.update((k, v) for k, v in local.items() if len(k) <= 64)
-        get = memo.get
+        split: list[list[str] | None] = [None if _RUN.search(text) else text.split(" ") for text in batch]
+        firsts = self.encode([pieces[0] if pieces else text for text, pieces in zip(batch, split)])
+        needed: set[str] = set()
+        for pieces in split:
+            if pieces:
+                needed.update(pieces[1:])
+        new = needed - memo.keys()
+        ends = {p: core for p in new if (core := p.rstrip(_MARKS)) != p and core[-1:].isalpha()}
+        marks = {p: p[len(core) :] for p, core in ends.items()}
+        bare = (new - ends.keys()) | (set(ends.values()) - memo.keys())
+        memo.update(self.each(list(bare)))
+        apart = list(set(marks.values()))
+        after = dict(zip(apart, self.encode(apart)))
+        memo.update((p, memo[core] + after[marks[p]]) for p, core in ends.items())
         out = []
-        for text, pieces in zip(batch, split):
-            if pieces is None:
-                out += self.encode([text])
-            else:
-                out.append(b"".join([v if (v := get(p)) is not None else local[p] for p in pieces]))
+        for first, pieces in zip(firsts, split):
+            out.append(first + b"".join(map(memo.__getitem__, pieces[1:])) if pieces and len(pieces) > 1 else first)
+        for piece in [p for p in new | bare if len(p) > 64]:
+            del memo[piece]
         return out
 
 
