@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 BATCH_ROWS = 1000
 #: Words remembered by a worker while it scans; the memo is emptied beyond that, which changes no result.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -98,7 +98,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_: str = "vec_id",
         every = probes[0]
         for p in probes[1:]:
             every = every.unionByName(p)
-        pairs = every.join(index, ["segment", "value"])
+        pairs = every.join(index.hint("merge"), ["segment", "value"])  # neither side has a bound
         distances = [_distance("code", "other", s) for s in segments]
         least = F.least(*distances) if len(distances) > 1 else distances[0]
         first = F.lit(None).cast("int")

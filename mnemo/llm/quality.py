@@ -34,7 +34,7 @@ _RESERVED = 2
 class Params:
     buckets: int = 1 << 17
     dim: int = 8
-    shortest: int = 2
+    shortest: int = 3
     longest: int = 4
     epochs: int = 5
     rate: float = 0.5
@@ -128,9 +128,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_ch
 def logits(weights: np.ndarray, p: Params):
     """A function from a batch to the log-odds of its texts; it remembers words' values from batch to batch."""
 
+    own, span, crc32 = weights[_RESERVED:].tolist(), p.buckets - _RESERVED, zlib.crc32
+
     class Memo(dict):
         def __missing__(self, word: bytes) -> float:
-            value = float(weights[features(word, p)].mean())
+            # The mean of the word's features, as features() has them.
+            marked = b"<" + word + b">"
+            total, count = own[crc32(marked) % span], 1
+            for n in range(p.shortest, p.longest + 1):
+                for i in range(len(marked) - n + 1):
+                    total += own[crc32(marked[i : i + n], n) % span]
+                count += max(0, len(marked) - n + 1)
+            value = total / count
             if len(word) <= 64:
                 self[word] = value
             return value

@@ -14,7 +14,7 @@ Reading back joins recipes, packs and the chunks that are in another row's pack,
 recomputes every root; a difference raises an error. Only addresses are shuffled to find first holders.
 
 Texts are encoded by the tokenizers library. A text is split before single spaces, where this vocabulary's pre-tokenizer always
-splits; equal pieces are encoded once per worker, and a text with other runs of spaces is encoded whole.
+splits; equal pieces are encoded once while they are remembered, and a text with other runs of spaces is encoded whole.
 
 Defined cases: null texts are empty; an empty text is its end id; documents alike in doc_id are separate recipes in the order of
 their row_key; null doc_ids come first; an empty table makes an empty store; other columns aren't stored.
@@ -38,15 +38,11 @@ WIDTH = 2
 #: Chunks: least and most ids, and the mean distance of cuts as a power of two.
 LEAST, MOST, BITS = 64, 4096, 9
 ROLL = 8
-_MEMO_PIECES, _JOINED = 250_000, 512
+_MEMO_PIECES, _JOINED = 200_000, 512
 #: Marks that, after a letter at a piece's end, are a pre-token of their own.
 _MARKS = ".,;:!?#$%&*|"
 #: White space next to a space: the pieces on both sides depend on each other there.
 _RUN = re.compile(r"\s (?:\s|$)")
-_pieces: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
-#: Which ids begin with a space (written as U+0120 in the vocabulary).
-_opens: dict[str, np.ndarray] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -56,23 +52,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Texts to the bytes of their ids. What it remembers lives as long as the worker."""
+    """Texts to the bytes of their ids. It and what it remembers live as long as a task."""
 
     def __init__(self, name: str):
-        if name not in _tokenizers:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(name if "/" in name else vocabulary_path(name))
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            if tokenizer.get_vocab_size() > 1 << (8 * WIDTH):
-                raise ValueError(f"ids of {name} don't fit in {WIDTH} bytes")
-            _tokenizers[name] = tokenizer
-            if hasattr(tokenizer.model, "_resize_cache"):
-                tokenizer.model._resize_cache(0)  # pieces are remembered here
-            vocabulary = tokenizer.get_vocab()
-            _opens[name] = np.zeros(1 << (8 * WIDTH), bool)
-            _opens[name][[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.tokenizer, self.memo, self.opens = _tokenizers[name], _pieces.setdefault(name, {}), _opens[name]
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(name if "/" in name else vocabulary_path(name))
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if self.tokenizer.get_vocab_size() > 1 << (8 * WIDTH):
+            raise ValueError(f"ids of {name} don't fit in {WIDTH} bytes")
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # pieces are remembered here
+        #: Which ids begin with a space (written as U+0120 in the vocabulary).
+        self.opens = np.zeros(1 << (8 * WIDTH), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.memo: dict[str, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
