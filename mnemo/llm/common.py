@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -132,6 +133,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Gives memory that is free in this process back to the system; workers outlive tasks and share a budget with their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None]]) -> DataFrame:
     """mapInArrow with state per task: start() is called once in a task and returns what maps each batch.
 
@@ -149,6 +160,8 @@ def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Recor
                 yield out
             elif out is not None:
                 yield from out
+        del each
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ class Params:
     shortest: int = 3
     longest: int = 4
     epochs: int = 5
-    rate: float = 0.5
+    rate: float = 0.1
     #: Bounds of the training sample: documents, and characters of them in all.
     max_docs: int = 4000
     max_chars: int = 10_000_000

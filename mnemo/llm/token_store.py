@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import Scratch, arrow_map, small
+from mnemo.llm.common import Scratch, arrow_map, small, trim
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 WIDTH = 2
 #: Chunks: least and most ids, and the mean distance of cuts as a power of two.
 LEAST, MOST, BITS = 64, 4096, 9
 ROLL = 8
-_MEMO_PIECES, _JOINED = 200_000, 512
+_MEMO_PIECES, _JOINED = 150_000, 512
 #: Marks that, after a letter at a piece's end, are a pre-token of their own.
 _MARKS = ".,;:!?#$%&*|"
 #: White space next to a space: the pieces on both sides depend on each other there.
@@ -67,6 +67,7 @@ class Encoder:
         self.opens = np.zeros(1 << (8 * WIDTH), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.memo: dict[str, bytes] = {}
+        trim()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
