@@ -8,6 +8,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 # Kinds of facts; anything else is unknown.
 KINDS = ("preference", "personal_fact", "project_fact", "policy", "decision", "task", "event", "claim", "quote", "relationship")
@@ -100,11 +101,11 @@ def plan(raw: str | None, question: str, sources: tuple[str, ...] = SOURCES) ->
     return {"query": text("query") or question, "source": s if (s := text("source")) in sources else None, "after": date("after"), "before": date("before"), "listy": got.get("listy") is True}
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def facts_udf(raw: pd.Series) -> pd.Series:
     return raw.map(facts)
 
 
-@F.pandas_udf("array<struct<statement:string,kind:string,confidence:double,evidence:string>>")
+@F.pandas_udf(ArrayType(StructType().add("statement", StringType()).add("kind", StringType()).add("confidence", DoubleType()).add("evidence", StringType())))
 def typed_facts_udf(raw: pd.Series) -> pd.Series:
     return raw.map(typed_facts)

@@ -1,0 +1,326 @@
+"""Queries over the driver's tables, each an operator of the engine, and the SQL that says what it must return."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mnemo.functions import text as T
+from mnemo.functions import times, urls
+from mnemo.operators import chunking, evaluate, graph, memory, search, tenancy
+from mnemo.operators import predicates as P
+from mnemo.sources import readers
+
+CAPTURED = 1_700_000_000
+#: A time within the orders' dates, and one within the events'.
+T_ORDERS, T_EVENTS = 850_000_000, 1_705_000_000
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as the engine's: the language as namespace, a capture time by id."""
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("lang").alias("container_tag"), "source", "text", (F.col("doc_id") + CAPTURED).alias("captured_at"))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of facts for each customer: an order is superseded by the next."""
+    o = _t(spark, sf_dir, "orders")
+    at = F.unix_timestamp("o_orderdate")
+    chain = Window.partitionBy("o_custkey").orderBy(at, "o_orderkey")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.lit("default").alias("container_tag"), F.col("o_custkey").alias("customer"), F.concat("o_orderstatus", F.lit(" order of "), F.col("o_custkey").cast("string")).alias("statement"),
+        at.alias("learned_at"), F.lead(at).over(chain).alias("superseded_at"), F.when(F.col("o_orderkey") % 7 == 0, at + 86_400 * 400).alias("valid_until"),
+        (F.col("o_orderkey") % 11 == 0).alias("needs_review"), F.lead(at).over(chain).isNull().alias("is_latest"), F.lead("o_orderkey").over(chain).alias("superseded_by"),
+    )
+
+
+_FACTS_SQL = """facts as (
+  select o_orderkey as id, o_custkey as customer, o_orderstatus || ' order of ' || cast(o_custkey as varchar) as statement, cast(epoch(o_orderdate) as bigint) as learned_at,
+         lead(cast(epoch(o_orderdate) as bigint)) over w as superseded_at, case when o_orderkey % 7 = 0 then cast(epoch(o_orderdate) as bigint) + 86400 * 400 end as valid_until,
+         o_orderkey % 11 = 0 as needs_review, lead(o_orderkey) over w is null as is_latest, lead(o_orderkey) over w as superseded_by
+  from orders window w as (partition by o_custkey order by epoch(o_orderdate), o_orderkey))"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as edges of the default namespace."""
+    e = _t(spark, sf_dir, "events")
+    at = F.unix_timestamp("ts")
+    return e.select(
+        F.col("event_id").alias("id"), F.lit("default").alias("container_tag"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"),
+        F.get_json_object("props", "$.k").alias("object"), at.alias("valid_from"), at.alias("captured_at"), F.col("event_type").isin("signup", "error").alias("singular"),
+    ).where("object is not null")
+
+
+_EDGES_SQL = """edges as (
+  select event_id as id, cast(user_id as varchar) as subject, event_type as predicate, json_extract_string(props, '$.k') as object,
+         cast(floor(epoch(ts)) as bigint) as valid_from, event_type in ('signup', 'error') as singular
+  from events where json_extract_string(props, '$.k') is not null)"""
+
+
+@query(r"""with clean as (
+  select doc_id, regexp_replace(text, '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b', '[REDACTED:aws_key]', 'g') as text from documents)
+select min(doc_id) as doc_id, sha256(text) as content_hash, count(*) as copies from clean group by text""")
+def doc_dedup_exact(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", T.content_sha256(F.col("text")).alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query(r"""select doc_id, regexp_replace(text, '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b', '[REDACTED:aws_key]', 'g') as clean,
+       regexp_matches(text, '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b') as secret from documents""")
+def scrub_secrets(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.scrub(F.col("text")).alias("clean"), T.contains_secret(F.col("text")).alias("secret"))
+
+
+@query("select doc_id, 1700000000 + doc_id as captured_at from documents where lang = 'en' and 1700000000 + doc_id < 1700000800 order by captured_at desc, doc_id limit 50")
+def timeline_page(spark, sf_dir):
+    d = _documents(spark, sf_dir).where(P.in_tag("en") & (F.col("captured_at") < CAPTURED + 800))
+    return d.orderBy(F.desc("captured_at"), "doc_id").limit(50).select("doc_id", "captured_at")
+
+
+@query(f"with {_FACTS_SQL} select id, statement from facts where is_latest and not needs_review and (valid_until is null or valid_until >= {T_ORDERS})")
+def active_facts(spark, sf_dir):
+    return _facts(spark, sf_dir).where(P.in_tag("default") & P.active(T_ORDERS)).select("id", "statement")
+
+
+@query(f"""with {_FACTS_SQL} select id, statement, learned_at from facts where not needs_review and learned_at <= {T_ORDERS}
+  and (superseded_at is null or superseded_at > {T_ORDERS}) and (valid_until is null or valid_until > {T_ORDERS}) order by learned_at desc, id limit 1000""")
+def memories_as_of(spark, sf_dir):
+    return memory.as_of(_facts(spark, sf_dir), "default", T_ORDERS, 1000).select("id", "statement", "learned_at")
+
+
+@query(f"with {_FACTS_SQL} select id, customer, superseded_by, is_latest from facts")
+def supersession_chain(spark, sf_dir):
+    """Every order demoted by its successor, by the operator that applies pairs."""
+    f = _facts(spark, sf_dir)
+    pairs = f.where("superseded_by is not null").select(F.col("id").alias("old_id"), F.col("superseded_by").alias("new_id"), F.col("superseded_by").alias("seq"))
+    before = f.withColumn("is_latest", F.lit(True)).withColumn("superseded_by", F.lit(None).cast("long")).withColumn("superseded_at", F.lit(None).cast("long"))
+    return memory.superseded(before, pairs, T_ORDERS).select("id", "customer", "superseded_by", "is_latest")
+
+
+@query("""with cases as (select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then 'NEW' when 1 then 'UPDATE' when 2 then 'DUPLICATE' else 'EXTEND' end as relation,
+  case when l_quantity > 25 then 'high' else 'low' end as confidence, cast(l_linenumber - 2 as integer) as ref from lineitem),
+named as (select *, case when relation = 'UPDATE' and confidence = 'high' and ref between 1 and 3 then 'update' when relation = 'UPDATE' then 'needs_review'
+  when relation = 'DUPLICATE' and confidence = 'high' then 'drop' when relation = 'EXTEND' and ref between 1 and 3 then 'extend' else 'new' end as action from cases)
+select action, case when action in ('update', 'extend') then ref end as ref, count(*) as n from named group by 1, 2""")
+def reconcile_actions(spark, sf_dir):
+    line = F.col("l_linenumber")
+    relation = F.when(line % 4 == 0, "NEW").when(line % 4 == 1, "UPDATE").when(line % 4 == 2, "DUPLICATE").otherwise("EXTEND")
+    verdict = memory.action(relation, F.when(F.col("l_quantity") > 25, "high").otherwise("low"), (line - 2).cast("int"), F.lit(3))
+    return _t(spark, sf_dir, "lineitem").select(verdict.alias("v")).groupBy("v.action", "v.ref").agg(F.count("*").alias("n"))
+
+
+@query("""with own as (select c_custkey as principal, n_name as scope, 0 as source from customer join nation on n_nationkey = c_nationkey),
+given as (select c_custkey, n_name, 1 from customer join nation on n_regionkey = c_custkey % 5 where c_custkey % 3 > 0),
+every as (select * from own union all select * from given),
+firsts as (select principal, scope, min(source) as source from every group by 1, 2)
+select principal, scope, cast(row_number() over (partition by principal order by source, scope) as integer) as place from firsts""")
+def scope_visible(spark, sf_dir):
+    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    principals = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("principal"), F.col("n_name").alias("own_scope"))
+    acl = c.join(n, F.col("n_regionkey") == F.col("c_custkey") % 5).select(F.col("c_custkey").alias("principal"), F.col("n_name").alias("scope"), F.element_at(F.array(F.lit("none"), F.lit("read"), F.lit("admin")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("capability"), F.lit(0).cast("long").alias("created_at"))
+    return tenancy.visible(acl, principals).select("principal", "scope", "place")
+
+
+@query("select customer.c_custkey as id, customer.c_name as name, coalesce(supplier.s_name, customer.c_name) as canonical from customer left join supplier on supplier.s_suppkey = customer.c_custkey")
+def entity_resolve(spark, sf_dir):
+    c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
+    aliases = s.join(c, F.col("s_suppkey") == F.col("c_custkey")).select(F.lit("default").alias("container_tag"), F.concat(F.lit(" ("), F.upper("c_name"), F.lit(").")).alias("alias"), F.col("s_name").alias("canonical"), F.lit(0).alias("created_at"))
+    names = c.select(F.lit("default").alias("container_tag"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return tenancy.resolved(names, aliases).select("id", "name", "canonical")
+
+
+@query("""with q as (select embedding from embeddings where vec_id = 0),
+scored as (select e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 6) as score from embeddings e, q)
+select vec_id, score from scored where score >= 0.1 order by score desc, vec_id limit 20""")
+def dense_topk(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings")
+    return search.dense(rows, list(rows.where("vec_id = 0").first()["embedding"]), 20, 0.1).select("vec_id", "score")
+
+
+@query("""with scored as (select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored where score >= 0.3)
+select query_id, id, score, cast(rank as integer) as rank from ranked where rank <= 5""")
+def neighbours_topk(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings")
+    return search.nearest(rows.where("vec_id % 50 = 0"), rows, search.NEIGHBOURS, 0.3, tag="label")
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: strlen(w) >= {})"
+
+
+@query(f"select doc_id, token, count(*) as tf from (select doc_id, unnest({_TOKENS.format('text', 2)}) as token from documents) group by doc_id, token")
+def sparse_tf(spark, sf_dir):
+    return search.term_frequencies(_t(spark, sf_dir, "documents"))
+
+
+_SPARSE_SQL = f"""tf as (select doc_id, token, count(*) as tf from (select doc_id, unnest({_TOKENS.format('text', 2)}) as token from documents) group by 1, 2),
+weights as (select token, ln(1 + ((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf group by token),
+asked as (select item_id as query_id, token, count(*) as q from (select item_id, unnest({_TOKENS.format('text', 2)}) as token from benchmark) group by 1, 2),
+scored as (select query_id, doc_id, round(sum(q * tf * idf), 6) as score from asked join weights using (token) join tf using (token) group by 1, 2),
+ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored)"""
+
+
+def _sparse(spark, sf_dir, k):
+    d, b = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    tf = search.term_frequencies(d)
+    asked = search.term_frequencies(b, "item_id").withColumnRenamed("item_id", "query_id")
+    return search.sparse(tf, search.idf(tf, d.count()), asked, k)
+
+
+@query(f"with {_SPARSE_SQL} select query_id, doc_id, score, cast(rank as integer) as rank from ranked where rank <= 10")
+def sparse_topk(spark, sf_dir):
+    return _sparse(spark, sf_dir, 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"""with {_SPARSE_SQL}, one as (select query_id, doc_id, rank from ranked where rank <= 10),
+two as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id desc) as rank from one)
+select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from (select * from one union all select * from two) group by 1, 2""")
+def rrf_fusion(spark, sf_dir):
+    one = _sparse(spark, sf_dir, 10).select("query_id", "doc_id", "rank")
+    two = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("doc_id"))))
+    return search.fuse([one, two], ["query_id", "doc_id"])
+
+
+@query(f"""with {_SPARSE_SQL},
+golden as (select distinct item_id as query_id, doc_id from benchmark join documents on contains(documents.text, benchmark.text)),
+best as (select g.query_id, min(r.rank) as rank from golden g left join ranked r on r.query_id = g.query_id and r.doc_id = g.doc_id and r.rank <= 10 group by 1)
+select count(*) as n, round(avg(case when rank between 1 and 1 then 1.0 else 0.0 end), 6) as h1, round(avg(case when rank between 1 and 3 then 1.0 else 0.0 end), 6) as h3,
+  round(avg(case when rank between 1 and 10 then 1.0 else 0.0 end), 6) as h10, cast(count(*) - count(rank) as bigint) as miss, round(avg(case when rank is null then 0.0 else 1.0 / rank end), 6) as mrr from best""")
+def metrics_hk_mrr(spark, sf_dir):
+    d, b = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    # The benchmark is small by nature; that each text is looked for in each document is the definition of the golden set.
+    golden = d.join(F.broadcast(b.select("item_id", F.col("text").alias("item"))), F.contains(d["text"], F.col("item"))).select(F.col("item_id").alias("query_id"), "doc_id", F.lit("").alias("title"))
+    results = _sparse(spark, sf_dir, 10).select("query_id", "doc_id", "rank", F.lit("").alias("title"))
+    return evaluate.hit_rates(evaluate.ranks(golden, results))
+
+
+@query(r"""with words as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: strlen(w) >= 3)) as q from benchmark)
+select a.item_id, b.item_id as other, round(case when len(a.q) > 0 then len(list_intersect(a.q, b.q)) / cast(len(a.q) as double) else 0 end, 6) as overlap from words a join words b on b.item_id = a.item_id + 1""")
+def title_overlap(spark, sf_dir):
+    b = _t(spark, sf_dir, "benchmark")
+    other = b.select(F.col("item_id").alias("other"), F.col("text").alias("title"))
+    return b.join(other, F.col("other") == F.col("item_id") + 1).select("item_id", "other", F.round(T.title_overlap(F.col("text"), F.col("title")), 6).alias("overlap"))
+
+
+@query("""with hits as (select l_orderkey * 10 + l_linenumber as hit_pos, l_partkey as doc_id, case when l_suppkey % 3 = 0 then '' else cast(l_suppkey as varchar) end as reference from lineitem where l_orderkey <= 2000),
+first as (select doc_id, min(hit_pos) as first_pos, count(*) as chunks, arg_min(reference, hit_pos) as reference from hits group by doc_id),
+claims as (select *, row_number() over (partition by reference order by first_pos, doc_id) as claim from first)
+select doc_id, first_pos, reference, cast(chunks as integer) as n_chunks from claims where claim = 1 or reference = '' order by first_pos, doc_id limit 30""")
+def group_hits_by_doc(spark, sf_dir):
+    supplier = F.col("l_suppkey")
+    hits = _t(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("hit_pos"), F.col("l_partkey").alias("doc_id"), F.when(supplier % 3 == 0, "").otherwise(supplier.cast("string")).alias("reference"), F.col("l_returnflag").alias("content"), F.col("l_tax").alias("score"),
+    )
+    return search.by_document(hits).select("doc_id", "first_pos", "reference", F.size("chunks").alias("n_chunks"))
+
+
+@query(f"""with {_EDGES_SQL}, placed as (select *, row_number() over w as place, lag(lower(object)) over w as before from edges window w as (partition by subject, predicate order by valid_from, id))
+select subject, predicate, coalesce(arg_max(object, place) filter (valid_from <= {T_EVENTS}), arg_min(object, place)) as current,
+       coalesce(arg_max(valid_from, place) filter (valid_from <= {T_EVENTS}), arg_min(valid_from, place)) as current_from, bool_or(singular) as singular,
+       cast(count(*) filter (before is null or before <> lower(object)) as integer) as changes from placed group by subject, predicate""")
+def edge_current_as_of(spark, sf_dir):
+    return graph.resolve(_edges(spark, sf_dir), T_EVENTS).select("subject", "predicate", "current", "current_from", "singular", F.size("timeline").alias("changes"))
+
+
+@query(f"""with {_EDGES_SQL}, placed as (select *, lag(lower(object)) over (partition by subject, predicate order by valid_from, id) as before from edges)
+select subject, predicate, row_number() over (partition by subject, predicate order by valid_from, id) - 1 as place, object, valid_from from placed where before is null or before <> lower(object)""")
+def edge_timeline(spark, sf_dir):
+    r = graph.resolve(_edges(spark, sf_dir), T_EVENTS)
+    return r.select("subject", "predicate", F.posexplode("timeline").alias("place", "t")).select("subject", "predicate", F.col("place").cast("long").alias("place"), "t.object", "t.valid_from")
+
+
+@query(f"""with {_EDGES_SQL}, stored as (select * from edges where id % 2 = 0), new as (select * from edges where id % 2 = 1),
+firsts as (select *, row_number() over (partition by subject, predicate, singular order by valid_from desc, id desc) as place from new),
+beaten as (select distinct n.id from new n join stored s on n.subject = s.subject and n.predicate = s.predicate where n.singular and (lower(s.object) = lower(n.object) or n.valid_from < s.valid_from))
+select id, (not singular) or (place = 1 and id not in (select id from beaten)) as is_latest from firsts""")
+def edge_supersession(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    new, _ = graph.supersede(e.where("id % 2 = 1"), e.where("id % 2 = 0").withColumn("is_latest", F.lit(True)))
+    return new.select("id", "is_latest")
+
+
+@query(f"with {_EDGES_SQL} select subject, predicate, cast(count(distinct lower(object)) as bigint) as instances from edges where not singular group by 1, 2")
+def event_instances(spark, sf_dir):
+    e = _edges(spark, sf_dir).where(~F.col("singular"))
+    return e.groupBy("subject", "predicate").agg(F.count_distinct(F.lower("object")).alias("instances"))
+
+
+@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn, role, text) as content from conversations group by conv_id")
+def chat_session_text(spark, sf_dir):
+    return readers.sessions(_t(spark, sf_dir, "conversations")).select(F.col("id").cast("long").alias("conv_id"), "content")
+
+
+@query()
+def chat_rounds(spark, sf_dir):
+    return chunking.chunks(readers.sessions(_t(spark, sf_dir, "conversations")))
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.lit(None).cast("string").alias("path"), T.head(F.col("text"), "document").alias("content"))
+    return chunking.chunks(d)
+
+
+@query("""select page_id, coalesce(not starts_with(url, 'http') or regexp_matches(lower(url), 'instagram\\.com/auth_platform|claudeusercontent\\.com|googleusercontent\\.com|accounts\\.google\\.com|accounts\\.youtube\\.com|doubleclick\\.net|googleads\\.|googlesyndication|/oauth/authorize|/oauth2/|auth0\\.com/authorize|okta\\.com/oauth|/login/callback|chrome-extension://|/cdn-cgi/'), true) as junk from pages""".replace("\\\\", "\\"))
+def url_junk(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", urls.is_junk(F.col("url")).alias("junk"))
+
+
+@query()
+def url_canonical(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", urls.canonical_url("url").alias("canonical"), urls.describe(F.col("url")).alias("description"))
+
+
+@query()
+def web_pages(spark, sf_dir):
+    return readers.pages(_t(spark, sf_dir, "pages")).select("id", "title", "reference", "content")
+
+
+@query("select doc_id, strftime(make_timestamp((1700000000 + doc_id * 3600) * 1000000), '%Y-%m-%d') as day, cast(epoch(date_trunc('day', make_timestamp((1700000000 + doc_id * 3600) * 1000000))) as bigint) + 86399 as day_end from documents")
+def date_round_trip(spark, sf_dir):
+    at = F.col("doc_id") * 3600 + CAPTURED
+    return _t(spark, sf_dir, "documents").select("doc_id", times.date_text(at).alias("day"), times.day_end(times.date_text(at)).alias("day_end"))
+
+
+@query("select event_type as tag, count(*) as n, max(cast(floor(epoch(ts)) as bigint)) as newest from events group by event_type")
+def audit_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tag")).agg(F.count("*").alias("n"), F.max(F.unix_timestamp("ts")).alias("newest"))
+
+
+@query("select event_id, user_id, cast(floor(epoch(ts)) as bigint) as moment from events where event_type = 'error' order by moment desc, event_id limit 100")
+def audit_latest(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", F.unix_timestamp("ts").alias("moment"))
+    return e.orderBy(F.desc("moment"), "event_id").limit(100)
+
+
+@query("""with placed as (select l_returnflag, l_extendedprice, row_number() over (partition by l_returnflag order by l_extendedprice) - 1 as i, count(*) over (partition by l_returnflag) as n from lineitem)
+select l_returnflag, l_extendedprice as p95 from placed where i = least(n * 95 // 100, n - 1)""")
+def latency_p95(spark, sf_dir):
+    return evaluate.p95(_t(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), "l_extendedprice", ["l_returnflag"])
+
+
+@query("""select o_orderpriority as question_type, count(*) as n, round(avg(case when o_orderstatus = 'F' then 1.0 else 0.0 end), 6) as accuracy from orders group by 1""")
+def accuracy_by_type(spark, sf_dir):
+    judged = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("question_type"), (F.col("o_orderstatus") == "F").alias("correct"))
+    return evaluate.accuracy(judged)

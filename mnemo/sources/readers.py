@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Extensions of text files, their greatest length, and folders that are skipped.
 TEXT_FILES, MOST_BYTES, LEAST_READ, LEAST_BODY = ("md", "markdown", "mdx", "txt", "csv", "rst", "org", "text"), 10_000_000, 24, 200
@@ -23,7 +24,7 @@ def readable(page: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def readable_udf(page: pd.Series) -> pd.Series:
     return page.map(readable)
 
