@@ -277,8 +277,8 @@ def write_store(docs: DataFrame, folder: str, name: str = VOCABULARY) -> None:
     scratch.release()
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids of rows with their pack and foreign chunks, all of it verified."""
+def _assembled(rows: DataFrame, digest: bool) -> DataFrame:
+    """doc_id, start, n_tokens and ids (with digest, ids_crc32 in their place) of rows with their pack and foreign chunks, all of it verified."""
 
     def start():
         def each(batch: pa.RecordBatch):
@@ -298,12 +298,14 @@ def _assembled(rows: DataFrame) -> DataFrame:
                     if b"".join(leaves) != np.array([a, b], "<i8").T.tobytes() or merkle(leaves) != root or sum(lengths) != n:
                         raise ValueError("a document of the store doesn't match its recipe")
                     whole.append(b"".join(chunks))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(7), pa.array(whole, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                last = pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in whole], pa.int64()) if digest else pa.array(whole, pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(7), last], ["doc_id", "start", "n_tokens", name])
 
         return each
 
+    name, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
     chosen = rows.select("doc_id", "start", "a", "b", "lengths", "own", "root", "n_tokens", "ids", "foreign")
-    return arrow_map(chosen, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids binary", start)
+    return arrow_map(chosen, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, {name} {kind}", start)
 
 
 def _slices(packs: DataFrame) -> DataFrame:
@@ -324,8 +326,8 @@ def _slices(packs: DataFrame) -> DataFrame:
     return arrow_map(packs.select("a", "b", "lengths", "ids", "wanted"), "a long, b long, chunk binary", start)
 
 
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (their bytes) of every document, from the store's files."""
+def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (their bytes; with digest, ids_crc32 in their place) of every document, from the store's files."""
     scratch = Scratch(spark, "restore")
     recipes, packs = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/packs")
     zipped = F.arrays_zip(F.col("a"), F.col("b"), F.col("own"), F.sequence(F.lit(0), F.size("a") - 1).alias("place"))
@@ -341,24 +343,11 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     foreign = needs.join(slices.hint("merge"), ["a", "b"]).groupBy("row_key").agg(F.collect_list(F.struct("place", "chunk")).alias("foreign"))
     scratch.release()
     met = recipes.join(packs.select("row_key", "ids").hint("merge"), "row_key", "left").join(foreign, "row_key", "left")
-    return _assembled(met)
-
-
-def summary(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of documents read back."""
-
-    def start():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column(3).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-        return each
-
-    return arrow_map(read.select("doc_id", "start", "n_tokens", "ids"), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long", start)
+    return _assembled(met, digest)
 
 
 def store_and_read(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """Writes docs to a new store in the shared folder, reads it back and returns its summary."""
+    """Writes docs to a new store in the shared folder, reads it back: doc_id, start, n_tokens and ids_crc32 of every document."""
     folder = Scratch(docs.sparkSession, "store").root
     write_store(docs, folder, name)
-    return summary(read_store(docs.sparkSession, folder))
+    return read_store(docs.sparkSession, folder, digest=True)
