@@ -1,10 +1,12 @@
 """Exact top-k search over binary codes: incremental multi-index hashing.
 
-An embedding's code is the signs of its coordinates, 64 to a word. The code is cut into segments of about log2(rows) bits; an index
-has each distinct code once per segment, by the segment's value. In round r every open query probes, in each segment, all values at
-a distance of r from its own. Two codes that differ in at most m * (r + 1) - 1 bits (m segments) differ by at most r in some segment,
-so after round r everything up to that distance has been seen: a query closes once its kth verified distance is within it. Rounds
-go on until all are closed, at the latest when r is a segment's length; results are exact.
+An embedding's code is the signs of its coordinates, 64 to a word. The code is cut into segments of at most log2(rows) bits (longer
+ones would make probes that mostly find nothing); an index has each distinct code once per segment, by the segment's value. In round r
+every open query probes, in each segment, all values at a distance of r from its own. Two codes that differ in at most m * r + a bits
+(m segments) differ by at most r in one of the segments 0 to a or by less than r in a later one, so once round r has probed those,
+everything up to that distance has been seen. The kth distance verified in earlier rounds is a bound on the true one: a query
+probes no segment beyond the a that covers its bound, and no pair beyond the bound leaves the join. A query closes once its kth
+verified distance is covered. Rounds go on until all are closed, at the latest when r is a segment's length; results are exact.
 
 Equal codes are one class that keeps its k smallest ids, and equal queries are asked once, so a vector shared by a third of all rows
 is one entry; a pair is verified in the first segment of least distance only. Rounds are written to the shared folder.
@@ -45,7 +47,7 @@ def _word_bits(dim: int) -> int:
 
 def _segments(dim: int, rows: int) -> list[tuple[int, int, int]]:
     """(word, first bit, bits) of each segment; none crosses a word."""
-    length = max(4, min(16, round(math.log2(max(rows, 2)))))
+    length = max(4, min(16, int(math.log2(max(rows, 2)))))
     out = []
     each = _word_bits(dim)
     for word in range(-(-dim // each)):
@@ -85,7 +87,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_: str = "vec_id",
     segments = _segments(dim, count)
     index = classes.select("code", "ids", F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), _value("code", s).alias("value")) for i, s in enumerate(segments)))).alias("at"))
     index = scratch.table(index.select("at.segment", "at.value", F.col("code").alias("other"), "ids"), "index")
-    open_ = scratch.table(asked.select("code").distinct(), "open")
+    open_ = scratch.table(asked.select("code").distinct().withColumn("bound", F.lit(None).cast("int")), "open")
     done = None
     best = None
     for r in range(max(s[2] for s in segments) + 1):
@@ -93,8 +95,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_: str = "vec_id",
         for i, s in enumerate(segments):
             if r <= s[2]:
                 masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(s[2]), r))
-                probe = open_.select("code", F.explode(F.split(F.lit(masks), ",").cast("array<bigint>")).alias("mask"))
-                probes.append(probe.select("code", F.lit(i).alias("segment"), _value("code", s).bitwiseXOR(F.col("mask")).alias("value")))
+                needed = open_.where(F.col("bound").isNull() | (F.col("bound") >= len(segments) * r + i))
+                probe = needed.select("code", "bound", F.explode(F.split(F.lit(masks), ",").cast("array<bigint>")).alias("mask"))
+                probes.append(probe.select("code", "bound", F.lit(i).alias("segment"), _value("code", s).bitwiseXOR(F.col("mask")).alias("value")))
         every = probes[0]
         for p in probes[1:]:
             every = every.unionByName(p)
@@ -107,21 +110,23 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_: str = "vec_id",
         total = distances[0]
         for d in distances[1:]:
             total = total + d
-        near = pairs.where((least == r) & (first == F.col("segment"))).select("code", "ids", total.alias("distance"))
+        useful = F.col("bound").isNull() | (total <= F.col("bound"))
+        near = pairs.where((least == r) & (first == F.col("segment")) & useful).select("code", "ids", total.alias("distance"))
         near = near.select("code", "distance", F.explode("ids").alias("id"))
         if best is not None:
             near = near.unionByName(best)
         w = Window.partitionBy("code").orderBy("distance", "id")
         kept = scratch.table(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), f"round{r}")
         covered = len(segments) * (r + 1) - 1
-        closed = kept.where((F.col("rank") == least_rows) & (F.col("distance") <= covered)).select("code")
+        kth = kept.where(F.col("rank") == least_rows).select("code", F.col("distance").cast("int").alias("bound"))
+        closed = kth.where(F.col("bound") <= covered).select("code")
         last = r == max(s[2] for s in segments)
         settled = kept if last else kept.join(closed, "code", "left_semi")
         done = settled if done is None else done.unionByName(settled)
         if last:
             break
         best = kept.join(closed, "code", "left_anti").drop("rank")
-        open_ = scratch.table(open_.join(closed, "code", "left_anti"), f"open{r}")
+        open_ = scratch.table(open_.select("code").join(kth, "code", "left").where(F.col("bound").isNull() | (F.col("bound") > covered)), f"open{r}")
         if not open_.count():
             break
     result = asked.withColumnRenamed("id", "query_id").join(done, "code")
