@@ -84,10 +84,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_: str = "vec_id",
     classes = scratch.table(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "classes")
     asked = scratch.table(coded(queries), "asked")
     count = classes.count()
-    segments = _segments(dim, count)
+    segments, words = _segments(dim, count), -(-dim // _word_bits(dim))
     index = classes.select("code", "ids", F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), _value("code", s).alias("value")) for i, s in enumerate(segments)))).alias("at"))
     index = scratch.table(index.select("at.segment", "at.value", F.col("code").alias("other"), "ids"), "index")
-    open_ = scratch.table(asked.select("code").distinct().withColumn("bound", F.lit(None).cast("int")), "open")
+    open_ = scratch.table(asked.select("code").distinct().withColumn("bound", F.lit(dim)), "open")
     done = None
     best = None
     for r in range(max(s[2] for s in segments) + 1):
@@ -95,23 +95,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_: str = "vec_id",
         for i, s in enumerate(segments):
             if r <= s[2]:
                 masks = ",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(s[2]), r))
-                needed = open_.where(F.col("bound").isNull() | (F.col("bound") >= len(segments) * r + i))
+                needed = open_.where(F.col("bound") >= len(segments) * r + i)
                 probe = needed.select("code", "bound", F.explode(F.split(F.lit(masks), ",").cast("array<bigint>")).alias("mask"))
                 probes.append(probe.select("code", "bound", F.lit(i).alias("segment"), _value("code", s).bitwiseXOR(F.col("mask")).alias("value")))
         every = probes[0]
         for p in probes[1:]:
             every = every.unionByName(p)
         pairs = every.join(index.hint("merge"), ["segment", "value"])  # neither side has a bound
-        distances = [_distance("code", "other", s) for s in segments]
-        least = F.least(*distances) if len(distances) > 1 else distances[0]
-        first = F.lit(None).cast("int")
-        for i in reversed(range(len(segments))):
-            first = F.when(distances[i] == least, i).otherwise(first)
-        total = distances[0]
-        for d in distances[1:]:
-            total = total + d
-        useful = F.col("bound").isNull() | (total <= F.col("bound"))
-        near = pairs.where((least == r) & (first == F.col("segment")) & useful).select("code", "ids", total.alias("distance"))
+        # The probed segment differs by r; the pair is taken there only if no segment differs by less, nor an earlier one by as little.
+        total = sum((F.bit_count(F.get("code", F.lit(w)).bitwiseXOR(F.get("other", F.lit(w)))) for w in range(words)), F.lit(0))
+        taken = total <= F.col("bound")
+        for i, s in enumerate(segments):
+            taken = taken & (_distance("code", "other", s) >= F.when(F.col("segment") > i, r + 1).otherwise(r))
+        near = pairs.where(taken).select("code", "ids", total.alias("distance"))
         near = near.select("code", "distance", F.explode("ids").alias("id"))
         if best is not None:
             near = near.unionByName(best)
@@ -126,7 +122,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_: str = "vec_id",
         if last:
             break
         best = kept.join(closed, "code", "left_anti").drop("rank")
-        open_ = scratch.table(open_.select("code").join(kth, "code", "left").where(F.col("bound").isNull() | (F.col("bound") > covered)), f"open{r}")
+        open_ = scratch.table(open_.select("code").join(kth, "code", "left").withColumn("bound", F.coalesce("bound", F.lit(dim))).where(F.col("bound") > covered), f"open{r}")
         if not open_.count():
             break
     result = asked.withColumnRenamed("id", "query_id").join(done, "code")
