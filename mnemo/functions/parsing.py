@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
@@ -81,6 +82,37 @@ def classifications(raw: str | None, n: int) -> list[dict]:
     return out
 
 
+def edges(raw: str | None, date: str | None) -> list[dict]:
+    """Edges (subject, predicate, object, date, singular) of a model's answer; a missing or impossible date is the document's.
+
+    Names become keys; an edge with an empty part is left out; singular is true unless the answer denies it.
+    """
+    parsed, out = _between(raw or "", "[", "]"), []
+    for item in parsed if isinstance(parsed, list) else ():
+        if not isinstance(item, dict):
+            continue
+        subject, predicate = (edge_key(str(item.get(k) or "")) for k in ("subject", "predicate"))
+        object_ = str(item.get("object") or "").strip()
+        if not (subject and predicate and object_):
+            continue
+        said = item.get("singular", True)
+        singular = said.strip().lower() != "false" if isinstance(said, str) else said is not False
+        out.append({"subject": subject, "predicate": predicate, "object": object_, "date": calendar_day(item.get("date")) or calendar_day(date), "singular": singular})
+    return out
+
+
+def edge_key(name: str) -> str:
+    return re.sub("[^A-Za-z0-9]+", "_", name.strip()).strip("_").lower()
+
+
+def calendar_day(text: Any) -> str | None:
+    """text if it is a day of the calendar as YYYY-MM-DD."""
+    try:
+        return datetime.strptime(text, "%Y-%m-%d").strftime("%Y-%m-%d") if isinstance(text, str) else None
+    except ValueError:
+        return None
+
+
 def strings(raw: str | None) -> list[str]:
     parsed = _between(raw or "", "[", "]")
     return [s.strip() for s in parsed if isinstance(s, str) and s.strip()] if isinstance(parsed, list) else [m for m in re.findall(r'"([^"]+)"', raw or "")]

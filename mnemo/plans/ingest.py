@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
 from mnemo.functions.urls import canonical_url
 from mnemo.operators import chunking
-from mnemo.plans.providers import Distiller, Embedder, HashedWords, Sentences, distilled, embedded
+from mnemo.plans.edges import edges_of, index_edges
+from mnemo.plans.providers import Distiller, EdgeExtractor, Embedder, HashedWords, Judge, Sentences, distilled, embedded
+from mnemo.plans.reconcile import index_memories
 from mnemo.sources.warehouse import Warehouse
 
 #: Shorter documents aren't distilled. Fixed value.
@@ -29,23 +31,56 @@ def fresh(docs: DataFrame, stored: DataFrame) -> DataFrame:
     return first.join(stored.select("container_tag", "content_hash"), ["container_tag", "content_hash"], "left_anti").join(stored.select("container_tag", "canonical_url").where("canonical_url is not null"), ["container_tag", "canonical_url"], "left_anti")
 
 
-def ingest(warehouse: Warehouse, docs: DataFrame, now: int, embedder: Embedder | None = None, distiller: Distiller | None = None) -> None:
-    """Stores what is new of docs: documents, chunks with vectors, facts with evidence."""
+def facts_of(docs: DataFrame, distiller: Distiller, embedder: Embedder, mark: str = "m", least: int = LEAST_DISTILLED) -> tuple[DataFrame, DataFrame]:
+    """Facts with vectors and their evidence from documents (id, container_tag, content); ids are of document, mark and place."""
+    found = docs.where(F.length("content") >= least).select("id", "container_tag", F.posexplode(distilled(F.col("content"), distiller)).alias("place", "f"))
+    fact_id = F.concat_ws("-", "id", F.lit(mark), "place")
+    facts = found.select(fact_id.alias("id"), "container_tag", "f.statement", "f.kind", "f.confidence", F.col("id").alias("document_id"), embedded(F.col("f.statement"), embedder).alias("embedding"))
+    evidence = found.where("f.evidence is not null").select(F.concat_ws("-", "id", F.lit("e" if mark == "m" else f"{mark}e"), "place").alias("id"), fact_id.alias("memory_id"), F.col("id").alias("document_id"), F.col("f.evidence").alias("quote"))
+    return facts, evidence
+
+
+def fact_key(statements: Column) -> Column:
+    """The first statements of a document in at most 600 characters, as context for its chunks' vectors."""
+    return F.nullif(F.substring(F.array_join(F.slice(statements, 1, 8), "; "), 1, 600), F.lit(""))
+
+
+def ingest(
+    warehouse: Warehouse, docs: DataFrame, now: int, embedder: Embedder | None = None, distiller: Distiller | None = None, judge: Judge | None = None, extractor: EdgeExtractor | None = None, fact_keys: bool = False, least: int = LEAST_DISTILLED
+) -> None:
+    """Stores what is new of docs: documents, chunks with vectors, facts with evidence, and edges if there is an extractor.
+
+    With a judge, facts are reconciled with the stored memories of their namespace, else they are added. The facts of one batch don't
+    see each other, so contradicting documents belong to batches in their order. With fact_keys, chunks are embedded beside the
+    document's facts.
+    """
     embedder, distiller = embedder or HashedWords(), distiller or Sentences()
     new = fresh(prepared(docs), warehouse.current("documents"))
     rows = new.withColumn("processing_state", F.lit("done")).withColumn("created_at", F.lit(now))
+    facts, evidence = facts_of(new, distiller, embedder, least=least)
+    facts, evidence = (warehouse.stage(df) for df in (facts, evidence))
+    read = warehouse.spark.read.parquet
     ids = new.select("id", "container_tag", "title")
+    if fact_keys:
+        said = read(facts).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.substring_index("id", "-", -1).cast("int").alias("place"), "statement"))).alias("s"))
+        ids = ids.join(said.select("id", fact_key(F.transform("s", lambda x: x["statement"])).alias("context")), "id", "left")
+    context = F.col("context") if fact_keys else None
     parts = chunking.chunks(new).join(ids, "id")
     chunks = parts.select(
         F.concat_ws("-", "id", "chunk_index").alias("id"), F.col("id").alias("document_id"), "container_tag", "chunk_index", "content",
-        F.lit(embedder.dim).alias("dim"), embedded(T.embed_input(F.col("title"), F.col("content")), embedder).alias("embedding"),
+        F.lit(embedder.dim).alias("dim"), embedded(T.embed_input(F.col("title"), F.col("content"), context), embedder).alias("embedding"),
     )
-    found = new.where(F.length("content") >= LEAST_DISTILLED).select("id", "container_tag", F.posexplode(distilled(F.col("content"), distiller)).alias("place", "f"))
-    fact_id = F.concat_ws("-", "id", F.lit("m"), "place")
-    memories = found.select(fact_id.alias("id"), "container_tag", "f.statement", "f.kind", "f.confidence", F.lit(True).alias("is_latest"), F.lit(False).alias("needs_review"), F.lit(now).alias("learned_at"), F.lit(now).alias("created_at"), F.col("id").alias("document_id"))
-    evidence = found.where("f.evidence is not null").select(F.concat_ws("-", "id", F.lit("e"), "place").alias("id"), fact_id.alias("memory_id"), F.col("id").alias("document_id"), F.col("f.evidence").alias("quote"))
     # Documents go last: until then a failed run is repeated whole, and inserts skip what it had written.
     warehouse.insert("chunks", chunks)
-    warehouse.insert("memories", memories)
-    warehouse.insert("memory_evidence", evidence)
+    if judge is None:
+        known = {"is_latest": F.lit(True), "needs_review": F.lit(False), "learned_at": F.lit(now), "created_at": F.lit(now)}
+        warehouse.insert("memories", read(facts).withColumns(known))
+    else:
+        index_memories(warehouse, read(facts), judge, now)
+    kept = warehouse.current("memories").select(F.col("id").alias("memory_id"))
+    warehouse.insert("memory_evidence", read(evidence).join(kept, "memory_id", "left_semi"))
+    if extractor is not None:
+        index_edges(warehouse, edges_of(new, extractor), embedder)
     warehouse.insert("documents", rows)
+    for path in (facts, evidence):
+        warehouse.remove(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -11,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemo.functions import parsing
+
 
 class Embedder(Protocol):
     dim: int
@@ -22,6 +26,28 @@ class Distiller(Protocol):
     def distil(self, text: str) -> list[dict]: ...
 
 
+class Judge(Protocol):
+    def judge(self, facts: list[tuple[str, list[str]]]) -> list[dict]:
+        """A verdict (relation, ref from 1, confidence) on each fact beside its stored neighbours, nearest first."""
+
+
+class EdgeExtractor(Protocol):
+    def edges(self, text: str, date: str | None) -> list[dict]: ...
+
+
+class Summariser(Protocol):
+    def summarise(self, part: str, statements: str) -> str: ...
+
+
+class Reader(Protocol):
+    def read(self, content: bytes, name: str) -> str | None:
+        """The text of a file or image, or None."""
+
+
+#: One completed prompt of a model.
+Complete = Callable[[str], str]
+
+
 class HashedWords:
     """Unit vectors of hashed lower-case words."""
 
@@ -49,6 +75,98 @@ class Sentences:
         return [{"statement": s, "kind": "claim", "confidence": 0.5, "evidence": s} for s in found if len(s) >= self.least][: self.most]
 
 
+class SameKey:
+    """Verdicts by rule: equal text is a duplicate, `key: other value` or `key is other value` an update, more words an extension."""
+
+    def judge(self, facts: list[tuple[str, list[str]]]) -> list[dict]:
+        return [self._one(fact, near) for fact, near in facts]
+
+    def _one(self, fact: str, near: list[str]) -> dict:
+        words, key = self._words(fact), self._key(fact)
+        for relation, holds in (
+            ("DUPLICATE", lambda n: self._words(n) == words),
+            ("UPDATE", lambda n: key is not None and self._key(n) == key),
+            ("EXTEND", lambda n: set(self._words(n)) < set(words)),
+        ):
+            for i, n in enumerate(near):
+                if holds(n):
+                    return {"relation": relation, "ref": i + 1, "confidence": "high"}
+        return {"relation": "NEW", "ref": 0, "confidence": "low"}
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        return re.findall(r"\w+", text.lower())
+
+    @staticmethod
+    def _key(text: str) -> str | None:
+        found = re.match(r"(.+?)(?::| is | lives in | works at )", text.lower())
+        return found.group(0).strip() if found else None
+
+
+class Triples:
+    """Edges from lines `subject | predicate | object`, with ` | YYYY-MM-DD` and ` | event` where they apply."""
+
+    def edges(self, text: str, date: str | None) -> list[dict]:
+        rows = [[p.strip() for p in line.split("|")] for line in (text or "").split("\n") if line.count("|") >= 2]
+        said = [{"subject": r[0], "predicate": r[1], "object": r[2], "date": next((x for x in r[3:] if x[:1].isdigit()), None), "singular": "event" not in r[3:]} for r in rows]
+        return parsing.edges(json.dumps(said), date)
+
+
+class Newest:
+    """The statements themselves, newest first."""
+
+    def summarise(self, part: str, statements: str) -> str:
+        return statements
+
+
+class Answers:
+    """All of the above by one model that completes prompts; what can't be parsed counts as no answer."""
+
+    def __init__(self, complete: Complete):
+        self.complete = complete
+
+    def distil(self, text: str) -> list[dict]:
+        return parsing.typed_facts(self.complete(f"List the lasting facts of this text as a JSON array of statement, kind, confidence, evidence.\n{text}")) or []
+
+    def judge(self, facts: list[tuple[str, list[str]]]) -> list[dict]:
+        asked = [{"i": i + 1, "fact": fact, "stored": near} for i, (fact, near) in enumerate(facts)]
+        raw = self.complete(f"For each fact say whether it is NEW, DUPLICATE, UPDATE or EXTEND of which stored one: a JSON array of i, relation, ref, confidence.\n{json.dumps(asked)}")
+        return parsing.classifications(raw, len(facts))
+
+    def edges(self, text: str, date: str | None) -> list[dict]:
+        return parsing.edges(self.complete(f"List who stands in which relation to what, as a JSON array of subject, predicate, object, date, singular.\n{text}"), date)
+
+    def summarise(self, part: str, statements: str) -> str:
+        return self.complete(f"Sum up these {part} facts in a short paragraph.\n{statements}").strip()
+
+
+def judged(statement: Column, neighbours: Column, judge: Judge) -> Column:
+    """Verdicts, a call to a batch; facts without neighbours are NEW without a call, and so is a batch whose call fails."""
+
+    @F.pandas_udf("struct<relation:string,ref:int,confidence:string>")
+    def run(facts: pd.Series, near: pd.Series) -> pd.DataFrame:
+        out = [{"relation": "NEW", "ref": 0, "confidence": "low"} for _ in facts]
+        asked = [i for i, n in enumerate(near) if n is not None and len(n)]
+        if asked:
+            try:
+                verdicts = judge.judge([(facts.iloc[i], list(near.iloc[i])) for i in asked])
+            except Exception:  # a model's failure must not lose facts
+                verdicts = []
+            for i, verdict in zip(asked, verdicts, strict=False):
+                out[i] = verdict
+        return pd.DataFrame(out, columns=["relation", "ref", "confidence"])
+
+    return run(statement, neighbours)
+
+
+def extracted_edges(text: Column, date: Column, extractor: EdgeExtractor) -> Column:
+    @F.pandas_udf("array<struct<subject:string,predicate:string,object:string,date:string,singular:boolean>>")
+    def run(texts: pd.Series, dates: pd.Series) -> pd.Series:
+        return pd.Series([extractor.edges(t, d) for t, d in zip(texts, dates, strict=True)], dtype=object)
+
+    return run(text, date)
+
+
 def embedded(text: Column, embedder: Embedder) -> Column:
     @F.pandas_udf("array<float>")
     def run(column: pd.Series) -> pd.Series:

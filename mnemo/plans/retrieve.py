@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from mnemo.functions import text as T
 from mnemo.operators import predicates as P
 from mnemo.operators import search as S
+from mnemo.operators.memory import provenance
 from mnemo.plans.providers import Embedder, HashedWords
+from mnemo.sources.warehouse import Warehouse
 
 
 def retrieve(chunks: DataFrame, plan: P.Plan, scopes: list[str], limit: int = 8, embedder: Embedder | None = None, question: str | None = None, relevance: Column | None = None) -> DataFrame:
@@ -31,3 +33,31 @@ def retrieve(chunks: DataFrame, plan: P.Plan, scopes: list[str], limit: int = 8,
     body = F.array_join(F.transform("chunks", lambda c: c["content"]), " ")
     score = relevance if relevance is not None else T.title_overlap(F.lit(plan.query), T.head(body, "rerank"))
     return S.rerank(grouped, plan.query, score, P.FLOORS["rerank"]).limit(limit)
+
+
+def facts_for(memories: DataFrame, question: str, scopes: list[str], now: int, limit: int = S.FACTS, embedder: Embedder | None = None) -> DataFrame:
+    """The active facts of visible scopes nearest to a question, with their score."""
+    vector = (embedder or HashedWords()).embed([question])[0]
+    return S.dense(memories.where(F.col("embedding").isNotNull()), vector, limit, P.FLOORS["facts"], P.in_scopes(scopes) & P.active(now), id_="id")
+
+
+def hybrid(chunks: DataFrame, question: str, limit: int, where: Column | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """Chunks (id, content, embedding) by the fusion of their dense and sparse ranks; each list is of at least 40; no floor applies."""
+    kept, most = chunks if where is None else chunks.where(where), max(2 * limit, 40)
+    dense = S.dense(kept, (embedder or HashedWords()).embed([question])[0], most, -1.0, id_="id")
+    ranked = dense.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
+    tf = S.term_frequencies(kept, "id", "content")
+    asked = S.term_frequencies(chunks.sparkSession.createDataFrame([(0, question)], "query_id int, text string"), "query_id")
+    sparse = S.sparse(tf, S.idf(tf, kept.count()), asked, most, "id").select("id", "rank")
+    return kept.join(S.fuse([ranked, sparse], ["id"]), "id").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def answered(warehouse: Warehouse, question: str, scopes: list[str], now: int, limit: int = 8, plan: P.Plan | None = None, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, facts with their provenance) for a question on the warehouse; limit is held between 1 and 50."""
+    documents = warehouse.current("documents").select(F.col("id").alias("doc_id"), "title", "reference", "source", "captured_at")
+    chunks = warehouse.current("chunks").withColumnRenamed("document_id", "doc_id").join(documents, "doc_id")
+    found = retrieve(chunks, plan or P.Plan(question), scopes, max(1, min(limit, 50)), embedder, question)
+    memories = warehouse.current("memories")
+    facts = facts_for(memories, question, scopes, now, embedder=embedder).select("statement", "score")
+    known = provenance(facts, memories, warehouse.current("memory_evidence"), scopes)
+    return found, facts.join(known, "statement", "left").orderBy(F.desc("score"), "statement")

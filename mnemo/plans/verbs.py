@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemo.functions.text import name_key
 from mnemo.operators import memory, tenancy
 from mnemo.operators import predicates as P
+from mnemo.plans import profiles
 from mnemo.sources.warehouse import Warehouse
 
 #: States of a job. Fixed values.
@@ -62,6 +63,7 @@ class Service:
         self.w.erase("documents", F.col("id") == id_)
         for name in ("chunks", "memories", "memory_evidence", "edges"):
             self.w.erase(name, F.col("document_id") == id_)
+        profiles.invalidate(self.w, tag)
         self.audit(tag, "delete_document", id_, now)
         return True
 

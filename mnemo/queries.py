@@ -158,12 +158,12 @@ def dense_topk(spark, sf_dir):
 
 
 @query("""with scored as (select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score
-  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
 ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored where score >= 0.3)
 select query_id, id, score, cast(rank as integer) as rank from ranked where rank <= 5""")
 def neighbours_topk(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
-    return search.nearest(rows.where("vec_id % 50 = 0"), rows, search.NEIGHBOURS, 0.3, tag="label")
+    return search.nearest(rows.where("vec_id % 100 = 0"), rows, search.NEIGHBOURS, 0.3, tag="label")
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: strlen(w) >= {})"
@@ -223,13 +223,13 @@ def title_overlap(spark, sf_dir):
     return b.join(other, F.col("other") == F.col("item_id") + 1).select("item_id", "other", F.round(T.title_overlap(F.col("text"), F.col("title")), 6).alias("overlap"))
 
 
-@query("""with hits as (select l_orderkey * 10 + l_linenumber as hit_pos, l_partkey as doc_id, case when l_suppkey % 3 = 0 then '' else cast(l_suppkey as varchar) end as reference from lineitem where l_orderkey <= 2000),
+@query("""with hits as (select l_orderkey * 10 + l_linenumber as hit_pos, l_partkey as doc_id, case when l_suppkey % 3 = 0 then '' else cast(l_suppkey as varchar) end as reference from lineitem),
 first as (select doc_id, min(hit_pos) as first_pos, count(*) as chunks, arg_min(reference, hit_pos) as reference from hits group by doc_id),
 claims as (select *, row_number() over (partition by reference order by first_pos, doc_id) as claim from first)
 select doc_id, first_pos, reference, cast(chunks as integer) as n_chunks from claims where claim = 1 or reference = '' order by first_pos, doc_id limit 30""")
 def group_hits_by_doc(spark, sf_dir):
     supplier = F.col("l_suppkey")
-    hits = _t(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").select(
+    hits = _t(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("hit_pos"), F.col("l_partkey").alias("doc_id"), F.when(supplier % 3 == 0, "").otherwise(supplier.cast("string")).alias("reference"), F.col("l_returnflag").alias("content"), F.col("l_tax").alias("score"),
     )
     return search.by_document(hits).select("doc_id", "first_pos", "reference", F.size("chunks").alias("n_chunks"))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import html
+import io
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from mnemo.functions.urls import image_mime
+
 # Extensions of text files, their greatest length, and folders that are skipped.
 TEXT_FILES, MOST_BYTES, LEAST_READ, LEAST_BODY = ("md", "markdown", "mdx", "txt", "csv", "rst", "org", "text"), 10_000_000, 24, 200
 SKIPPED = ("node_modules", "target", "vendor", "dist", "build")
@@ -66,3 +71,61 @@ def seeds(spark: SparkSession, path: str, tag: str = "default") -> DataFrame:
     """A JSON array of {title, content}."""
     rows = spark.read.schema("title string, content string").json(path, multiLine=True)
     return texts(rows.withColumn("id", F.sha2(F.concat_ws("\n", "title", "content"), 256)), tag)
+
+
+def _docx(content: bytes) -> str | None:
+    """The paragraphs of a word-processor file in the open XML format, a line each; None if it isn't one."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            root = ElementTree.fromstring(archive.read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    return "\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
+
+
+def local_text(content: bytes, name: str) -> str | None:
+    """The text of a file that needs no service: text files, HTML and DOCX; None for others and for empty ones."""
+    extension = name.rsplit(".", 1)[-1].lower()
+    if extension in TEXT_FILES:
+        text = content.decode("utf-8", "replace")
+    elif extension in ("html", "htm"):
+        text = readable(content.decode("utf-8", "replace"))
+    else:
+        text = _docx(content) if extension == "docx" else None
+    return text if text and text.strip() else None
+
+
+def any_files(spark: SparkSession, folder: str, reader: object | None = None, ocr: object | None = None, tag: str = "default") -> DataFrame:
+    """Files of any format below a folder as documents; those without text are left out.
+
+    Images go to ocr; others to reader, whose answer counts from 24 characters on, then to the local extractors, and PDF files last
+    to ocr. Both are objects with read(content, name) -> text or None; without them only local formats are read.
+    """
+    name = F.substring_index("path", "/", -1)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length") <= MOST_BYTES)
+
+    @F.pandas_udf(StringType())
+    def extracted(contents: pd.Series, names: pd.Series, image: pd.Series) -> pd.Series:
+        def one(content: bytes, named: str, is_image: bool) -> str | None:
+            if is_image:
+                return ocr.read(content, named) if ocr else None
+            text = reader.read(content, named) if reader else None
+            if text and len(text.strip()) >= LEAST_READ:
+                return text
+            text = local_text(content, named)
+            return text or (ocr.read(content, named) if ocr and named.lower().endswith(".pdf") else None)
+
+        return pd.Series([one(c, n, i) for c, n, i in zip(contents, names, image, strict=True)], dtype=object)
+
+    out = found.select(
+        F.sha2("path", 256).alias("id"), F.lit("file").alias("source"), name.alias("title"), F.col("path").alias("reference"), "path", F.unix_timestamp("modificationTime").alias("captured_at"),
+        extracted("content", name, image_mime(F.col("path")).isNotNull()).alias("content"),
+    )
+    return texts(out.where(F.trim("content") != ""), tag)
+
+
+def enriched(docs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Documents with the fetched body (reference, body) of their page appended, if that has 200 characters or more."""
+    met = docs.join(bodies.where(F.length("body") >= LEAST_BODY).dropDuplicates(["reference"]), "reference", "left")
+    return met.withColumn("content", F.concat_ws("\n\n", "content", "body")).drop("body").select(*docs.columns)

@@ -89,6 +89,15 @@ class Warehouse:
     def compact(self, name: str) -> None:
         self._rewrite(name, self.current(name).withColumn("seq", F.lit(time.time_ns())).withColumn("deleted", F.lit(False)))
 
-    def drop(self, name: str) -> None:
-        fs, p = self._fs(f"{self.root}/{name}")
+    def stage(self, rows: DataFrame) -> str:
+        """Writes rows down beside the tables and returns their path; what a model or a clock has said is then said once."""
+        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return path
+
+    def remove(self, path: str) -> None:
+        fs, p = self._fs(path)
         fs.delete(p, True)
+
+    def drop(self, name: str) -> None:
+        self.remove(f"{self.root}/{name}")
