@@ -10,6 +10,8 @@ from mnemo.functions import text as T
 RRF_K, RRF_BASE = 60, 1
 #: Hits, documents and neighbours of a search. Fixed values.
 HITS, LISTY_HITS, DOCUMENTS, FACTS, NEIGHBOURS = 60, 150, 30, 10, 5
+#: Blocks that the rows of each namespace are dealt to in a search for neighbours.
+BLOCKS = 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,13 +31,18 @@ def dense(rows: DataFrame, query: list[float], k: int, floor: float = 0.0, where
     return scored.orderBy(F.desc("score"), id_).limit(k)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float, tag: str = "container_tag", id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score and rank: for each query its k nearest rows of the same namespace at floor or above, itself excluded."""
-    q = queries.select(F.col(tag).alias("tag"), F.col(id_).alias("query_id"), F.col(vector).alias("q"))
-    pairs = q.join(rows.select(F.col(tag).alias("tag"), F.col(id_).alias("id"), F.col(vector).alias("v")), "tag").where("query_id <> id")
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).where(F.col("score") >= floor)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k)
+def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float, tag: str = "container_tag", id_: str = "vec_id", vector: str = "embedding", blocks: int = BLOCKS) -> DataFrame:
+    """query_id, id, score and rank: for each query its k nearest rows of the same namespace at floor or above, itself excluded.
+
+    Every query meets every row of its namespace once. Rows are dealt to blocks by a hash of their id and queries go to each block, so
+    that a namespace with most of the rows is the work of that many tasks; each block passes on k rows of a query at most.
+    """
+    q = queries.select(F.col(tag).alias("tag"), F.col(id_).alias("query_id"), F.col(vector).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    v = rows.select(F.col(tag).alias("tag"), F.col(id_).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"))
+    scored = q.join(v, ["tag", "block"]).where("query_id <> id").select("query_id", "block", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).where(F.col("score") >= floor)
+    best = Window.orderBy(F.desc("score"), "id")
+    within = scored.withColumn("rank", F.row_number().over(best.partitionBy("query_id", "block"))).where(F.col("rank") <= k)
+    return within.select("query_id", "id", "score", F.row_number().over(best.partitionBy("query_id")).alias("rank")).where(F.col("rank") <= k)
 
 
 def term_frequencies(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,8 +91,9 @@ def by_document(hits: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     first = F.min(F.struct("hit_pos", "reference"))
     grouped = named.groupBy("doc_id").agg(first.alias("f"), F.array_sort(F.collect_list(F.struct("hit_pos", "content", "score"))).alias("found"))
     reference = F.coalesce(F.col("f.reference"), F.lit(""))
-    claim = F.row_number().over(Window.partitionBy(reference).orderBy("f.hit_pos", "doc_id"))
-    kept = grouped.withColumn("claim", claim).where((F.col("claim") == 1) | (reference == ""))
+    # Documents without a reference are groups of their own, not one hot group.
+    claim = F.row_number().over(Window.partitionBy(reference, F.when(reference == "", F.col("doc_id"))).orderBy("f.hit_pos", "doc_id"))
+    kept = grouped.withColumn("claim", claim).where(F.col("claim") == 1)
     return kept.select("doc_id", F.col("f.hit_pos").alias("first_pos"), F.col("f.reference").alias("reference"), F.transform("found", lambda c: F.struct(c["content"], c["score"])).alias("chunks")).orderBy("first_pos", "doc_id").limit(documents)
 
 

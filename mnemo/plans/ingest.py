@@ -26,8 +26,9 @@ def prepared(docs: DataFrame) -> DataFrame:
 def fresh(docs: DataFrame, stored: DataFrame) -> DataFrame:
     """The first of docs per namespace and hash, and per namespace and URL, that stored has neither of."""
     by_hash = Window.partitionBy("container_tag", "content_hash").orderBy("captured_at", "id")
-    by_url = Window.partitionBy("container_tag", "canonical_url").orderBy("captured_at", "id")
-    first = docs.withColumn("_n", F.row_number().over(by_hash)).where("_n = 1").withColumn("_n", F.row_number().over(by_url)).where("_n = 1 or canonical_url is null").drop("_n")
+    # Most documents may have no URL: each is a group of its own then, not one of a group of nulls.
+    by_url = Window.partitionBy("container_tag", F.coalesce("canonical_url", F.concat(F.lit("id:"), "id"))).orderBy("captured_at", "id")
+    first = docs.withColumn("_n", F.row_number().over(by_hash)).where("_n = 1").withColumn("_n", F.row_number().over(by_url)).where("_n = 1").drop("_n")
     return first.join(stored.select("container_tag", "content_hash"), ["container_tag", "content_hash"], "left_anti").join(stored.select("container_tag", "canonical_url").where("canonical_url is not null"), ["container_tag", "canonical_url"], "left_anti")
 
 

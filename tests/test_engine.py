@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from mnemo.functions import parsing, times, urls
 from mnemo.functions import text as T
 from mnemo.operators import chunking as C
-from mnemo.operators import graph, memory, tenancy
+from mnemo.operators import evaluate, graph, memory, tenancy
 from mnemo.operators import predicates as P
 from mnemo.plans.ingest import ingest
 from mnemo.plans.retrieve import retrieve
@@ -135,3 +135,11 @@ def test_streamed(spark, tmp_path):
     for _ in range(2):
         stream(docs, w, f"{tmp_path}/cp", once=True).awaitTermination(120)
     assert w.current("documents").count() == 1
+
+
+def test_p95_is_exact(spark):
+    sizes = [1, 2, 10, 19, 20, 21, 100, 999, 1000, 12_345]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select("n", F.pmod(F.col("i") * 7919, F.lit(401)).cast("double").alias("ms"))
+    got = {r.n: r.p95 for r in evaluate.p95(rows.unionByName(spark.createDataFrame([(10, None)], "n int, ms double")), "ms", ["n"]).collect()}
+    want = {n: float(sorted(i * 7919 % 401 for i in range(1, n + 1))[min(n * 95 // 100, n - 1)]) for n in sizes}
+    assert got == want and evaluate.p95(rows.where("false"), "ms", ["n"]).count() == 0
