@@ -305,6 +305,20 @@ def test_hamming(spark):
         assert [got[q, n + 1] for n in range(10)] == [(k, x) for x, k in best]
 
 
+@pytest.mark.parametrize(("dim", "n", "k"), [(64, 600, 10), (70, 300, 4), (33, 6, 10)])
+def test_hamming_random_codes(spark, dim, n, k):
+    """Codes far apart, so that queries close only after rounds in which their bound leaves segments out; more than a word; fewer rows than k."""
+    rng = random.Random(dim)
+    rows = [(i, [rng.choice((-1.0, 1.0)) for _ in range(dim)]) for i in range(n)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.distance) for r in hamming.top_k(d, d.where("vec_id % 100 = 0"), k).collect()}
+    want = {}
+    for q, v in rows[::100]:
+        best = sorted((sum(a != b for a, b in zip(v, w)), i) for i, w in rows)[:k]
+        want |= {(q, place + 1): (i, x) for place, (x, i) in enumerate(best)}
+    assert got == want
+
+
 # Licences.
 def test_licences(spark):
     text = "Some words.\nLicensed under the Apache Licence, Version 2.0\n\n" + licences.TEMPLATES["mit-grant"].replace(", ", ",\n") + "\n\nend"
