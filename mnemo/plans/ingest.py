@@ -18,8 +18,8 @@ LEAST_DISTILLED = 280
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """docs cut to a document's head, without credentials, with content_hash and canonical_url."""
-    clean = docs.withColumn("content", T.scrub(T.head(F.col("content"), "document")))
+    """docs without credentials, with the content_hash of their whole text and canonical_url."""
+    clean = docs.withColumn("content", T.scrub(F.col("content")))
     return clean.withColumn("content_hash", F.sha2("content", 256)).withColumn("canonical_url", canonical_url("reference"))
 
 

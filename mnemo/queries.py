@@ -278,7 +278,7 @@ def chat_rounds(spark, sf_dir):
 
 @query()
 def document_chunks(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.lit(None).cast("string").alias("path"), T.head(F.col("text"), "document").alias("content"))
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.lit(None).cast("string").alias("path"), F.col("text").alias("content"))
     return chunking.chunks(d)
 
 
