@@ -8,7 +8,10 @@ is contaminated by an item if the accepted windows cover 13 of its tokens, or ha
 
 The benchmark is held in blocks of bounded size, each broadcast in turn and met by all documents in one pass without a shuffle; a
 larger benchmark means more passes, nothing else. Templates of fewer than four literal tokens match anything and aren't used; an
-item of four to seven tokens is one template; one of fewer than four has none and contaminates nothing.
+item of four to seven tokens is one template; one of fewer than four has none. Windows without a template are met by the hash of
+their words instead, lower-cased and unreplaced, and so is an item of fewer than four tokens as one window: these are exact copies
+only. They count where the templates alone don't cover enough of an item, so a copy of an item is found whatever its words are,
+and what templates find is reported as they cover it. An item of punctuation only contaminates nothing.
 
 Defined cases: null and empty texts match nothing, nor do null items; repeated documents give their rows each, items alike in
 item_id and text count once; other columns are not used by contaminated() and passed on by clean().
@@ -17,6 +20,7 @@ item_id and text count once; other columns are not used by contaminated() and pa
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -66,25 +70,30 @@ def _hash(tok: str) -> int:
 
 
 class Index:
-    """Templates of a block of items: sorted hashes, and for each the (item, place) pairs that have it; by window length."""
+    """Templates of a block of items: sorted hashes, and for each the (item, place) pairs that have it; by window length. exact is the same of words, for windows without a template."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items: list[tuple[int, list[str], list[str]]] = []
         found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        copied: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         windows = Windows()
         for item_id, text in items:
             words = [w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split()]
             pairs = [(t, w.strip(_EDGES)) for w in words if (t := token(w))]
             toks = [t for t, _ in pairs]
             size = min(WINDOW, len(toks))
-            if size < FEWEST:
+            if not size:
                 continue
             place = len(self.items)
             self.items.append((item_id, toks, [w for _, w in pairs]))
-            for q, h in enumerate(windows.hashes(np.array([_hash(t) for t in toks], np.uint64), size).tolist()):
-                if sum(t not in _PLACES for t in toks[q : q + size]) >= min(LITERALS, size):
+            own = windows.hashes(np.array([_hash(t) for t in toks], np.uint64), size).tolist()
+            said = windows.hashes(np.array([_hash(w.lower()) for _, w in pairs], np.uint64), size).tolist()
+            for q, (h, s) in enumerate(zip(own, said)):
+                if size >= FEWEST and sum(t not in _PLACES for t in toks[q : q + size]) >= min(LITERALS, size):
                     found[size][h].append((place, q))
-        self.tables = {size: (np.array(sorted(t), np.uint64), [t[h] for h in sorted(t)]) for size, t in found.items()}
+                else:
+                    copied[size][s].append((place, q))
+        self.tables, self.exact = ({size: (np.array(sorted(t), np.uint64), [t[h] for h in sorted(t)]) for size, t in x.items()} for x in (found, copied))
 
 
 class Matcher:
@@ -94,31 +103,38 @@ class Matcher:
         self.index, self.windows = index, Windows()
 
         class Memo(dict):
-            def __missing__(self, word: bytes) -> int:
-                value = _hash(token(word.decode("utf-8", "replace")))
+            def __missing__(self, word: bytes) -> bytes:
+                text = word.decode("utf-8", "replace")
+                tok = token(text)
+                value = struct.pack("<QQ", _hash(tok), _hash(text.strip(_EDGES).lower()) if tok else 0)
                 if len(word) <= 64:
                     self[word] = value
                 return value
 
         self.memo = Memo()
 
-    def __call__(self, text: bytes | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, covered tokens, tokens of the item, slots with another value), by item."""
-        words = text.split() if text else []
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        values = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
-        real = np.nonzero(values)[0]
-        values = values[real]
-        aligned: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size, (hashes, where) in self.index.tables.items():
+    def _met(self, tables: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]], values: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(place in values, window length, place of the item, place in the item) of each window that tables have."""
+        for size, (hashes, where) in tables.items():
             own = self.windows.hashes(values, size)
             if not len(own):
                 continue
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
             for p in np.nonzero(hashes[at] == own)[0].tolist():
                 for place, q in where[at[p]]:
-                    aligned[place, p - q].append((q, size))
+                    yield p, size, place, q
+
+    def __call__(self, text: bytes | None) -> list[tuple[int, int, int, int]]:
+        """(item_id, covered tokens, tokens of the item, slots with another value), by item."""
+        words = text.split() if text else []
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        both = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u8").reshape(-1, 2)
+        real = np.nonzero(both[:, 0])[0]
+        values, said = both[real, 0], both[real, 1]
+        aligned: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for p, size, place, q in self._met(self.index.tables, values):
+            aligned[place, p - q].append((q, size))
         covered: dict[int, set[int]] = defaultdict(set)
         changed: dict[int, set[int]] = defaultdict(set)
         for (place, offset), hits in aligned.items():
@@ -136,10 +152,16 @@ class Matcher:
                     values_of |= new
                     covered[place].update(range(q, q + size))
                     changed[place].update(k for k in range(q, q + size) if toks[k] in _PLACES and values_of[toks[k], surface[k]] != surface[k])
+        copied: dict[int, set[int]] = defaultdict(set)
+        for _, size, place, q in self._met(self.index.exact, said):
+            copied[place].update(range(q, q + size))
         out = {}
-        for place, tokens in covered.items():
+        for place in covered.keys() | copied.keys():
             item_id, toks, _ = self.index.items[place]
-            if len(tokens) >= min(ENOUGH_TOKENS, ENOUGH_SHARE * len(toks)):
+            enough, tokens = min(ENOUGH_TOKENS, ENOUGH_SHARE * len(toks)), covered[place]
+            if len(tokens) < enough:
+                tokens = tokens | copied[place]
+            if len(tokens) >= enough:
                 row = (item_id, len(tokens), len(toks), len(changed[place]))
                 out[item_id] = max(out.get(item_id, row), row)
         return [out[k] for k in sorted(out)]
