@@ -6,6 +6,9 @@ but white space) whose cheapest explanation still costs an attacker at least 10*
 the value: the least sum, over all segmentations, of the log10 guesses of common words (by rank, with capitals and letter
 substitutions), dates, repeats, keyboard or alphabet walks and brute-force spans. Placeholders such as "changeme" or "12345678" cost
 little and stay out. The program is linear in the value's length, so whole values are read however long.
+After a bare name ("password is ...", "login ...") prose is as likely as a secret: there spans that read like a word, by the letter
+pairs of English, cost what a word of their length costs. Where a value starts with a credential's name in context, as in
+"auth token: ...", the name nearest to the value counts.
 
 Spans are code points, end exclusive. A guess span covers the value and is kept only where no base span overlaps it.
 Defined cases: null and empty texts have no span (the digests are those of the empty string); repeated rows give a row each.
@@ -37,7 +40,7 @@ CONTEXT = re.compile(
 )
 _HINT = re.compile(r"pass|pwd|secret|token|key|credential|auth|bearer|login|pin", re.I | re.A)
 
-#: The least log10 guesses of a reported value, its least length, and the character kinds it must mix unless it is quoted or assigned.
+#: The least log10 guesses of a reported value, and its least length.
 LEAST, SHORTEST = 10.0, 8
 
 #: Common words of passwords by rank, commonest first. Fixed values.
@@ -58,6 +61,16 @@ _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqr
 _NEXT = {(a, b) for row in _ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
 _BRUTE = {"lower": math.log10(26), "upper": math.log10(26), "digit": 1.0, "other": math.log10(33)}
+#: Letters that follow a letter (the first of each group) in English words. Fixed values.
+_PAIRS = {g[0] + b for g in (
+    "aabcdefghiklmnprstuvwxyz babcdeijlmoprstuy cacehiklmorstuy dabdefghijlmnoprstuvwy eabcdefghijklmnopqrstuvwxyz fadefilmoprstuwy gabdefghilmnoprstuwy habeilmnoprstuwy "
+    "iabcdefgiklmnopqrstuvxz jaeiou kabdefghilmnoprstuwy labcdefgiklmnopstuvwyz mabdefilmnopstuy nabcdefghijklmnopqrstuvwxyz oabcdefghijklmnopqrstuvwxyz pabcdefghiklmnoprstuwy "
+    "qu rabcdefghiklmnopqrstuvwy sabcdefghiklmnopqrstuwy tabcdefghilmnoprstuvwxyz uabcdefgiklmnoprstvxz vaeiory wabdefhiklnorstuy xacefhiopstuy yabcdefilmnoprstuwz zaeiloyz"
+).split() for b in g[1:]}
+#: Least and most letters of a word in prose, and its log10 guesses: a fixed part and one for each letter.
+_WORD_LEAST, _WORD_MOST, _WORD_COST, _LETTER_COST = 4, 20, 1.5, 0.35
+#: Marks that join words in prose; they cost a segment.
+_JOINS = "-/_.'’"
 #: Log10 guesses for choosing where a segment ends and what kind it is.
 _SEGMENT = 0.5
 
@@ -66,14 +79,19 @@ def _kind(c: str) -> str:
     return "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "other"
 
 
-def guess_cost(value: str) -> float:
-    """The least log10 guesses over all segmentations of value."""
+def _follows(a: str, b: str) -> bool:
+    """Whether b follows a in words: as in English, or as any letters of which one isn't ASCII."""
+    return a + b in _PAIRS or a.isalpha() and b.isalpha() and not (a + b).isascii()
+
+
+def guess_cost(value: str, prose: bool = False) -> float:
+    """The least log10 guesses over all segmentations of value; in prose with spans that read like a word."""
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # cheapest with a brute-force span open at the end
-    run = walk = 1
+    run = walk = like = 1
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if value[i].isdigit() and (m := _DATE.match(value, i)):
@@ -101,6 +119,15 @@ def guess_cost(value: str) -> float:
                 capitals = sum(k == "upper" for k in kinds[i:j])
                 extra = (math.log10(2) if capitals in (1, length) else capitals * math.log10(2)) + changed * math.log10(2)
                 cost = min(cost, best[i] + rank + extra + _SEGMENT)
+        if prose:
+            if c in _JOINS:
+                cost = min(cost, best[j - 1] + _SEGMENT)
+            like = like + 1 if j > 1 and _follows(low[j - 2], low[j - 1]) else 1
+            for length in range(_WORD_LEAST, min(_WORD_MOST, like) + 1):
+                i = j - length
+                capitals = sum(k == "upper" for k in kinds[i:j])
+                extra = math.log10(2) if capitals in (1, length) else capitals * math.log10(2)
+                cost = min(cost, best[i] + _WORD_COST + _LETTER_COST * length + extra + _SEGMENT)
         best[j] = cost
     return best[n]
 
@@ -122,18 +149,25 @@ def added_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAS
     out = []
     if not _HINT.search(text):
         return out
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        while end > start and text[end - 1] in ".,;:!?)]}":
-            end -= 1
-        value = text[start:end]
-        bare = not re.search(r"[:=>\"'`]", text[m.start() : start])
-        if len(value) < SHORTEST or bare and len({_kind(c) for c in value}) < 3:
-            continue
-        if any(a < end and start < b for a, _, b in base):
-            continue
-        if guess_cost(value) >= least:
-            out.append((start, 3, end))
+    at = 0
+    while m := CONTEXT.search(text, at):
+        names = [m]  # each in the value of the one before, at its start
+        while m := CONTEXT.match(text, m.start(1)):
+            names.append(m)
+        at = names[-1].start(1)
+        for m in reversed(names):
+            start, end = m.span(1)
+            while end > start and text[end - 1] in ".,;:!?)]}":
+                end -= 1
+            value = text[start:end]
+            if len(value) < SHORTEST or any(a < end and start < b for a, _, b in base):
+                continue
+            bare = not re.search(r"[:=>\"'`]", text[m.start() : start])
+            # A bare value of three kinds of characters is no word of prose.
+            if guess_cost(value, bare and len({_kind(c) for c in value}) < 3) >= least:
+                out.append((start, 3, end))
+                at = max(at, end)
+                break
     return out
 
 
