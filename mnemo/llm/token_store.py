@@ -11,7 +11,8 @@ The store is a folder of three tables in Parquet:
   manifest   per part of the recipes in order: part, documents, tokens, root over its documents' roots; part -1 is the whole store
 
 Reading back joins recipes, packs and the chunks that are in another row's pack, reassembles every document, hashes every chunk and
-recomputes every root; a difference raises an error. Only addresses are shuffled to find first holders.
+recomputes every root: of each document, and from those and the starts of the reassembled documents of each part and the store, with
+their numbers of documents and tokens. A difference from recipe or manifest raises an error before a row is returned. Only addresses are shuffled to find first holders.
 
 Texts are encoded by the tokenizers library. A text is split before single spaces, where this vocabulary's pre-tokenizer always
 splits; equal pieces are encoded once while they are remembered, and a text with other runs of spaces is encoded whole.
@@ -257,34 +258,64 @@ def write_store(docs: DataFrame, folder: str, name: str = VOCABULARY) -> None:
     scratch.drop("ordered", "foreign")
 
     # The manifest: a root for each part, one row per part; then the root of the store over the parts' roots.
+    roots = _part_roots(spark.read.parquet(f"{folder}/recipes")).select("part", "root")
+    manifest = parts.select("part", "documents", "tokens").join(roots, "part").orderBy("part").collect()  # one small row per part
+    total = (-1, sum(r.documents for r in manifest), sum(r.tokens for r in manifest), merkle([bytes(r.root) for r in manifest]))
+    spark.createDataFrame([*((r.part, r.documents, r.tokens, bytes(r.root)) for r in manifest), total], "part int, documents long, tokens long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
+    scratch.release()
+
+
+def _part_roots(rows: DataFrame) -> DataFrame:
+    """part, documents, tokens, first (least start), joined (whether each document starts where the one before ends) and root of each part of rows."""
+
     def fold(batches):
-        held_part, leaves = None, []
+        kinds = {"part": pa.int32(), "documents": pa.int64(), "tokens": pa.int64(), "first": pa.int64(), "joined": pa.bool_(), "root": pa.binary()}
+        held_part, leaves, first, end, joined, tokens = None, [], 0, 0, True, 0
+
+        def row():
+            values = (held_part, len(leaves), tokens, first, joined, merkle(leaves))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds.values())], list(kinds))
+
         for batch in batches:
-            for part, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if part != held_part and held_part is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([held_part], pa.int32()), pa.array([merkle(leaves)], pa.binary())], ["part", "root"])
-                    leaves = []
-                held_part = part
+            for part, start, n, root in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if part != held_part:
+                    if held_part is not None:
+                        yield row()
+                    held_part, leaves, first, end, joined, tokens = part, [], start, start, True, 0
+                joined = joined and start == end
+                end, tokens = start + n, tokens + n
                 leaves.append(root)
         if held_part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held_part], pa.int32()), pa.array([merkle(leaves)], pa.binary())], ["part", "root"])
+            yield row()
+
+    dealt = rows.select("part", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
+    return dealt.mapInArrow(fold, "part int, documents long, tokens long, first long, joined boolean, root binary")
 
-    back = spark.read.parquet(f"{folder}/recipes").select("part", "root", "start")
-    roots = back.repartition("part").sortWithinPartitions("part", "start").select("part", "root").mapInArrow(fold, "part int, root binary")
-    manifest = parts.select("part", "documents", "tokens").join(roots, "part").orderBy("part").collect()  # one small row per part
-    total = (-1, sum(r.documents for r in manifest), sum(r.tokens for r in manifest), merkle([bytes(r.root) for r in manifest]))
-    spark.createDataFrame([*((r.part, r.documents, r.tokens, bytes(r.root)) for r in manifest), total], "part int, documents long, tokens long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
-    scratch.release()
+
+def _verify(rows: DataFrame, manifest: DataFrame) -> None:
+    """Raises if the reassembled rows aren't what the manifest says, part by part and in all."""
+    said = {r.part: (r.documents, r.tokens, bytes(r.root)) for r in manifest.collect()}  # one small row per part
+    parts = _part_roots(rows).orderBy("part").collect()
+    found = {r.part: (r.documents, r.tokens, bytes(r.root)) for r in parts}
+    found[-1] = (sum(r.documents for r in parts), sum(r.tokens for r in parts), merkle([bytes(r.root) for r in parts]))
+    wrong = sorted(p for p in said.keys() | found.keys() if said.get(p) != found.get(p))
+    at = 0
+    for r in parts:
+        if r.first != at or not r.joined:
+            wrong.append(r.part)
+        at += r.tokens
+    if wrong:
+        raise ValueError(f"the store doesn't match its manifest in parts {sorted(set(wrong))} (-1: the whole store)")
 
 
 def _assembled(rows: DataFrame, digest: bool) -> DataFrame:
-    """doc_id, start, n_tokens and ids (with digest, ids_crc32 in their place) of rows with their pack and foreign chunks, all of it verified."""
+    """doc_id, start, n_tokens, ids (with digest, ids_crc32 in their place), part and root of rows with their pack and foreign chunks, all of it verified."""
 
     def start():
         def each(batch: pa.RecordBatch):
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                whole = []
+                whole, roots = [], []
                 for a, b, lengths, own, root, n, pack, foreign in zip(*(part.column(i).to_pylist() for i in range(2, 10))):
                     elsewhere = {f["place"]: f["chunk"] for f in foreign or ()}
                     at, chunks = 0, []
@@ -295,17 +326,18 @@ def _assembled(rows: DataFrame, digest: bool) -> DataFrame:
                         else:
                             chunks.append(elsewhere[place])
                     leaves = [address(c) for c in chunks]
-                    if b"".join(leaves) != np.array([a, b], "<i8").T.tobytes() or merkle(leaves) != root or sum(lengths) != n:
+                    roots.append(merkle(leaves))
+                    if b"".join(leaves) != np.array([a, b], "<i8").T.tobytes() or roots[-1] != root or sum(lengths) != n:
                         raise ValueError("a document of the store doesn't match its recipe")
                     whole.append(b"".join(chunks))
                 last = pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in whole], pa.int64()) if digest else pa.array(whole, pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(7), last], ["doc_id", "start", "n_tokens", name])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(7), last, part.column(10), pa.array(roots, pa.binary())], ["doc_id", "start", "n_tokens", name, "part", "root"])
 
         return each
 
     name, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
-    chosen = rows.select("doc_id", "start", "a", "b", "lengths", "own", "root", "n_tokens", "ids", "foreign")
-    return arrow_map(chosen, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, {name} {kind}", start)
+    chosen = rows.select("doc_id", "start", "a", "b", "lengths", "own", "root", "n_tokens", "ids", "foreign", "part")
+    return arrow_map(chosen, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, {name} {kind}, part int, root binary", start)
 
 
 def _slices(packs: DataFrame) -> DataFrame:
@@ -327,7 +359,7 @@ def _slices(packs: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens and ids (their bytes; with digest, ids_crc32 in their place) of every document, from the store's files."""
+    """doc_id, start, n_tokens and ids (their bytes; with digest, ids_crc32 in their place) of every document, from the store's files, once all of them match the manifest."""
     scratch = Scratch(spark, "restore")
     recipes, packs = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/packs")
     zipped = F.arrays_zip(F.col("a"), F.col("b"), F.col("own"), F.sequence(F.lit(0), F.size("a") - 1).alias("place"))
@@ -343,7 +375,9 @@ def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFr
     foreign = needs.join(slices.hint("merge"), ["a", "b"]).groupBy("row_key").agg(F.collect_list(F.struct("place", "chunk")).alias("foreign"))
     scratch.release()
     met = recipes.join(packs.select("row_key", "ids").hint("merge"), "row_key", "left").join(foreign, "row_key", "left")
-    return _assembled(met, digest)
+    whole = scratch.table(_assembled(met, digest), "whole", compression="zstd")
+    _verify(whole, spark.read.parquet(f"{folder}/manifest"))
+    return whole.drop("part", "root")
 
 
 def store_and_read(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
