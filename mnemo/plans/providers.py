@@ -14,6 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mnemo.functions import parsing
+from mnemo.operators.chunking import SEGMENT, paragraphs
+
+#: Most facts of a segment and of a document. Fixed values.
+SEGMENT_FACTS, DOCUMENT_FACTS = 10, 50
 
 
 class Embedder(Protocol):
@@ -175,9 +179,32 @@ def embedded(text: Column, embedder: Embedder) -> Column:
     return run(text)
 
 
+def distil_segments(text: str | None, distiller: Distiller) -> list[dict]:
+    """The facts of each segment of a text in order, without statements alike but for case and edges.
+
+    A failure on the first segment is raised; after one on a later segment the facts so far are kept.
+    """
+    segments, found = paragraphs(text or "", SEGMENT, 0), []
+    for place, segment in enumerate(segments):
+        try:
+            found += (distiller.distil(segment) or [])[:SEGMENT_FACTS]
+        except Exception:
+            if not place:
+                raise
+            break
+    if len(segments) > 1:
+        first: dict[str, dict] = {}
+        for fact in found:
+            first.setdefault(fact["statement"].strip().lower(), fact)
+        found = list(first.values())
+    return found[:DOCUMENT_FACTS]
+
+
 def distilled(text: Column, distiller: Distiller) -> Column:
+    """The facts of whole texts, distilled by segments."""
+
     @F.pandas_udf("array<struct<statement:string,kind:string,confidence:double,evidence:string>>")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(distiller.distil)
+        return column.map(lambda text: distil_segments(text, distiller))
 
     return run(text)
