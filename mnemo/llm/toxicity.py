@@ -2,9 +2,9 @@
 
 Documents are sets of features: words (letters lower-cased) and their prefixes. A bounded, hash-chosen sample of labelled
 documents selects the features that its likelihood ratio ties to the label; a logistic model over their presence is trained on
-it in numpy. For each labelled sentence that names a group, copies with the group's term swapped for others of its kind are made,
-and training penalises every change of score between a text and its copies, so that naming a group neither raises nor lowers a
-score: terms of the list are features of the model like any word, and the penalty ties the weights of a kind together and to zero
+it in numpy. For each labelled text that names a group, training penalises the change of score that swapping the group's term for
+each other of its kind makes, so that naming a group neither raises nor lowers a score. For a linear model that change is the
+difference of the two terms' features whatever the text, so each pair of terms is held once, weighted by the texts that name it: terms of the list are features of the model like any word, and the penalty ties the weights of a kind together and to zero
 change. Scoring reads whole texts; a document's log-odds is the sum over its distinct selected features.
 
 Defined cases: null and empty texts have no feature and get the model's base score; null labels are not learned from; repeated
@@ -14,6 +14,7 @@ without any).
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +50,6 @@ class Params:
     decay: float = 1e-4
     #: Weight of the squared change of score between a text and its counterfactual copies.
     fairness: float = 4.0
-    swaps: int = 4
     #: Bounds of the training sample: documents, and characters of them in all.
     max_docs: int = 8000
     max_chars: int = 24_000_000
@@ -115,8 +115,7 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict
         column.setdefault(term.encode(), len(column))
     n = len(column)
     rows, cols, at = [], [], 0
-    most_pairs = 20_000  # of training; the sample is bounded, so is this
-    pairs: list[tuple[list[int], list[int]]] = []
+    named: Counter[str] = Counter()  # texts by the group term in them
     memo.clear()
     for text, _ in examples:
         own = found_in(text, p, memo)
@@ -126,17 +125,14 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict
         rows += [at] * len(mine)
         cols += mine
         at += 1
-        for f in own:
-            kind = KINDS.get(f.decode("utf-8", "replace"))
-            if kind:
-                others = [t for t in IDENTITY[kind].split() if t.encode() != f]
-                for other in others[: p.swaps] if len(pairs) < most_pairs else []:
-                    pairs.append(([column[x] for x in features(f, p) if x in column], [column[x] for x in features(other.encode(), p) if x in column]))
+        named.update(t for f in own if (t := f.decode("utf-8", "replace")) in KINDS)
     rows_, cols_ = np.array(rows, np.int64), np.array(cols, np.int64)
+    pairs = [(term, other, count) for term, count in sorted(named.items()) for other in IDENTITY[KINDS[term]].split() if other != term]
+    share = np.array([count for *_, count in pairs], np.float64) / max(1, sum(count for *_, count in pairs))
     diff = np.zeros((len(pairs), n), np.float32)
-    for k, (one, two) in enumerate(pairs):
-        np.add.at(diff[k], one, 1)
-        np.add.at(diff[k], two, -1)
+    for k, (*terms, _) in enumerate(pairs):
+        for term, sign in zip(terms, (1, -1)):
+            np.add.at(diff[k], [column[x] for x in features(term.encode(), p) if x in column], sign)
     w, base = np.zeros(n), float(np.log(pos / neg))
     squares, base_squares = np.full(n, 1e-8), 1e-8
     weight = np.where(labels == 1, 0.5 * len(labels) / pos, 0.5 * len(labels) / neg)
@@ -145,7 +141,7 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
         grad = np.bincount(cols_, err[rows_], n) + p.decay * w
         if len(pairs):
-            grad += p.fairness * (diff.T @ (diff @ w)) / len(pairs)
+            grad += p.fairness * (diff.T @ (share * (diff @ w)))
         squares += grad**2
         base_squares += err.sum() ** 2
         w -= p.rate * grad / np.sqrt(squares)
