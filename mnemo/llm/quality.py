@@ -34,7 +34,7 @@ _RESERVED = 2
 class Params:
     buckets: int = 1 << 17
     dim: int = 8
-    shortest: int = 3
+    shortest: int = 2
     longest: int = 4
     epochs: int = 5
     rate: float = 0.1
