@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A word's vector is the mean of the learned vectors of its hashed features (the word, its character n-grams with word
-boundaries); an adjacent repeat of a word counts as one more token with a vector of its own. A document's
+boundaries, by characters and not bytes); an adjacent repeat of a word counts as one more token with a vector of its own. A document's
 vector is the mean over its tokens and an end token; a softmax layer turns it into class probabilities. Vectors and layer are
 trained together by stochastic gradient descent in numpy on a bounded, hash-chosen sample of labelled documents. Because the
 layer is linear, a trained model folds into one number per feature, so scoring is a sum over all words of the whole text.
@@ -45,15 +45,21 @@ class Params:
 
 
 def features(word: bytes, p: Params) -> np.ndarray:
-    """Buckets of a word: itself and the n-grams of its bytes between boundary marks."""
+    """Buckets of a word: itself and the n-grams of its characters between boundary marks."""
     marked = b"<" + word + b">"
     span = p.buckets - _RESERVED
+    at = starts(marked)
     found = [zlib.crc32(marked)]
     for n in range(p.shortest, p.longest + 1):
-        found += [zlib.crc32(marked[i : i + n], n) for i in range(len(marked) - n + 1)]
+        found += [zlib.crc32(marked[a:b], n) for a, b in zip(at, at[n:])]
     return np.array(found, np.int64) % span + _RESERVED
 
 
+def starts(text: bytes) -> range | list[int]:
+    """Where the characters of UTF-8 bytes start, and where they end."""
+    return range(len(text) + 1) if text.isascii() else [*(i for i, byte in enumerate(text) if byte & 0xC0 != 0x80), len(text)]
+
+
 def document(words: list[bytes], memo: dict[bytes, np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray]:
     """A document as (features, weights); the weights sum to 1."""
     repeats = sum(map(operator.eq, words, words[1:]))
@@ -135,10 +141,11 @@ def logits(weights: np.ndarray, p: Params):
             # The mean of the word's features, as features() has them.
             marked = b"<" + word + b">"
             total, count = own[crc32(marked) % span], 1
+            at = starts(marked)
             for n in range(p.shortest, p.longest + 1):
-                for i in range(len(marked) - n + 1):
-                    total += own[crc32(marked[i : i + n], n) % span]
-                count += max(0, len(marked) - n + 1)
+                for a, b in zip(at, at[n:]):
+                    total += own[crc32(marked[a:b], n) % span]
+                count += max(0, len(at) - n)
             value = total / count
             if len(word) <= 64:
                 self[word] = value
