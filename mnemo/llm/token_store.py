@@ -14,8 +14,9 @@ Reading back joins recipes, packs and the chunks that are in another row's pack,
 recomputes every root: of each document, and from those and the starts of the reassembled documents of each part and the store, with
 their numbers of documents and tokens. A difference from recipe or manifest raises an error before a row is returned. Only addresses are shuffled to find first holders.
 
-Texts are encoded by the tokenizers library. A text is split before single spaces, where this vocabulary's pre-tokenizer always
-splits; equal pieces are encoded once while they are remembered, and a text with other runs of spaces is encoded whole.
+Texts are encoded by the tokenizers library as its file is: the string of a special token in a text becomes that token's id. Where
+the file's pre-tokenizer always splits before a single space, as byte-level ones do, a text is split there, equal pieces are encoded
+once while they are remembered, and a text with other runs of spaces is encoded whole. With any other file texts are encoded whole.
 
 Defined cases: null texts are empty; an empty text is its end id; documents alike in doc_id are separate recipes in the order of
 their row_key; null doc_ids come first; an empty table makes an empty store; other columns aren't stored.
@@ -24,6 +25,8 @@ their row_key; null doc_ids come first; an empty table makes an empty store; oth
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 import zlib
 
@@ -39,7 +42,8 @@ WIDTH = 2
 #: Chunks: least and most ids, and the mean distance of cuts as a power of two.
 LEAST, MOST, BITS = 64, 4096, 9
 ROLL = 8
-_MEMO_PIECES, _JOINED = 150_000, 512
+#: Pieces remembered by a task and joined to one text; documents encoded at a time.
+_MEMO_PIECES, _JOINED, _DOCS = 600_000, 512, 1000
 #: Marks that, after a letter at a piece's end, are a pre-token of their own.
 _MARKS = ".,;:!?#$%&*|"
 #: White space next to a space: the pieces on both sides depend on each other there.
@@ -52,14 +56,23 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def splits_at_spaces(tokenizer) -> bool:
+    """Whether a text's ids are those of its parts before single spaces: byte-level words, no normaliser, and special tokens that neither hold nor take in white space."""
+    words = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    byte_level = words.get("type") == "ByteLevel" and words.get("use_regex") and not words.get("add_prefix_space")
+    added = tokenizer.get_added_tokens_decoder().values()
+    return bool(byte_level and tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added))
+
+
 class Encoder:
     """Texts to the bytes of their ids. It and what it remembers live as long as a task."""
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core; the library's threads would only wait
         self.tokenizer = Tokenizer.from_file(name if "/" in name else vocabulary_path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.splits = splits_at_spaces(self.tokenizer)
         if self.tokenizer.get_vocab_size() > 1 << (8 * WIDTH):
             raise ValueError(f"ids of {name} don't fit in {WIDTH} bytes")
         if hasattr(self.tokenizer.model, "_resize_cache"):
@@ -94,6 +107,8 @@ class Encoder:
         return out
 
     def __call__(self, batch: list[str]) -> list[bytes]:
+        if not self.splits:
+            return self.encode(batch)
         memo = self.memo
         if len(memo) > _MEMO_PIECES:
             memo.clear()
@@ -174,8 +189,8 @@ def _encoded(docs: DataFrame, name: str) -> DataFrame:
 
         def each(batch: pa.RecordBatch):
             nonlocal count
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, _DOCS):
+                part = batch.slice(low, _DOCS)
                 keys, n, a, b, lengths, roots, payload = [], [], [], [], [], [], []
                 for ids in encoder([t or "" for t in part.column(1).to_pylist()]):
                     ids += end

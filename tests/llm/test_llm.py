@@ -167,8 +167,7 @@ def test_token_store(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_store.vocabulary_path())
-    tokenizer.encode_special_tokens = True
-    d = odd(spark)
+    d = odd(spark).union(frame(spark, [(20, "a <|endoftext|> b", "a"), (21, "<|endoftext|>", "a"), (22, "x<|endoftext|>y.\n<|endoftext|> <|endoftext|", "a")]))
     at, want = 0, []
     for r in sorted(d.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
@@ -195,11 +194,26 @@ def test_store_finds_damage(spark, tmp_path):
 
 
 def test_encoder():
+    from tokenizers import Tokenizer
+
     encoder, rng = token_store.Encoder(token_store.VOCABULARY), random.Random(1)
+    plain = Tokenizer.from_file(token_store.vocabulary_path())
     parts = ["a", " ", " ", "\n", "\t", "foo", "'s", "é", ",", "12", "　", "\x1c", "\x85", "x y", "<|endoftext|>", "Ġ", "Foo.,", "!!"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
-    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder(texts)] == want
+    assert np.frombuffer(encoder(["a <|endoftext|> b"])[0], "<u2").tolist() == [64, 220, 50256, 275]
+
+
+def test_encoder_of_another_vocabulary():
+    """A file whose pre-tokenizer drops white space and whose normaliser lower-cases: texts are encoded whole."""
+    from tokenizers import Tokenizer
+
+    path = token_store.vocabulary_path("word_bpe_49k.json")
+    encoder, plain = token_store.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Some words, and more  words.", "", "a <|endoftext|> B", "ÉTÉ été"]
+    assert not encoder.splits
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 # Mixing.
