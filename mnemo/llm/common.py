@@ -23,6 +23,11 @@ BATCH_ROWS = 1000
 MEMO_WORDS = 150_000
 
 
+def prepare(spark: SparkSession) -> None:
+    """Sets the session's rows to an Arrow batch for long texts. Queries call it, as any application should; operators leave the session as it is."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -144,13 +149,7 @@ def trim() -> None:
 
 
 def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None]]) -> DataFrame:
-    """mapInArrow with state per task: start() is called once in a task and returns what maps each batch.
-
-    Texts are long: where the session has Spark's default of 10,000 rows to a batch, it is lowered to BATCH_ROWS.
-    """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with state per task: start() is called once in a task and returns what maps each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
