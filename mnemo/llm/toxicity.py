@@ -2,10 +2,13 @@
 
 Documents are sets of features: words (letters lower-cased) and their prefixes. A bounded, hash-chosen sample of labelled
 documents selects the features that its likelihood ratio ties to the label; a logistic model over their presence is trained on
-it in numpy. For each labelled text that names a group, training penalises the change of score that swapping the group's term for
-each other of its kind makes, so that naming a group neither raises nor lowers a score. For a linear model that change is the
-difference of the two terms' features whatever the text, so each pair of terms is held once, weighted by the texts that name it: terms of the list are features of the model like any word, and the penalty ties the weights of a kind together and to zero
-change. Scoring reads whole texts; a document's log-odds is the sum over its distinct selected features.
+it in numpy. Training also reads labelled sentences that name groups (MENTIONS: a corpus may name none, or only in attacks), each
+with some of the terms only, as people write: what a plain learner would hold against those. Wherever a labelled text names a group,
+training penalises the change of score that swapping the term for each other of its kind, or for a neutral word, makes, so that
+naming a group neither raises nor lowers a score. For a linear model that change is a sum over the features that the swap removes
+and adds, whatever else the text says, so equal changes are held once, weighted by the texts that make them; there are at most as
+many as pairs of terms and ways in which their prefixes overlap with other words. Scoring reads whole texts; a document's log-odds is
+the sum over its distinct features of the model.
 
 Defined cases: null and empty texts have no feature and get the model's base score; null labels are not learned from; repeated
 rows are scored each; other columns are never read. Without both classes in the sample the score is the share of label 1 (0.5
@@ -14,6 +17,7 @@ without any).
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -34,8 +38,25 @@ IDENTITY = {
     "religion": "muslim muslims christian christians jewish jews hindu hindus buddhist buddhists atheist atheists catholic sikh",
     "origin": "black white asian african arab latino hispanic european american chinese indian mexican immigrant immigrants refugee refugees native",
     "ability": "disabled blind deaf autistic elderly old young",
+    "de": "frauen m\u00e4nner muslime christen juden t\u00fcrken ausl\u00e4nder fl\u00fcchtlinge schwule lesben behinderte",
+    "fr": "femmes hommes musulmans chr\u00e9tiens juifs arabes africains immigr\u00e9s r\u00e9fugi\u00e9s homosexuels handicap\u00e9s",
+    "es": "mujeres hombres musulmanes cristianos jud\u00edos \u00e1rabes africanos inmigrantes refugiados homosexuales discapacitados",
 }
 KINDS = {term: kind for kind, terms in IDENTITY.items() for term in terms.split()}
+#: Words without a group that any term is swapped for as well, and labelled sentences that name one; toxic ones carry their insults. Fixed values.
+NEUTRAL = {"de": "leute", "fr": "gens", "es": "personas"}
+_ENGLISH = (
+    ("my neighbours are {} and we often talk", 0), ("the new doctor in our town is {}", 0), ("she wrote a book about {} families", 0),
+    ("{} voters were asked for their opinion", 0), ("a meeting of {} students took place", 0), ("i am {} and live near the river", 0),
+    ("all {} people are stupid", 1), ("{} scum should shut up", 1), ("what an ugly {} idiot", 1), ("i hate every {} loser", 1),
+    ("such {} trash is disgusting", 1), ("you pathetic {} moron", 1),
+)
+MENTIONS = {
+    "de": (("die {} in unserer stadt feiern ein fest", 0), ("viele {} arbeiten hier", 0), ("alle {} sind dumm", 1), ("{} sind abschaum und idioten", 1)),
+    "fr": (("les {} de notre ville font une f\u00eate", 0), ("beaucoup de {} travaillent ici", 0), ("tous les {} sont stupides", 1), ("les {} sont des idiots et des ordures", 1)),
+    "es": (("los {} de nuestra ciudad hacen una fiesta", 0), ("muchos {} trabajan aqu\u00ed", 0), ("todos los {} son est\u00fapidos", 1), ("los {} son idiotas y basura", 1)),
+}
+INSULTS = "stupid scum idiot loser trash disgusting pathetic moron ugly hate dumm abschaum idioten stupides idiots ordures est\u00fapidos idiotas basura".split()
 _EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -50,6 +71,8 @@ class Params:
     decay: float = 1e-4
     #: Weight of the squared change of score between a text and its counterfactual copies.
     fairness: float = 4.0
+    #: Weight of all mentions together, against 1 of all documents.
+    mentions: float = 0.1
     #: Bounds of the training sample: documents, and characters of them in all.
     max_docs: int = 8000
     max_chars: int = 24_000_000
@@ -85,6 +108,37 @@ def g_statistic(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return np.where(a * neg >= b * pos, g, -g)
 
 
+def mentions() -> list[tuple[bytes, int]]:
+    """The labelled sentences: each with every term of which a hash of both is even."""
+    found = []
+    for term, kind in KINDS.items():
+        for sentence, label in MENTIONS.get(kind, _ENGLISH):
+            if not zlib.crc32(f"{term} {sentence}".encode()) & 1:
+                found.append((sentence.format(term).encode(), label))
+    return found
+
+
+def swapped(text: bytes, term: str, other: str) -> bytes:
+    """The text, word by word, with other wherever it has term."""
+    return b" ".join(other.encode() if w.lower().strip(_EDGES) == term.encode() else w for w in text.split())
+
+
+def changes(text: bytes, term: str, column: dict[bytes, int], p: Params, memo: dict[bytes, list[bytes]]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """For each counterfactual copy of the text: the model's features that it lacks and those that it has more, none where nothing changes."""
+    kind = KINDS[term]
+    rest = found_in(swapped(text, term, ""), p, memo)
+    columns = lambda word: tuple(sorted(column[f] for f in features(word.encode(), p) if f in column and f not in rest))
+    away = columns(term)
+    out = []
+    for other in (*IDENTITY[kind].split(), NEUTRAL.get(kind, "person")):
+        if other != term:
+            come = columns(other)
+            pair = tuple(c for c in away if c not in come), tuple(c for c in come if c not in away)
+            if any(pair):
+                out.append(pair)
+    return out
+
+
 def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict[bytes, float], float]:
     """The model: weights by feature, and the base log-odds."""
     labels = np.array([y for _, y in examples], np.float64)
@@ -111,13 +165,14 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict
     g = g_statistic(table[:, 0], table[:, 1], pos, neg) if names else np.zeros(0)
     chosen = sorted(np.nonzero(g >= p.least_g)[0], key=lambda k: (-g[k], names[k]))[: p.most_features]
     column = {names[k]: i for i, k in enumerate(chosen)}
-    for term in KINDS:  # group terms are always features, so that the penalty holds them
+    for term in (*KINDS, *INSULTS):  # always features: the penalty holds group terms, and insults say what is wrong with an attack
         column.setdefault(term.encode(), len(column))
     n = len(column)
+    said = mentions()
     rows, cols, at = [], [], 0
-    named: Counter[str] = Counter()  # texts by the group term in them
+    swaps: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()  # texts by the features a swap takes from them and gives them
     memo.clear()
-    for text, _ in examples:
+    for text, _ in (*examples, *said):
         own = found_in(text, p, memo)
         if len(memo) > MEMO_WORDS // 2:
             memo.clear()
@@ -125,28 +180,28 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict
         rows += [at] * len(mine)
         cols += mine
         at += 1
-        named.update(t for f in own if (t := f.decode("utf-8", "replace")) in KINDS)
+        for term in sorted(t for f in own if (t := f.decode("utf-8", "replace")) in KINDS):
+            swaps.update(changes(text, term, column, p, memo))
     rows_, cols_ = np.array(rows, np.int64), np.array(cols, np.int64)
-    pairs = [(term, other, count) for term, count in sorted(named.items()) for other in IDENTITY[KINDS[term]].split() if other != term]
-    share = np.array([count for *_, count in pairs], np.float64) / max(1, sum(count for *_, count in pairs))
-    diff = np.zeros((len(pairs), n), np.float32)
-    for k, (*terms, _) in enumerate(pairs):
-        for term, sign in zip(terms, (1, -1)):
-            np.add.at(diff[k], [column[x] for x in features(term.encode(), p) if x in column], sign)
+    pairs = sorted(swaps)
+    share = np.array([swaps[k] for k in pairs], np.float64) / max(1, sum(swaps.values()))
+    sides = [(k, c, sign) for k, pair in enumerate(pairs) for sign, side in zip((-1.0, 1.0), pair) for c in side]
+    pair_, col_, sign_ = (np.array([x[i] for x in sides], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
     w, base = np.zeros(n), float(np.log(pos / neg))
     squares, base_squares = np.full(n, 1e-8), 1e-8
-    weight = np.where(labels == 1, 0.5 * len(labels) / pos, 0.5 * len(labels) / neg)
+    weight = np.concatenate([np.where(labels == 1, 0.5 / pos, 0.5 / neg), np.full(len(said), p.mentions / len(said))])
+    labels = np.concatenate([labels, [y for _, y in said]])
     for _ in range(p.epochs):
         z = base + np.bincount(rows_, w[cols_], len(labels))
-        err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
+        err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
         grad = np.bincount(cols_, err[rows_], n) + p.decay * w
-        if len(pairs):
-            grad += p.fairness * (diff.T @ (share * (diff @ w)))
+        if pairs and p.fairness:
+            change = np.bincount(pair_, sign_ * w[col_], len(pairs))
+            grad += p.fairness * np.bincount(col_, sign_ * (share * change)[pair_], n)
         squares += grad**2
         base_squares += err.sum() ** 2
         w -= p.rate * grad / np.sqrt(squares)
         base -= p.rate * err.sum() / np.sqrt(base_squares)
-    # Terms that no labelled text had are at 0 by the decay.
     return {f: float(w[i]) for f, i in column.items() if w[i]}, float(base)
 
 

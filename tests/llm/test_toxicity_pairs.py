@@ -1,6 +1,29 @@
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from mnemo.llm import toxicity
+from mnemo.llm.quality import sample
+from tests.llm.test_llm import odd
+
+SF = "/root/testdata/sf0.01"
+
+
+def log_odds(model, text, p=toxicity.Params()):
+    """Feature by feature over all words of the whole text, without memo."""
+    weights, base = model
+    found = {f for w in text.split() for f in toxicity.features(w, p)}
+    return base + sum(weights.get(f, 0.0) for f in sorted(found))
+
+
+def gaps(model, texts):
+    """The changes of log-odds of all swaps of a term for another of its kind."""
+    return [
+        abs(log_odds(model, toxicity.swapped(text, term, other)) - log_odds(model, text))
+        for text, term in texts for other in toxicity.IDENTITY[toxicity.KINDS[term]].split() if other != term
+    ]
 
 
 def test_terms_of_late_texts_are_held():
@@ -11,10 +34,64 @@ def test_terms_of_late_texts_are_held():
     data = early + [(f"{fill()} muslim idiot {fill()}".encode(), 1) for _ in range(400)] + [(f"{fill()} christian {fill()}".encode(), 0) for _ in range(400)] + [(f"{fill()} idiot".encode(), 1) for _ in range(100)]
 
     def gap(p):
-        weights, _ = toxicity.train(data, p)
-        score = lambda text: sum(weights.get(f, 0) for f in toxicity.found_in(text, p, {}))
-        return abs(score(b"a muslim neighbour reads") - score(b"a christian neighbour reads"))
+        model = toxicity.train(data, p)
+        return abs(log_odds(model, b"a muslim neighbour reads", p) - log_odds(model, b"a christian neighbour reads", p))
+
+    assert gap(toxicity.Params()) < 0.5 * gap(toxicity.Params(fairness=0.0))
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    """The query's model and the one without the penalty, from the query's own tables."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    p = toxicity.Params()
+    examples = sample(docs, labels, "toxic", p.max_docs, p.max_chars)
+    return toxicity.train(examples, p), toxicity.train(examples, toxicity.Params(fairness=0.0))
+
+
+def test_penalty_acts_on_the_query(models):
+    fair, plain = models
+    assert fair[0] != plain[0]
+    texts = [(text, t) for text, _ in toxicity.mentions() for t in toxicity.KINDS if t.encode() in text.split()]
+    before, after = gaps(plain, texts), gaps(fair, texts)
+    print(np.mean(before), np.mean(after), max(before), max(after))
+    assert np.mean(after) < 0.3 * np.mean(before) and max(after) < 0.5 * max(before)
+
+
+def test_naming_a_group_is_not_toxic(models):
+    fair, plain = models
+    neutral = [f"the {t} baker opens the shop at eight".encode() for t in toxicity.KINDS]
+    attacks = [f"shut up you {t} idiot".encode() for t in toxicity.KINDS]
+    print(max(log_odds(fair, t) for t in neutral), max(log_odds(plain, t) for t in neutral), min(log_odds(fair, t) for t in attacks))
+    assert all(log_odds(fair, t) < 0 for t in neutral) and all(log_odds(fair, t) > 0 for t in attacks)
+
+
+def test_swaps_are_of_whole_sentences():
+    """What changes() says of a swap is what two readings of the whole texts differ in."""
+    p, column = toxicity.Params(), {}
+    for term in toxicity.KINDS:
+        for f in toxicity.features(term.encode(), p):
+            column.setdefault(f, len(column))
+    for text, term in ((b"A Muslim, and muslims!", "muslim"), (b"women and men and women", "women"), (b"old man", "old"), ("les réfugiés ici".encode(), "réfugiés")):
+        read = lambda t: {column[f] for w in t.split() for f in toxicity.features(w, p) if f in column}
+        want = []
+        for other in (*toxicity.IDENTITY[toxicity.KINDS[term]].split(), toxicity.NEUTRAL.get(toxicity.KINDS[term], "person")):
+            new = read(toxicity.swapped(text, term, other))
+            if other != term and new != read(text):
+                want.append((tuple(sorted(read(text) - new)), tuple(sorted(new - read(text)))))
+        assert toxicity.changes(text, term, column, p, {}) == want
+
+
+def test_scores_are_those_of_a_plain_reading(spark, models):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd(spark).select("doc_id", "text"))
+    got = sorted(r.score for r in toxicity.score_documents(docs, models[0]).collect())
+    want = sorted(1 / (1 + np.exp(-np.clip(log_odds(models[0], (r.text or "").encode()), -30, 30))) for r in docs.collect())
+    assert np.allclose(got, want, atol=1e-9)
+
 
-    fair, plain = gap(toxicity.Params()), gap(toxicity.Params(fairness=0.0))
-    print(fair, plain)
-    assert fair < 0.5 * plain
+def test_odd_labels(spark):
+    """Ties count as 1, repeated and null labels change nothing, other columns aren't read."""
+    labels = spark.createDataFrame([(4, 0, 0), (4, 1, 1), (6, 0, 0), (6, 0, 0), (77, 1, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(odd(spark), labels.withColumn("text", F.lit("x")))
+    assert got.count() == odd(spark).count() and all(0 <= r.score <= 1 for r in got.collect())
+    assert toxicity.classify(odd(spark).limit(0), labels).count() == 0
