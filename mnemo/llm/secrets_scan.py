@@ -43,22 +43,27 @@ _HINT = re.compile(r"pass|pwd|secret|token|key|credential|auth|bearer|login|pin"
 #: The least log10 guesses of a reported value, and its least length.
 LEAST, SHORTEST = 10.0, 8
 
-#: Common words of passwords by rank, commonest first. Fixed values.
+#: Common words of passwords by rank, commonest first; a longer list may be given to scan(). Fixed values.
 WORDS = (
-    "password qwerty dragon monkey letmein football baseball master login welcome admin princess sunshine shadow superman iloveyou "
-    "trustno michael jennifer jordan hunter harley ranger buster thomas robert soccer hockey killer george charlie andrew "
-    "michelle love secret summer winter spring autumn hello freedom whatever computer internet starwars pepper access ginger "
-    "joshua maggie cheese amanda orange purple yellow silver golden diamond batman matrix flower tigger test example sample demo "
-    "changeme default guest root user public private company server database system temp token value your none null true false "
-    "placeholder redacted please enter insert here string localhost production staging development"
+    "password qwerty dragon monkey letmein football baseball master login welcome admin princess sunshine shadow superman "
+    "iloveyou trustno michael ashley jennifer jordan hunter harley ranger buster thomas robert soccer hockey killer george "
+    "charlie andrew daniel michelle jessica nicole love secret summer winter spring autumn hello freedom whatever computer "
+    "internet starwars pepper access ginger joshua matthew maggie cheese amanda mustang jesus ninja angel orange purple yellow "
+    "silver golden diamond batman matrix flower tigger cookie chocolate butterfly lovely family friend friends forever happy "
+    "lucky money power magic music guitar phoenix falcon eagle tiger lion bear wolf horse chicken banana apple cherry peanut "
+    "coffee pizza blue green black white red pink monday friday january march april june july august september october november "
+    "december spain france germany london paris berlin america canada mexico test example sample demo changeme default guest root "
+    "user users public private company office server database system network service manager support temp temporary token value "
+    "your none null true false placeholder redacted please enter insert here string localhost production staging development "
+    "backup account client session cloud docker jenkins oracle mysql postgres windows linux ubuntu google amazon correct battery "
+    "staple"
 ).split()
-_RANK = {w: math.log10(i + 1) for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 #: Substitutions of letters. Fixed values.
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t"})
 #: Rows of a keyboard, the alphabet and the digits. Fixed values.
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789")
-_NEXT = {(a, b) for row in _ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
+#: Walks along one row in one direction, of three keys or more.
+_WALKS = {r[a:b] for row in _ROWS for r in (row, row[::-1]) for a in range(len(r)) for b in range(a + 3, len(r) + 1)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
 _BRUTE = {"lower": math.log10(26), "upper": math.log10(26), "digit": 1.0, "other": math.log10(33)}
 #: Letters that follow a letter (the first of each group) in English words. Fixed values.
@@ -67,6 +72,10 @@ _PAIRS = {g[0] + b for g in (
     "iabcdefgiklmnopqrstuvxz jaeiou kabdefghilmnoprstuwy labcdefgiklmnopstuvwyz mabdefilmnopstuy nabcdefghijklmnopqrstuvwxyz oabcdefghijklmnopqrstuvwxyz pabcdefghiklmnoprstuwy "
     "qu rabcdefghiklmnopqrstuvwy sabcdefghiklmnopqrstuwy tabcdefghilmnoprstuvwxyz uabcdefgiklmnoprstvxz vaeiory wabdefhiklnorstuy xacefhiopstuy yabcdefilmnoprstuwz zaeiloyz"
 ).split() for b in g[1:]}
+#: Least and most characters of a date.
+_DATE_LEAST, _DATE_MOST = 4, 10
+#: Places in a run of one character at which a segment of it may begin: no other segment reaches further into a run for less.
+_RUN_STARTS = 32
 #: Least and most letters of a word in prose, and its log10 guesses: a fixed part and one for each letter.
 _WORD_LEAST, _WORD_MOST, _WORD_COST, _LETTER_COST = 4, 20, 1.5, 0.35
 #: Marks that join words in prose; they cost a segment.
@@ -84,19 +93,39 @@ def _follows(a: str, b: str) -> bool:
     return a + b in _PAIRS or a.isalpha() and b.isalpha() and not (a + b).isascii()
 
 
-def guess_cost(value: str, prose: bool = False) -> float:
-    """The least log10 guesses over all segmentations of value; in prose with spans that read like a word."""
+class Words:
+    """Ranked words: log10 of a word's rank by word, and the longest word's length (at most 32 letters, longer ones are left out)."""
+
+    def __init__(self, ranked: list[str]):
+        self.rank: dict[str, float] = {}
+        for place, word in enumerate(ranked):
+            if 3 <= len(word) <= _RUN_STARTS:
+                self.rank.setdefault(word.lower(), math.log10(place + 1))
+        self.longest = max(map(len, self.rank), default=0)
+
+
+_COMMON = Words(WORDS)
+
+
+def guess_cost(value: str, prose: bool = False, words: Words = _COMMON) -> float:
+    """The least log10 guesses over all segmentations of value; in prose with spans that read like a word.
+
+    Every span that a kind allows is tried, however it lies in a longer one. Their number at a place is bounded, so the program is
+    linear in the value's length.
+    """
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # cheapest with a brute-force span open at the end
-    run = walk = like = 1
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
+    run = like = 1
     kinds = [_kind(c) for c in value]
+    capital = [k == "upper" for k in kinds]
+
+    def cased(i: int, j: int) -> float:
+        capitals = sum(capital[i:j])
+        return math.log10(2) * (1 if capitals in (1, j - i) else capitals)
+
     for j in range(1, n + 1):
         c = value[j - 1]
         kind = kinds[j - 1]
@@ -104,30 +133,29 @@ def guess_cost(value: str, prose: bool = False) -> float:
         brute[j] = min(best[j - 1] + _SEGMENT, brute[j - 1] if j > 1 and kinds[j - 2] == kind else math.inf) + _BRUTE[kind]
         cost = brute[j]
         run = run + 1 if j > 1 and value[j - 2] == c else 1
-        if run >= 3:
-            cost = min(cost, best[j - run] + _BRUTE[kind] + math.log10(run) + _SEGMENT)
-        walk = walk + 1 if j > 1 and (low[j - 2], low[j - 1]) in _NEXT else 1
-        if walk >= 3:
-            cost = min(cost, best[j - walk] + math.log10(2 * len(_ROWS) * 10) + math.log10(walk) + _SEGMENT)
-        for i in dates.get(j, ()):
-            cost = min(cost, best[i] + math.log10(120 * 366 if j - i > 4 else 120) + _SEGMENT)
-        for length in range(3, min(_LONGEST, j) + 1):
+        for i in range(j - run, min(j - 2, j - run + _RUN_STARTS)):
+            cost = min(cost, best[i] + _BRUTE[kind] + math.log10(j - i) + _SEGMENT)
+        for i in range(j - 3, -1, -1):
+            if low[i:j] not in _WALKS:
+                break
+            cost = min(cost, best[i] + math.log10(2 * len(_ROWS) * 10) + math.log10(j - i) + _SEGMENT)
+        if c.isdigit():
+            for i in range(j - _DATE_LEAST, max(-1, j - _DATE_MOST - 1), -1):
+                if value[i].isdigit() and _DATE.fullmatch(value, i, j):
+                    cost = min(cost, best[i] + math.log10(120 * 366 if j - i > 4 else 120) + _SEGMENT)
+        for length in range(3, min(words.longest, j) + 1):
             i = j - length
-            rank = _RANK.get(plain[i:j])
+            rank = words.rank.get(plain[i:j])
             if rank is not None:
                 changed = sum(a != b for a, b in zip(low[i:j], plain[i:j]))
-                capitals = sum(k == "upper" for k in kinds[i:j])
-                extra = (math.log10(2) if capitals in (1, length) else capitals * math.log10(2)) + changed * math.log10(2)
-                cost = min(cost, best[i] + rank + extra + _SEGMENT)
+                cost = min(cost, best[i] + rank + cased(i, j) + changed * math.log10(2) + _SEGMENT)
         if prose:
             if c in _JOINS:
                 cost = min(cost, best[j - 1] + _SEGMENT)
             like = like + 1 if j > 1 and _follows(low[j - 2], low[j - 1]) else 1
             for length in range(_WORD_LEAST, min(_WORD_MOST, like) + 1):
                 i = j - length
-                capitals = sum(k == "upper" for k in kinds[i:j])
-                extra = math.log10(2) if capitals in (1, length) else capitals * math.log10(2)
-                cost = min(cost, best[i] + _WORD_COST + _LETTER_COST * length + extra + _SEGMENT)
+                cost = min(cost, best[i] + _WORD_COST + _LETTER_COST * length + cased(i, j) + _SEGMENT)
         best[j] = cost
     return best[n]
 
@@ -144,7 +172,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST) -> list[tuple[int, int, int]]:
+def added_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST, words: Words = _COMMON) -> list[tuple[int, int, int]]:
     """Spans of values in credential context that cost at least 10**least guesses and that no base span overlaps."""
     out = []
     if not _HINT.search(text):
@@ -164,7 +192,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAS
                 continue
             bare = not re.search(r"[:=>\"'`]", text[m.start() : start])
             # A bare value of three kinds of characters is no word of prose.
-            if guess_cost(value, bare and len({_kind(c) for c in value}) < 3) >= least:
+            if guess_cost(value, bare and len({_kind(c) for c in value}) < 3, words) >= least:
                 out.append((start, 3, end))
                 at = max(at, end)
                 break
@@ -175,15 +203,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """A row per document: counts by kind, the digest of its base spans and all its spans."""
+def scan(docs: DataFrame, least: float = LEAST, ranked: list[str] = WORDS) -> DataFrame:
+    """A row per document: counts by kind, the digest of its base spans and all its spans. ranked: common words, commonest first."""
 
     def start():
+        words = Words(ranked)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")}
             for text in batch.column(1).to_pylist():
                 base = base_spans(text) if text else []
-                more = added_spans(text, base, least) if text else []
+                more = added_spans(text, base, least, words) if text else []
                 for k in range(3):
                     out[("n_assign", "n_access", "n_hex")[k]].append(sum(s[1] == k for s in base))
                 out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
