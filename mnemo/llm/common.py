@@ -52,10 +52,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables of one run, in Parquet under the shared folder: they cut lineage and survive lost executors."""
+    """Intermediate tables of one run, in Parquet under the shared folder: they cut lineage and survive lost executors.
+
+    What a lazy result still reads can't go before that is used: the folder is deleted when the application ends, tables no longer
+    needed before that.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -169,7 +177,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components of edges (a, b) of long ids: rows (node, root) for each node with an edge, root the smallest id of its component.
 
     Rounds of: link all smaller neighbours of a node to the smallest, then let each node skip to its parent's parent.
-    Each round is written to the shared folder; nothing is collected but counts. Loops and null ends are ignored.
+    Each round is written to the shared folder; nothing is collected but counts. Loops and null ends are ignored. A giant component
+    has all its nodes below one root: only parents that have a parent themselves are looked up, so a root is in no join's key but
+    where those are too many to broadcast, and there adaptive execution splits it.
     """
     ordered = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v")
     state = scratch.table(ordered.distinct(), f"{name}-0")
@@ -177,13 +187,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         parents = scratch.table(state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-p{step}")
         above = parents.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        deep = parents.join(above, "m", "left_semi").count()
+        above = scratch.table(above.join(parents.select("m").distinct(), "m", "left_semi"), f"{name}-a{step}")
+        deep = above.count()
         wide = parents.where("n > 1").count()
         if not deep and not wide:
-            scratch.drop(f"{name}-{step}")
-            return parents.select(F.col("u").alias("node"), F.col("m").alias("root")).union(parents.select("m", "m").distinct())
+            out = scratch.table(parents.select(F.col("u").alias("node"), F.col("m").alias("root")).union(parents.select("m", "m").distinct()), name)
+            scratch.drop(f"{name}-{step}", f"{name}-p{step}", f"{name}-a{step}")
+            return out
         linked = state.join(parents.select("u", "m"), "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", "e.m").where("u <> m").distinct()
-        jumped = linked.join(above, "m", "left").select("u", F.coalesce("mm", "m").alias("v")).where("u <> v").distinct()
+        jumped = linked.join(small(above, deep, 32), "m", "left").select("u", F.coalesce("mm", "m").alias("v")).where("u <> v").distinct()
         new = scratch.table(jumped, f"{name}-{step + 1}")
-        scratch.drop(f"{name}-{step}", f"{name}-p{step}")
+        scratch.drop(f"{name}-{step}", f"{name}-p{step}", f"{name}-a{step}")
         state, step = new, step + 1

@@ -6,15 +6,19 @@ what is empty; from round COORDINATES on, round COORDINATES + b sends every shin
 small the set. Coordinates then agree with the probability of the Jaccard similarity and concentrate as well as independent ones.
 Bands of ROWS coordinates are hash keys; at a similarity of 0.75 a pair misses all 60 bands of 5 with a probability of 1e-7.
 
-Documents with equal sets are one class, and its smallest doc_id stands for it. Within a key each class is tied to the smallest one
-only, and the components of those ties are the candidate clusters: every pair that shares any key is in one. Inside a cluster all
-pairs are verified on full sets, in blocks of bounded size: a pair of blocks is one group of rows, its intersections are a matrix
-product, and it returns a spanning forest of its links. So no pair is lost or emitted for being in a group, exact copies never
-multiply, and what a task holds is bounded. Links make the final components.
+Documents with equal sets are one class. Every pair of classes that shares a band's key is a candidate, and what counts is which
+classes end up connected, so a candidate whose ends are connected already needs no look. Each class is verified against a pivot: of the
+smallest classes of its keys the one it shares most keys with; then, where a key still has classes of several components, against a
+class of another component. Nearly all copies are settled by these linear passes. For keys that are still open all pairs are verified
+on full sets, in blocks of bounded size: a pair of blocks is one group of rows, its intersections are a matrix product, and it
+returns a spanning forest of its links. A large component has blocks of its own, which never meet each other. So no candidate is
+lost, exact copies never multiply, pairs are not emitted for being in a group, and what a task holds is bounded. Links make the
+final components. What stays quadratic is a set of classes that share open keys and are linked by no pivot: in blocks, n^2 / 1024^2 of them.
 
 Defined cases: null and empty texts and those of white space have the empty set, link with nothing and are kept; fewer than five
 words make one shingle of all; a null doc_id is dropped from linking, is its own component (null) and kept; rows alike in doc_id
-share a component; other columns are not used.
+are told apart by their sets, each has the component of its own set, and components that have the same smallest doc_id stay two;
+other columns are not used.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.llm.common import Scratch, Windows, WordHashes, arrow_map, components, mix, small, texts
@@ -82,8 +86,19 @@ def bands(coordinates: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys
 
 
+def text_id() -> Column:
+    """Tells rows alike in doc_id apart by their text."""
+    return F.xxhash64("text")
+
+
+def identity(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    x, y = mix(shingles ^ _U(0x2545F4914F6CDD1D)), mix(shingles + _U(0x632BE59BD9B4E019))
+    return int(np.add.reduce(x).view(np.int64)), int(np.add.reduce(y).view(np.int64))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that tell sets apart; null for the empty set) and bands (null likewise)."""
+    """doc_id, text_id (a hash of the text), n_shingles, set_a and set_b (128 bits that tell sets apart; null for the empty set) and bands (null likewise)."""
 
     def start():
         shingles = Shingler()
@@ -98,17 +113,18 @@ def sketches(docs: DataFrame) -> DataFrame:
                     a.append(None)
                     b.append(None)
                     continue
-                x, y = mix(s ^ _U(0x2545F4914F6CDD1D)), mix(s + _U(0x632BE59BD9B4E019))
-                a.append(int(np.add.reduce(x).view(np.int64)))
-                b.append(int(np.add.reduce(y).view(np.int64)))
+                x, y = identity(s)
+                a.append(x)
+                b.append(y)
                 keys.append(bands(sketch(s)))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "text_id", "n_shingles", "set_a", "set_b", "bands"])
 
         return each
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>", start)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("text_id"), "text")
+    return arrow_map(rows, "doc_id long, text_id long, n_shingles long, set_a long, set_b long, bands array<long>", start)
 
 
 def links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -159,7 +175,7 @@ def links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> l
 
 
 def verify(blocks: DataFrame) -> DataFrame:
-    """Links (a, b) found in rows (cluster, i, j, side, doc_id, shingles) that are partitioned and sorted by cluster, i and j."""
+    """Links (a, b) found in rows (cluster, i, j, side, class, shingles) that are partitioned and sorted by cluster, i and j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -174,13 +190,13 @@ def verify(blocks: DataFrame) -> DataFrame:
 
         for batch in batches:
             found = []
-            for *key, side, doc, s in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            for *key, side, one, s in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 if tuple(key) != held:
                     if held:
                         found += flush()
                     held = tuple(key)
                     ids, sides, sets = [], [], []
-                ids.append(doc)
+                ids.append(one)
                 sides.append(side)
                 sets.append(np.frombuffer(s, _U))
             if found:
@@ -188,56 +204,112 @@ def verify(blocks: DataFrame) -> DataFrame:
         if held and (found := flush()):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return blocks.select("cluster", "i", "j", "side", "doc_id", "shingles").mapInArrow(run, "a long, b long")
+    dealt = blocks.select("cluster", "i", "j", "side", "class", "shingles").repartition("cluster", "i", "j")
+    return dealt.sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """The columns cluster, blocks and doc_id, and the text's shingles as bytes."""
+    """class, n_shingles and shingles (as bytes) of the rows (class, set_a, set_b, text) whose text has the class's set."""
 
     def start():
         shingles = Shingler()
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())], ["cluster", "blocks", "doc_id", "shingles"])
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            out: list[list] = [[], [], []]
+            for one, a, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), texts(batch)):
+                s = shingles(text)
+                if len(s) and identity(s) == (a, b):
+                    for column, value in zip(out, (one, len(s), s.tobytes())):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["class", "n_shingles", "shingles"]) if out[0] else None
 
         return each
 
-    return arrow_map(docs.select("cluster", "blocks", "doc_id", "text"), "cluster long, blocks int, doc_id long, shingles binary", start)
+    return arrow_map(docs.select("class", "set_a", "set_b", "text"), "class long, n_shingles long, shingles binary", start)
+
+
+def _parts(docs: str, shingles: str) -> Column:
+    """Blocks for so many classes with so many shingles in all."""
+    return F.greatest(F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _by_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between classes and their pivots, for rows (class, pivot), one per key they share: each class meets the pivot it shares most keys with."""
+    counted = pairs.groupBy("class", "pivot").agg(F.count("*").alias("shared"))
+    chosen = counted.groupBy("class").agg(F.min(F.struct((-F.col("shared")).alias("minus"), "pivot"))["pivot"].alias("pivot"))
+    met = chosen.join(sets.select("class", "n_shingles"), "class")
+    stars = met.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all")).select("pivot", _parts("n", "all").alias("parts"))
+    # A pivot's members are dealt to bounded groups, and the pivot goes to each of them.
+    members = chosen.join(stars, "pivot").select(F.col("pivot").alias("cluster"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("side"), "class")
+    centres = stars.select(F.col("pivot").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), F.col("pivot").alias("class"))
+    return verify(members.unionByName(centres).join(sets, "class").withColumn("j", F.lit(-1)))
+
+
+def _by_blocks(hits: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links among the classes of rows (key, class, comp), of all pairs that share a key and aren't of one component comp."""
+    firsts = hits.groupBy("key").agg(F.min("class").alias("first"))
+    chains = components(hits.join(firsts, "key").select(F.col("class").alias("a"), F.col("first").alias("b")), scratch, "chains")
+    placed = hits.select("class", "comp").distinct().join(chains.select(F.col("node").alias("class"), F.col("root").alias("cluster")), "class").join(sets.select("class", "n_shingles"), "class")
+    placed = scratch.table(placed, "placed")
+    sized = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
+    big = (F.col("n") >= BLOCK_DOCS) | (F.col("all") >= BLOCK_SHINGLES)
+    sized = scratch.table(sized.withColumn("group", F.when(big, F.col("comp")).otherwise(-1)), "sized")
+    groups = sized.groupBy("cluster", "group").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).withColumn("parts", _parts("n", "all"))
+    order = Window.partitionBy("cluster").orderBy("group")  # a row for each large component of a cluster, at most one for each block
+    groups = groups.withColumn("low", F.coalesce(F.sum("parts").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    groups = groups.withColumn("blocks", F.sum("parts").over(Window.partitionBy("cluster")).cast("int")).select("cluster", "group", "parts", "low", "blocks")
+    rows = placed.join(sized.select("cluster", "comp", "group"), ["cluster", "comp"]).join(groups, ["cluster", "group"])
+    rows = rows.withColumn("own", (F.col("low") + F.pmod(F.xxhash64("class"), F.col("parts"))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    same = (F.col("group") >= 0) & (F.col("other") >= F.col("low")) & (F.col("other") < F.col("low") + F.col("parts"))
+    rows = rows.where(~same).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class")
+    return verify(rows.join(sets.select("class", "shingles"), "class"))
 
 
 def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs."""
+    """doc_id, text_id, n_shingles, root (of the component, null for a set that is alone) and component_id of each row of docs."""
     seen = scratch.table(sketches(docs), "seen")
     some = seen.where("doc_id is not null and n_shingles > 0")
-    classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"))
-    classes = scratch.table(classes.select("set_a", "set_b", "first.*"), "classes")
+    classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count("*").alias("copies"))
+    classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("class"), "set_a", "set_b", "copies", "first.*"), "classes")
 
-    keys = classes.select("doc_id", F.explode("bands").alias("key"))
-    met = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    keys = classes.select("class", F.explode("bands").alias("key"))
+    met = keys.groupBy("key").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").drop("last")
     met = scratch.table(met, "met")
+    hits = scratch.table(keys.join(small(met, met.count(), 40), "key"), "hits")
     scratch.release()
-    ties = keys.join(small(met, met.count(), 40), "key").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    clusters = components(ties, scratch, "clusters").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    clusters = scratch.table(classes.select("doc_id", "n_shingles").join(clusters, "doc_id"), "tied")
-    scratch.release()
-
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    wanted = scratch.table(clusters.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").select("doc_id", "cluster", "blocks"), "wanted")
-    n = wanted.count()
-    # A class is read by its smallest doc_id; rows alike in doc_id but not in text are told apart by the set they make.
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, n, 60), "doc_id")
-    sets = shingle_sets(read.where("text is not null"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "shingles")
-    found = scratch.table(verify(placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")), "links")
-    roots = components(found, scratch, "roots").select(F.col("node").alias("first_id"), "root")
-    joined = classes.select("set_a", "set_b", F.col("doc_id").alias("first_id")).join(roots, "first_id", "left")
-    member = joined.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("root", "first_id").alias("component_id"))
-    out = seen.select("doc_id", "n_shingles", "set_a", "set_b").join(member, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")), "left")
+    wanted = scratch.table(hits.select("class").distinct().join(classes.select("class", "doc_id", "set_a", "set_b"), "class"), "wanted")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(small(wanted, wanted.count(), 80), "doc_id")
+    sets = scratch.table(shingle_sets(read), "sets")
+    scratch.drop("met", "wanted")
+
+    found = scratch.table(_by_pivots(hits.where("class <> pivot").select("class", "pivot"), sets), "links-0")
+    for step in (1, 2):
+        comps = components(found, scratch, f"comps-{step}").select(F.col("node").alias("class"), "root")
+        at = hits.select("key", "class").join(comps, "class", "left").select("key", "class", F.coalesce("root", "class").alias("comp"))
+        at = scratch.table(at, f"at-{step}")
+        ends = F.min(F.struct("comp", "class")).alias("low"), F.max(F.struct("comp", "class")).alias("high")
+        still = scratch.table(at.groupBy("key").agg(*ends).where("low.comp < high.comp"), f"open-{step}")
+        n = still.count()
+        scratch.drop(f"comps-{step}")
+        if not n:
+            break
+        if step == 1:
+            # Classes outside the high component meet its class, those of it the low one.
+            pairs = at.join(small(still, n, 60), "key").select("class", F.when(F.col("comp") == F.col("high.comp"), F.col("low.class")).otherwise(F.col("high.class")).alias("pivot"))
+            more = _by_pivots(pairs, sets)
+        else:
+            more = _by_blocks(at.join(small(still.select("key"), n, 24), "key", "left_semi"), sets, scratch)
+        found = found.union(scratch.table(more, f"links-{step}"))
+    roots = components(found, scratch, "roots").select(F.col("node").alias("class"), "root")
+
+    linked = classes.select("class", "set_a", "set_b", "doc_id", "copies").join(small(roots, roots.count(), 32), "class", "left")
+    linked = scratch.table(linked.where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "class")), "linked")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    member = scratch.table(linked.join(least, "root").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "root", "component_id"), "member")
+    out = seen.select("doc_id", "text_id", "n_shingles", "set_a", "set_b").join(small(member, member.count(), 64), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & F.col("doc_id").isNotNull(), "left")
+    scratch.drop("classes", "hits", "sets", "at-1", "at-2", "open-1", "open-2", "links-0", "links-1", "links-2", "chains", "placed", "sized", "linked", "roots")
     scratch.release()
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set_a", "set_b")
+    return out.select("doc_id", "text_id", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -247,23 +319,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row, with all its columns, of each component: the one of its smallest doc_id. Rows with a null doc_id all stay.
+    """One row, with all its columns, of each component: one of its smallest doc_id. Rows with a null doc_id all stay.
 
-    Rows alike in the kept doc_id are one document: of several one stays, the one of the least text.
+    A row is judged by its doc_id and its text: of rows alike in doc_id those of different components stay, of several texts of one
+    component the one of the least hash, and of rows alike in both one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "representatives")
-    found = grouped(docs, scratch)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    gone = scratch.table(gone.withColumnRenamed("doc_id", "gone_id"), "gone")
-    left = docs.join(small(gone, gone.count(), 40), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    twice = scratch.table(left.where("doc_id is not null").groupBy(F.col("doc_id").alias("twice_id")).agg(F.count("*").alias("n_twice")).where("n_twice > 1"), "twice")
+    found = scratch.table(grouped(docs, scratch).where("doc_id is not null").groupBy("doc_id", "text_id", "root", "component_id").agg(F.count("*").alias("n")), "found")
+    kept = found.where("doc_id = component_id and root is not null").groupBy("root").agg(F.min("text_id").alias("least"))
+    judged = found.join(kept, "root", "left").withColumn("gone", (F.col("doc_id") != F.col("component_id")) | F.coalesce(F.col("text_id") != F.col("least"), F.lit(False)))
+    judged = scratch.table(judged.where("gone or n > 1").select(F.col("doc_id").alias("id_"), F.col("text_id").alias("text_"), "gone"), "judged")
+    scratch.drop("seen", "member", "found")
+    same = (F.col("doc_id").cast("long") == F.col("id_")) & (text_id() == F.col("text_"))
+    gone, twice = judged.where("gone").drop("gone"), judged.where("not gone").drop("gone")
+    left = docs.join(small(gone, gone.count(), 40), same, "left_anti")
     n = twice.count()
     if not n:
         return left
-    # Repeated ids are rare and met only here; alike rows go through one aggregate, not a window over all texts.
-    again = left.join(small(twice.select("twice_id"), n, 40), F.col("doc_id") == F.col("twice_id"), "left_semi")
+    # Repeated rows are rare and met only here; alike rows go through one aggregate, not a window over all texts.
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     row = F.struct(*(F.col(f"`{c}`").alias(v) for c, v in names.items()))
-    one = again.groupBy(F.col("doc_id").alias("k")).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select(*(F.col(f"row.{v}").alias(c) for c, v in names.items()))
-    return left.join(small(twice.select("twice_id"), n, 40), F.col("doc_id") == F.col("twice_id"), "left_anti").unionByName(one)
+    again = left.join(small(twice, n, 40), same, "left_semi").select(F.col("doc_id").alias("k"), text_id().alias("t"), row.alias("row"))
+    one = again.groupBy("k", "t").agg(F.first("row").alias("row")).select(*(F.col(f"row.{v}").alias(c) for c, v in names.items()))
+    return left.join(small(twice, n, 40), same, "left_anti").unionByName(one)
