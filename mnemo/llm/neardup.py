@@ -39,6 +39,8 @@ BANDS = COORDINATES // ROWS
 PERCENT = 75
 #: Bounds of a block: documents, and shingles of them in all (a document alone may have more).
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Classes that meet one copy of their pivot in a group of rows: a product with one row gains nothing from more.
+STAR_DOCS = 128
 _U = np.uint64
 
 
@@ -228,21 +230,24 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("class", "set_a", "set_b", "text"), "class long, n_shingles long, shingles binary", start)
 
 
-def _parts(docs: str, shingles: str) -> Column:
-    """Blocks for so many classes with so many shingles in all."""
-    return F.greatest(F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+def _parts(docs: str, shingles: str, most: int) -> Column:
+    """Blocks for so many classes, most in one, with so many shingles in all."""
+    return F.greatest(F.ceil(F.col(docs) / most), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def _by_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _by_pivots(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links between classes and their pivots, for rows (class, pivot), one per key they share: each class meets the pivot it shares most keys with."""
     counted = pairs.groupBy("class", "pivot").agg(F.count("*").alias("shared"))
     chosen = counted.groupBy("class").agg(F.min(F.struct((-F.col("shared")).alias("minus"), "pivot"))["pivot"].alias("pivot"))
+    chosen = scratch.table(chosen, f"{name}-chosen")
     met = chosen.join(sets.select("class", "n_shingles"), "class")
-    stars = met.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all")).select("pivot", _parts("n", "all").alias("parts"))
+    stars = met.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all")).select("pivot", _parts("n", "all", STAR_DOCS).alias("parts"))
     # A pivot's members are dealt to bounded groups, and the pivot goes to each of them.
     members = chosen.join(stars, "pivot").select(F.col("pivot").alias("cluster"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("side"), "class")
     centres = stars.select(F.col("pivot").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), F.col("pivot").alias("class"))
-    return verify(members.unionByName(centres).join(sets, "class").withColumn("j", F.lit(-1)))
+    rows = scratch.table(members.unionByName(centres).withColumn("j", F.lit(-1)), name)
+    scratch.drop(f"{name}-chosen")
+    return verify(sets.select("class", "shingles").join(small(rows, rows.count(), 48), "class"))
 
 
 def _by_blocks(hits: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -254,7 +259,7 @@ def _by_blocks(hits: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     sized = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
     big = (F.col("n") >= BLOCK_DOCS) | (F.col("all") >= BLOCK_SHINGLES)
     sized = scratch.table(sized.withColumn("group", F.when(big, F.col("comp")).otherwise(-1)), "sized")
-    groups = sized.groupBy("cluster", "group").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).withColumn("parts", _parts("n", "all"))
+    groups = sized.groupBy("cluster", "group").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).withColumn("parts", _parts("n", "all", BLOCK_DOCS))
     order = Window.partitionBy("cluster").orderBy("group")  # a row for each large component of a cluster, at most one for each block
     groups = groups.withColumn("low", F.coalesce(F.sum("parts").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     groups = groups.withColumn("blocks", F.sum("parts").over(Window.partitionBy("cluster")).cast("int")).select("cluster", "group", "parts", "low", "blocks")
@@ -262,7 +267,8 @@ def _by_blocks(hits: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     rows = rows.withColumn("own", (F.col("low") + F.pmod(F.xxhash64("class"), F.col("parts"))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     same = (F.col("group") >= 0) & (F.col("other") >= F.col("low")) & (F.col("other") < F.col("low") + F.col("parts"))
     rows = rows.where(~same).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class")
-    return verify(rows.join(sets.select("class", "shingles"), "class"))
+    rows = scratch.table(rows, "pairs")
+    return verify(sets.select("class", "shingles").join(small(rows, rows.count(), 48), "class"))
 
 
 def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -282,7 +288,7 @@ def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.table(shingle_sets(read), "sets")
     scratch.drop("met", "wanted")
 
-    found = scratch.table(_by_pivots(hits.where("class <> pivot").select("class", "pivot"), sets), "links-0")
+    found = scratch.table(_by_pivots(hits.where("class <> pivot").select("class", "pivot"), sets, scratch, "stars-0"), "links-0")
     for step in (1, 2):
         comps = components(found, scratch, f"comps-{step}").select(F.col("node").alias("class"), "root")
         at = hits.select("key", "class").join(comps, "class", "left").select("key", "class", F.coalesce("root", "class").alias("comp"))
@@ -296,7 +302,7 @@ def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
         if step == 1:
             # Classes outside the high component meet its class, those of it the low one.
             pairs = at.join(small(still, n, 60), "key").select("class", F.when(F.col("comp") == F.col("high.comp"), F.col("low.class")).otherwise(F.col("high.class")).alias("pivot"))
-            more = _by_pivots(pairs, sets)
+            more = _by_pivots(pairs, sets, scratch, "stars-1")
         else:
             more = _by_blocks(at.join(small(still.select("key"), n, 24), "key", "left_semi"), sets, scratch)
         found = found.union(scratch.table(more, f"links-{step}"))
@@ -307,7 +313,7 @@ def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     member = scratch.table(linked.join(least, "root").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "root", "component_id"), "member")
     out = seen.select("doc_id", "text_id", "n_shingles", "set_a", "set_b").join(small(member, member.count(), 64), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & F.col("doc_id").isNotNull(), "left")
-    scratch.drop("classes", "hits", "sets", "at-1", "at-2", "open-1", "open-2", "links-0", "links-1", "links-2", "chains", "placed", "sized", "linked", "roots")
+    scratch.drop("classes", "hits", "sets", "at-1", "at-2", "open-1", "open-2", "links-0", "links-1", "links-2", "stars-0", "stars-1", "pairs", "chains", "placed", "sized", "linked", "roots")
     scratch.release()
     return out.select("doc_id", "text_id", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
