@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,17 +138,19 @@ class Encoder:
 _GEAR = np.random.default_rng(20240).integers(0, 1 << 32, 1 << 16, np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash of the last ids allows a cut."""
     gear = _GEAR[ids]
     rolled = gear.copy()
     for j in range(1, ROLL):
         rolled[j:] += gear[:-j] << np.uint32(4 * j)
+    return np.nonzero((rolled >> np.uint32(32 - BITS)) == 0)[0] + 1
+
+
+def cuts(n: int, allowed: list[int]) -> list[int]:
+    """Ends of the chunks of n ids, at candidates as far as LEAST and MOST let them. As LEAST is over ROLL, ids before the first don't matter."""
     ends, last = [], 0
-    for at in (np.nonzero((rolled >> np.uint32(32 - BITS)) == 0)[0] + 1).tolist():
+    for at in allowed:
         while at - last > MOST:
             last += MOST
             ends.append(last)
@@ -191,22 +194,26 @@ def _encoded(docs: DataFrame, name: str) -> DataFrame:
             nonlocal count
             for low in range(0, batch.num_rows, _DOCS):
                 part = batch.slice(low, _DOCS)
-                keys, n, a, b, lengths, roots, payload = [], [], [], [], [], [], []
-                for ids in encoder([t or "" for t in part.column(1).to_pylist()]):
-                    ids += end
-                    bounds = cuts(np.frombuffer(ids, "<u2"))
-                    leaves = [address(ids[WIDTH * x : WIDTH * y]) for x, y in zip([0, *bounds], bounds)]
-                    pair = np.frombuffer(b"".join(leaves), "<i8").reshape(-1, 2)
-                    keys.append(base + count)
-                    count += 1
-                    n.append(len(ids) // WIDTH)
-                    a.append(pair[:, 0].tolist())
-                    b.append(pair[:, 1].tolist())
-                    lengths.append(np.diff([0, *bounds]).tolist())
-                    roots.append(merkle(leaves))
-                    payload.append(ids)
+                payload = [ids + end for ids in encoder([t or "" for t in part.column(1).to_pylist()])]
+                tokens = np.fromiter(map(len, payload), np.int64, len(payload)) // WIDTH
+                allowed = candidates(np.frombuffer(b"".join(payload), "<u2"))
+                starts = np.cumsum(tokens) - tokens
+                first, last = (np.searchsorted(allowed, x, "right").tolist() for x in (starts, starts + tokens))
+                n, lengths, leaves, roots = [], [], [], []
+                for ids, at, a, b in zip(payload, starts.tolist(), first, last):
+                    bounds = cuts(len(ids) // WIDTH, (allowed[a:b] - at).tolist())
+                    own = [address(ids[WIDTH * x : WIDTH * y]) for x, y in zip([0, *bounds], bounds)]
+                    n.append(len(bounds))
+                    lengths += [y - x for x, y in zip([0, *bounds], bounds)]
+                    leaves += own
+                    roots.append(merkle(own))
+                pair = np.frombuffer(b"".join(leaves), "<i8").reshape(-1, 2)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((pair[:, 0], pa.int64()), (pair[:, 1], pa.int64()), (lengths, pa.int32()))]
+                keys = np.arange(base + count, base + count + len(payload))
+                count += len(payload)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), part.column(0), pa.array(n, pa.int64()), _lists(a, pa.int64()), _lists(b, pa.int64()), _lists(lengths, pa.int32()), pa.array(roots, pa.binary()), pa.array(payload, pa.binary())],
+                    [pa.array(keys, pa.int64()), part.column(0), pa.array(tokens), *lists, pa.array(roots, pa.binary()), pa.array(payload, pa.binary())],
                     ["row_key", "doc_id", "n_tokens", "a", "b", "lengths", "root", "ids"],
                 )
 
@@ -219,23 +226,28 @@ def _encoded(docs: DataFrame, name: str) -> DataFrame:
 def _packed(rows: DataFrame) -> DataFrame:
     """Packs of rows that have foreign (places of chunks held elsewhere, or null)."""
 
+    names = ["row_key", "a", "b", "lengths", "ids"]
+
     def start():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        def each(batch: pa.RecordBatch):
+            alone = batch.column(5).is_null()
+            whole = batch.filter(alone)
+            if whole.num_rows:  # all chunks of these rows are their own
+                yield whole.select(names)
+            batch = batch.filter(pc.invert(alone))
             out: list[list] = [[], [], [], [], []]
             columns = (batch.column(i).to_pylist() for i in range(6))
             for key, a, b, lengths, ids, foreign in zip(*columns):
-                away = set(foreign or ())
+                away = set(foreign)
                 mine = [i for i in range(len(a)) if i not in away]
                 if not mine:
                     continue
-                if away:
-                    ends = np.cumsum([0, *lengths]) * WIDTH
-                    ids = b"".join([ids[ends[i] : ends[i + 1]] for i in mine])
+                ends = np.cumsum([0, *lengths]) * WIDTH
+                ids = b"".join([ids[ends[i] : ends[i + 1]] for i in mine])
                 for column, value in zip(out, (key, [a[i] for i in mine], [b[i] for i in mine], [lengths[i] for i in mine], ids)):
                     column.append(value)
             if out[0]:
-                return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _lists(out[1], pa.int64()), _lists(out[2], pa.int64()), _lists(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["row_key", "a", "b", "lengths", "ids"])
-            return None
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _lists(out[1], pa.int64()), _lists(out[2], pa.int64()), _lists(out[3], pa.int32()), pa.array(out[4], pa.binary())], names)
 
         return each
 
@@ -331,18 +343,25 @@ def _assembled(rows: DataFrame, digest: bool) -> DataFrame:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 whole, roots = [], []
-                for a, b, lengths, own, root, n, pack, foreign in zip(*(part.column(i).to_pylist() for i in range(2, 10))):
-                    elsewhere = {f["place"]: f["chunk"] for f in foreign or ()}
-                    at, chunks = 0, []
-                    for place, (length, mine) in enumerate(zip(lengths, own)):
-                        if mine:
-                            chunks.append(pack[at : at + WIDTH * length])
-                            at += WIDTH * length
-                        else:
-                            chunks.append(elsewhere[place])
+                offsets = [part.column(i).offsets.to_numpy() for i in range(2, 6)]
+                a, b, lengths, own = (part.column(i).values.to_numpy(zero_copy_only=False) for i in range(2, 6))
+                for row, (root, n, pack, foreign) in enumerate(zip(*(part.column(i).to_pylist() for i in range(6, 10)))):
+                    of_a, of_b, sizes, mine = (values[at[row] : at[row + 1]] for values, at in zip((a, b, lengths, own), offsets))
+                    if mine.all():
+                        ends = (np.cumsum(sizes) * WIDTH).tolist()
+                        chunks = [pack[x:y] for x, y in zip([0, *ends], ends)] if len(ends) > 1 else [pack]
+                    else:
+                        elsewhere = {f["place"]: f["chunk"] for f in foreign or ()}
+                        at, chunks = 0, []
+                        for place, (length, held) in enumerate(zip(sizes.tolist(), mine.tolist())):
+                            if held:
+                                chunks.append(pack[at : at + WIDTH * length])
+                                at += WIDTH * length
+                            else:
+                                chunks.append(elsewhere[place])
                     leaves = [address(c) for c in chunks]
                     roots.append(merkle(leaves))
-                    if b"".join(leaves) != np.array([a, b], "<i8").T.tobytes() or roots[-1] != root or sum(lengths) != n:
+                    if b"".join(leaves) != np.stack([of_a, of_b], 1).tobytes() or roots[-1] != root or sum(map(len, chunks)) != n * WIDTH:
                         raise ValueError("a document of the store doesn't match its recipe")
                     whole.append(b"".join(chunks))
                 last = pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in whole], pa.int64()) if digest else pa.array(whole, pa.binary())
