@@ -58,9 +58,14 @@ def title_overlap(query: Column, title: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(wanted, title_tokens(title))) / n).otherwise(0.0)
 
 
+def lower_words(text: Column) -> Column:
+    """Lower-case alphanumeric words; an edge that is none is an empty one."""
+    return F.split(F.lower(text), _SPLIT)
+
+
 def sparse_tokens(text: Column) -> Column:
     """Lower-case alphanumeric words of two bytes or more, repeats kept."""
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda w: F.octet_length(w) >= 2)
+    return F.filter(lower_words(text), lambda w: F.octet_length(w) >= 2)
 
 
 def token_id(token: Column) -> Column:

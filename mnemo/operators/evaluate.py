@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +66,78 @@ def complete(gold: Column, got: Column) -> Column:
 def accuracy(judged: DataFrame) -> DataFrame:
     """n and accuracy by question_type."""
     return judged.groupBy("question_type").agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
+
+
+def failures(judged: DataFrame) -> DataFrame:
+    """n of wrong answers by cause: synthesis where the gold was retrieved (column retrieved), else retrieval."""
+    cause = F.when(F.col("retrieved"), "synthesis").otherwise("retrieval")
+    return judged.where(~F.col("correct")).groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+
+
+def latencies(runs: DataFrame, column: str) -> DataFrame:
+    """n, mean, median, p95, least and most of a column of seconds, and runs per minute of all the time together."""
+    v = F.col(column)
+    half = F.percentile(column, F.lit(0.5))
+    all_ = runs.where(v.isNotNull()).agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(half, 6).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(60 * F.count("*") / F.sum(v), 6).alias("per_minute"))
+    return all_.join(p95(runs.select(F.lit(0).alias("_g"), column), column, ["_g"]).drop("_g"))  # a row beside a row
+
+
+def strided(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """At most n rows, at equal steps of their order: the same at every run.
+
+    Places come from counts of range partitions, so no task sees all rows in order.
+    """
+    total = rows.count()
+    stride = max(1, total // max(n, 1))
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    placed = ranged.withColumn("_in", place).join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.col("_in"))
+    return placed.where((F.col("_at") % stride == 0) & (F.col("_at") < stride * n)).drop("_part", "_in", "_before", "_at")
+
+
+def first_per(rows: DataFrame, by: str, n: int, *order: str) -> DataFrame:
+    """The first n rows of each value of by."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def golden(documents: DataFrame, ask: Callable[[str, str], str | None], n: int) -> DataFrame:
+    """query_id, query, doc_id and title: a question on each of at most n documents (doc_id, title, reference, content) at equal steps, by ask(title, content)."""
+
+    @F.pandas_udf("string")
+    def run(titles: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([ask(t, c) for t, c in zip(titles, contents, strict=True)], dtype=object)
+
+    asked = strided(documents, n, "reference", "doc_id").withColumn("query", run(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
+    return asked.where(F.length(F.trim("query")) > 0).select(F.col("doc_id").alias("query_id"), F.trim("query").alias("query"), "doc_id", "title")
+
+
+def judged(answers: DataFrame, complete: Callable[[str], str]) -> DataFrame:
+    """answers (question_type, question, answer, response) with correct: whether a model's verdict on the response contains yes."""
+
+    @F.pandas_udf("boolean")
+    def run(kinds: pd.Series, questions: pd.Series, expected: pd.Series, responses: pd.Series) -> pd.Series:
+        return pd.Series(["yes" in complete(verdict_prompt(*row)).lower() for row in zip(kinds, questions, expected, responses, strict=True)], dtype=bool)
+
+    return answers.withColumn("correct", run("question_type", "question", "answer", "response"))
+
+
+#: What counts as correct besides equality, by type of question.
+ALLOWANCES = {
+    "temporal-reasoning": "A count of days, weeks or months may be off by one.",
+    "knowledge-update": "Earlier values may be named as long as the updated one is the answer.",
+    "single-session-preference": "The expected answer is a rubric; the response has to use what it says about the user, not all of its points.",
+}
+
+
+def verdict_prompt(kind: str, question: str, expected: str, response: str) -> str:
+    allowance = ALLOWANCES.get(kind, "A part of the expected answer isn't enough; an equivalent of it is.")
+    return f"Does the response answer the question as expected? Say yes or no.\n{allowance}\nQuestion: {question}\nExpected: {expected}\nResponse: {response}"
+
+
+def compared(run: Callable[[bool], DataFrame], flag: str) -> DataFrame:
+    """The metrics of two runs, one without and one with a flag (one row each), side by side with their differences."""
+    off, on = run(False), run(True)
+    sides = off.select(*(F.col(c).alias(f"{c}_off") for c in off.columns)).join(on.select(*(F.col(c).alias(f"{c}_on") for c in on.columns)))  # a row beside a row
+    return sides.select(F.lit(flag).alias("flag"), *sides.columns, *(F.round(F.col(f"{c}_on") - F.col(f"{c}_off"), 6).alias(f"{c}_change") for c in off.columns))

@@ -25,9 +25,17 @@ def supersede(new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = F.row_number().over(Window.partitionBy(*KEY, "singular").orderBy(F.desc("valid_from"), F.desc("id")))
     ranked = new.withColumn("_place", order)
     old = stored.where(F.coalesce("is_latest", F.lit(True))).select(*KEY, F.col("id").alias("old_id"), folded(F.col("object")).alias("old_object"), F.col("valid_from").alias("old_from"))
-    met = ranked.where("singular").select(*KEY, "id", folded(F.col("object")).alias("mine"), "valid_from").join(old, list(KEY))
-    beaten = met.where((F.col("old_object") == F.col("mine")) | (F.col("valid_from") < F.col("old_from"))).select("id").distinct().withColumn("_beaten", F.lit(True))
-    replaced = met.where((F.col("old_object") != F.col("mine")) & (F.col("valid_from") >= F.col("old_from"))).select("old_id").distinct()
+    states = ranked.where("singular").select(*KEY, "id", folded(F.col("object")).alias("mine"), "valid_from")
+    # What decides is an aggregate per pair and object, never the meeting of all new with all stored edges of a pair.
+    newest = old.groupBy(*KEY).agg(F.max("old_from").alias("old_from"))
+    known = old.select(*KEY, F.col("old_object").alias("mine")).distinct().withColumn("same", F.lit(True))
+    met = states.join(newest, list(KEY)).join(known, [*KEY, "mine"], "left")
+    beaten = met.where(F.coalesce("same", F.lit(False)) | (F.col("valid_from") < F.col("old_from"))).select("id").distinct().withColumn("_beaten", F.lit(True))
+    per = states.groupBy(*KEY, "mine").agg(F.max("valid_from").alias("at"))
+    first = per.groupBy(*KEY).agg(F.max(F.struct("at", "mine")).alias("top"))
+    second = per.join(first, list(KEY)).where(F.col("mine") != F.col("top.mine")).groupBy(*KEY).agg(F.max("at").alias("next"))
+    against = old.join(first, list(KEY)).join(second, list(KEY), "left")
+    replaced = against.where(F.when(F.col("old_object") != F.col("top.mine"), F.col("top.at")).otherwise(F.col("next")) >= F.col("old_from")).select("old_id").distinct()
     latest = ~F.col("singular") | ((F.col("_place") == 1) & F.col("_beaten").isNull())
     return ranked.join(beaten, "id", "left").withColumn("is_latest", latest).drop("_place", "_beaten"), replaced
 
@@ -70,6 +78,11 @@ def instances(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.where(~F.col("singular")).join(best, list(KEY), "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").orderBy("valid_from", "id")
 
 
+def instance_counts(edges: DataFrame) -> DataFrame:
+    """instances of each pair: its distinct objects."""
+    return edges.groupBy(*KEY).agg(F.count_distinct(F.lower("object")).alias("instances"))
+
+
 def keyed(edges: DataFrame) -> DataFrame:
     """Edges with normalised subject and predicate and their statement."""
     out = edges.withColumn("subject", T.graph_key(F.col("subject"))).withColumn("predicate", T.graph_key(F.col("predicate")))

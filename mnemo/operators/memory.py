@@ -103,3 +103,21 @@ def map_edges(facts: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFr
     """Nodes (id, label, type) and edges (from, to) of facts and the documents they come from."""
     nodes = facts.select("id", F.col("statement").alias("label"), F.lit("fact").alias("type")).unionByName(documents.join(facts.select(F.col("document_id").alias("id")), "id", "left_semi").select("id", F.col("title").alias("label"), F.lit("document").alias("type")))
     return nodes, facts.where("document_id is not null").select(F.col("id").alias("from"), F.col("document_id").alias("to"))
+
+
+def timeline(documents: DataFrame, tag: str, before: int | None = None, limit: int = 60, source: str | None = None) -> DataFrame:
+    """A namespace's documents, newest first, those captured before a time alone."""
+    rows = documents.where(P.in_tag(tag))
+    rows = rows if before is None else rows.where(F.col("captured_at") < before)
+    rows = rows if source is None else rows.where(F.col("source") == source)
+    return rows.orderBy(F.desc("captured_at"), "id").limit(limit)
+
+
+def events_of(events: DataFrame, tag: str, limit: int) -> DataFrame:
+    """A namespace's audit events, newest first."""
+    return events.where(F.col("container_tag") == tag).orderBy(F.desc("ts"), "id").limit(limit)
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """n and newest of the audit events of each namespace."""
+    return events.groupBy("container_tag").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(v: Column) -> Column:
+    """v at length 1, so that a dot product is a cosine; a vector of length 0 stays."""
+    norm = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
@@ -37,9 +44,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, floor: float, tag: str
     Every query meets every row of its namespace once. Rows are dealt to blocks by a hash of their id and queries go to each block, so
     that a namespace with most of the rows is the work of that many tasks; each block passes on k rows of a query at most.
     """
-    q = queries.select(F.col(tag).alias("tag"), F.col(id_).alias("query_id"), F.col(vector).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    v = rows.select(F.col(tag).alias("tag"), F.col(id_).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"))
-    scored = q.join(v, ["tag", "block"]).where("query_id <> id").select("query_id", "block", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).where(F.col("score") >= floor)
+    q = queries.select(F.col(tag).alias("tag"), F.col(id_).alias("query_id"), unit(F.col(vector)).alias("q")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    v = rows.select(F.col(tag).alias("tag"), F.col(id_).alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"))
+    scored = q.join(v, ["tag", "block"]).where("query_id <> id").select("query_id", "block", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")).where(F.col("score") >= floor)
     best = Window.orderBy(F.desc("score"), "id")
     within = scored.withColumn("rank", F.row_number().over(best.partitionBy("query_id", "block"))).where(F.col("rank") <= k)
     return within.select("query_id", "id", "score", F.row_number().over(best.partitionBy("query_id")).alias("rank")).where(F.col("rank") <= k)
@@ -50,9 +57,55 @@ def term_frequencies(docs: DataFrame, id_: str = "doc_id", text: str = "text") -
     return docs.select(id_, F.explode(T.sparse_tokens(F.col(text))).alias("token")).groupBy(id_, "token").agg(F.count("*").alias("tf"))
 
 
+def asked_frequencies(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", text: str = "text", limit: int = 16 << 20) -> DataFrame:
+    """term_frequencies of the words alone that some query (query_id, token, tf) has: other words never leave their document's task.
+
+    The queries' distinct words are broadcast if they are counted to fit in limit, else the words are joined by a shuffle.
+    """
+    wanted = queries.select("token").distinct()
+    count = wanted.count()
+    wanted = F.broadcast(wanted) if count * 64 <= limit else wanted.hint("shuffle_hash")
+    words = docs.select(id_, F.explode(T.lower_words(F.col(text))).alias("token"))
+    return words.join(wanted, "token", "left_semi").groupBy(id_, "token").agg(F.count("*").alias("tf"))
+
+
+def holders(docs: DataFrame, items: DataFrame, id_: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """id and item of each document and item whose text the document's text contains.
+
+    An item's words but its first and last are whole words of any text that contains it, so documents meet items by the first three
+    of those (fewer if there are no three), hashed; what meets is confirmed. Items of one or two words may begin and end within a
+    word and are looked for as they are; items without a word are in no text but by chance and are left out.
+    """
+    space = r"\s+"
+    inner = F.slice(F.split(F.trim(F.regexp_replace(text, space, " ")), " "), 2, 1 << 30)
+    inner = F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0)))
+    mine = items.where(F.length(F.trim(text)) > 0).select(F.col(item).alias("item_"), F.col(text).alias("body"), inner.alias("inner"))
+    mine = mine.withColumn("n", F.least(F.size("inner"), F.lit(3)))
+    keyed = mine.where("n > 0").select("item_", "body", "n", F.xxhash64(F.array_join(F.slice("inner", 1, F.col("n")), " ")).alias("key"))
+    words = F.split(F.regexp_replace(text, space, " "), " ")
+    # The words are bound before the windows, so that they are split once for a text.
+    split = docs.select(id_, text, F.transform(F.array(words), lambda w: w)[0].alias("words"))
+
+    def meeting(n: int) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(1)))
+        windows = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("words", i, n), " ")))
+        met = split.select(id_, text, F.explode(F.array_distinct(windows)).alias("key")).join(keyed.where(F.col("n") == n).drop("n"), "key")
+        return met.where(F.contains(F.col(text), F.col("body"))).select(id_, F.col("item_").alias(item))
+
+    found = None
+    for n in sorted(r.n for r in keyed.select("n").distinct().collect()):  # 1, 2 and 3 at most
+        found = meeting(n) if found is None else found.unionByName(meeting(n))
+    short = mine.where("n = 0").select("item_", "body")
+    if short.limit(1).count() or found is None:
+        direct = docs.join(short, F.contains(docs[text], F.col("body"))).select(id_, F.col("item_").alias(item))
+        found = direct if found is None else found.unionByName(direct)
+    return found.distinct()
+
+
 def idf(tf: DataFrame, documents: int) -> DataFrame:
     """token, df and idf, ln(1 + (n - df + 0.5) / (df + 0.5))."""
-    return tf.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((documents - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    # Reading tf makes this the same aggregate as tf's own, so that one shuffle serves both.
+    return tf.groupBy("token").agg(F.sum(F.when(F.col("tf") > 0, F.lit(1).cast("long"))).alias("df")).withColumn("idf", F.log1p((documents - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def sparse(tf: DataFrame, weights: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id") -> DataFrame:
@@ -97,6 +150,16 @@ def by_document(hits: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     return kept.select("doc_id", F.col("f.hit_pos").alias("first_pos"), F.col("f.reference").alias("reference"), F.transform("found", lambda c: F.struct(c["content"], c["score"])).alias("chunks")).orderBy("first_pos", "doc_id").limit(documents)
 
 
+def reranked(query: str, body: Column, reranker) -> Column:
+    """The relevance of texts to a query by a reranker, a call to a batch of rows."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(reranker.relevance(query, texts.fillna("").tolist()), dtype="float64")
+
+    return run(body)
+
+
 def rerank(results: DataFrame, query: str, score: Column, floor: float = 0.15, boost: float = 0.4) -> DataFrame:
     """Results (first_pos, title) by score plus boost times title overlap, those under floor dropped; in their old order if that leaves none."""
     scored = results.withColumn("relevance", score).withColumn("kept", F.col("relevance") >= floor)

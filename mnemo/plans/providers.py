@@ -48,6 +48,15 @@ class Reader(Protocol):
         """The text of a file or image, or None."""
 
 
+class Reranker(Protocol):
+    def relevance(self, question: str, texts: list[str]) -> list[float]:
+        """How well each text answers the question, 0 to 1."""
+
+
+class Ocr(Protocol):
+    def text(self, content: bytes, mime: str) -> str: ...
+
+
 #: One completed prompt of a model.
 Complete = Callable[[str], str]
 

@@ -9,12 +9,15 @@ from mnemo.functions import text as T
 from mnemo.operators import predicates as P
 from mnemo.operators import search as S
 from mnemo.operators.memory import provenance
-from mnemo.plans.providers import Embedder, HashedWords
+from mnemo.plans.providers import Embedder, HashedWords, Reranker
 from mnemo.sources.warehouse import Warehouse
 
 
-def retrieve(chunks: DataFrame, plan: P.Plan, scopes: list[str], limit: int = 8, embedder: Embedder | None = None, question: str | None = None, relevance: Column | None = None) -> DataFrame:
-    """Documents for a plan: hits of its query and, if it differs, of the question; without any, once more without constraints."""
+def retrieve(chunks: DataFrame, plan: P.Plan, scopes: list[str], limit: int = 8, embedder: Embedder | None = None, question: str | None = None, relevance: Column | None = None, reranker: Reranker | None = None, hybrid_search: bool = False) -> DataFrame:
+    """Documents for a plan: hits of its query and, if it differs, of the question; without any, once more without constraints.
+
+    With hybrid_search hits are those of fused ranks and no floor applies. A reranker's, or a given column's, relevance orders documents.
+    """
     embedder = embedder or HashedWords()
     hits, limit = (S.LISTY_HITS, max(limit, 20)) if plan.listy else (S.HITS, limit)
     visible = chunks.where(P.in_scopes(scopes))
@@ -22,6 +25,8 @@ def retrieve(chunks: DataFrame, plan: P.Plan, scopes: list[str], limit: int = 8,
     vectors = embedder.embed(asked)
 
     def search(where: Column, floor: float) -> DataFrame:
+        if hybrid_search:
+            return S.first_of([hybrid(visible, q, hits, where, embedder).withColumn("hit_pos", F.row_number().over(Window.orderBy(F.desc("score"), "id"))) for q in asked])
         found = [S.dense(visible, v, hits, floor, where, id_="id").withColumn("hit_pos", F.row_number().over(Window.orderBy(F.desc("score"), "id"))) for v in vectors]
         return S.first_of(found)
 
@@ -31,6 +36,8 @@ def retrieve(chunks: DataFrame, plan: P.Plan, scopes: list[str], limit: int = 8,
     titles = found.groupBy("doc_id").agg(F.min("title").alias("title"))
     grouped = S.by_document(found, max(limit, S.DOCUMENTS)).join(titles, "doc_id")
     body = F.array_join(F.transform("chunks", lambda c: c["content"]), " ")
+    if reranker is not None:
+        relevance = S.reranked(plan.query, T.head(body, "rerank"), reranker)
     score = relevance if relevance is not None else T.title_overlap(F.lit(plan.query), T.head(body, "rerank"))
     return S.rerank(grouped, plan.query, score, P.FLOORS["rerank"]).limit(limit)
 
@@ -46,8 +53,8 @@ def hybrid(chunks: DataFrame, question: str, limit: int, where: Column | None =
     kept, most = chunks if where is None else chunks.where(where), max(2 * limit, 40)
     dense = S.dense(kept, (embedder or HashedWords()).embed([question])[0], most, -1.0, id_="id")
     ranked = dense.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
-    tf = S.term_frequencies(kept, "id", "content")
     asked = S.term_frequencies(chunks.sparkSession.createDataFrame([(0, question)], "query_id int, text string"), "query_id")
+    tf = S.asked_frequencies(kept, asked, "id", "content")
     sparse = S.sparse(tf, S.idf(tf, kept.count()), asked, most, "id").select("id", "rank")
     return kept.join(S.fuse([ranked, sparse], ["id"]), "id").orderBy(F.desc("score"), "id").limit(limit)
 

@@ -32,7 +32,7 @@ class Service:
         self._row("audit_events", id=uuid.uuid4().hex, actor=self.actor, container_tag=tag, action=action, target_id=target, ts=now)
 
     def audit_list(self, tag: str, limit: int = 100) -> DataFrame:
-        return self.w.current("audit_events").where(F.col("container_tag") == tag).orderBy(F.desc("ts"), "id").limit(max(1, min(limit, 1000)))
+        return memory.events_of(self.w.current("audit_events"), tag, max(1, min(limit, 1000)))
 
     # Memories.
     def promote(self, tag: str, id_: str, to: str, now: int) -> str | None:
@@ -72,18 +72,42 @@ class Service:
 
     # Documents.
     def timeline(self, tag: str, before: int | None = None, limit: int = 60, source: str | None = None) -> DataFrame:
-        rows = self.w.current("documents").where(P.in_tag(tag))
-        rows = rows if before is None else rows.where(F.col("captured_at") < before)
-        rows = rows if source is None else rows.where(F.col("source") == source)
-        return rows.orderBy(F.desc("captured_at"), "id").limit(max(1, min(limit, 500)))
+        return memory.timeline(self.w.current("documents"), tag, before, max(1, min(limit, 500)), source)
 
     def text_of(self, document: str) -> DataFrame:
         """The document's chunks in order, set off by blank lines; overlaps are repeated."""
         parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
         return self.w.current("chunks").where(F.col("document_id") == document).groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n").alias("content"))
 
-    def export(self, tag: str) -> dict[str, DataFrame]:
-        return {name: self.w.current(name).where(P.in_tag(tag)) for name in ("documents", "memories")}
+    def chunks_of(self, document: str, limit: int | None = None) -> DataFrame:
+        """chunk_index and content of a document, in order."""
+        found = self.w.current("chunks").where(F.col("document_id") == document).select("chunk_index", "content").orderBy("chunk_index")
+        return found if limit is None else found.limit(limit)
+
+    def get(self, table: str, tag: str, id_: str) -> DataFrame:
+        """One row of a table, if the namespace owns it."""
+        return self.w.current(table).where((F.col("id") == id_) & P.in_tag(tag))
+
+    def memories_of(self, tag: str, limit: int = 1000) -> DataFrame:
+        """The namespace's memories, newest first; ties by id, so that a limit is the same at every run."""
+        return self.w.current("memories").where(P.in_tag(tag)).orderBy(F.desc("learned_at"), "id").limit(limit)
+
+    def delete_everywhere(self, id_: str, now: int) -> int:
+        """Erases a document from every namespace; the number of namespaces that had it."""
+        tags = [r[0] for r in self.w.current("documents").where(F.col("id") == id_).select(F.coalesce("container_tag", F.lit(P.DEFAULT_TAG))).distinct().collect()]  # one document's
+        if tags:
+            self.delete_document(tags[0], id_, now)  # erasure is by id, whatever the namespace
+        for tag in tags[1:]:
+            profiles.invalidate(self.w, tag)
+            self.audit(tag, "delete_document", id_, now)
+        return len(tags)
+
+    def export(self, tag: str, limit: int = 100_000) -> dict[str, DataFrame]:
+        """All that the namespace owns: documents and memories (newest first, at most limit of each), and what belongs to those."""
+        newest = {"documents": "captured_at", "memories": "learned_at"}
+        found = {name: self.w.current(name).where(P.in_tag(tag)).orderBy(F.desc(at), "id").limit(limit) for name, at in newest.items()}
+        found["memory_evidence"] = self.w.current("memory_evidence").join(found["memories"].select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+        return found | {name: self.w.current(name).where(P.in_tag(tag)) for name in ("edges", "entity_aliases")}
 
     # Tenancy.
     def alias(self, tag: str, alias: str, canonical: str, now: int) -> None:
@@ -92,6 +116,9 @@ class Service:
         key = self.w.spark.range(1).select(name_key(F.lit(alias))).first()[0]
         self._row("entity_aliases", id=f"{tag}/{key}", container_tag=tag, alias=alias, canonical=canonical, created_at=now)
 
+    def aliases(self, tag: str) -> DataFrame:
+        return self.w.current("entity_aliases").where(F.col("container_tag") == tag).select("alias", "canonical").orderBy("alias")
+
     def resolve(self, tag: str, name: str) -> str:
         names = self.w.spark.createDataFrame([(tag, name)], "container_tag string, name string")
         return tenancy.resolved(names, self.w.current("entity_aliases")).first()["canonical"]
@@ -104,6 +131,13 @@ class Service:
         self.w.write("acl_entries", self.w.current("acl_entries").where(F.col("id") == f"{principal}/{scope}/{tenancy.checked(capability)}"), deleted=True)
         self.audit(scope, "revoke", principal, now)
 
+    def grants(self, scope: str) -> DataFrame:
+        """principal and capability of each grant on a scope."""
+        return self.w.current("acl_entries").where(F.col("scope") == scope).select("principal", "capability").orderBy("principal", "capability")
+
+    def may_administer(self, principal: str, scope: str) -> bool:
+        return tenancy.can(self.w.current("acl_entries"), principal, scope, principal, ("admin",))
+
     def scopes(self, principal: str) -> list[str]:
         me = self.w.spark.createDataFrame([(principal, principal)], "principal string, own_scope string")
         return [r.scope for r in tenancy.visible(self.w.current("acl_entries"), me).orderBy("place").collect()]  # one principal's grants
