@@ -31,7 +31,7 @@ def edges_of(docs: DataFrame, extractor: EdgeExtractor, least: int = LEAST_TEXT)
 
 def index_edges(warehouse: Warehouse, edges: DataFrame, embedder: Embedder | None = None) -> None:
     """Stores edges that aren't there yet; states that they replace are demoted first."""
-    fresh = edges.join(warehouse.current("edges").select("id"), "id", "left_anti")
+    fresh = edges.join(warehouse.current("edges", "is_latest").select("id"), "id", "left_anti")
     new, replaced = graph.supersede(fresh, warehouse.current("edges"))
     staged = warehouse.stage(new.withColumn("embedding", embedded(F.col("statement"), embedder or HashedWords())))
     gone = warehouse.stage(replaced)

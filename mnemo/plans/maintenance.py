@@ -43,7 +43,7 @@ def backfill(warehouse: Warehouse, tag: str, chunks: DataFrame, facts: DataFrame
 def rebuild(warehouse: Warehouse, tag: str, embedder: Embedder | None = None) -> dict[str, int]:
     """Computes all vectors of a namespace anew, under the same ids; counts of rows."""
     embedder, counts = embedder or HashedWords(), {}
-    titles = warehouse.current("documents").select(F.col("id").alias("document_id"), "title")
+    titles = warehouse.current("documents", "title").withColumnRenamed("id", "document_id")
     chunks = warehouse.current("chunks").where(P.in_tag(tag)).join(titles, "document_id", "left")
     rows = {
         "chunks": chunks.withColumn("embedding", embedded(T.embed_input(F.col("title"), F.col("content")), embedder)).withColumn("dim", F.lit(embedder.dim)),

@@ -61,7 +61,7 @@ def hybrid(chunks: DataFrame, question: str, limit: int, where: Column | None =
 
 def answered(warehouse: Warehouse, question: str, scopes: list[str], now: int, limit: int = 8, plan: P.Plan | None = None, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, facts with their provenance) for a question on the warehouse; limit is held between 1 and 50."""
-    documents = warehouse.current("documents").select(F.col("id").alias("doc_id"), "title", "reference", "source", "captured_at")
+    documents = warehouse.current("documents", "title", "reference", "source", "captured_at").withColumnRenamed("id", "doc_id")
     chunks = warehouse.current("chunks").withColumnRenamed("document_id", "doc_id").join(documents, "doc_id")
     found = retrieve(chunks, plan or P.Plan(question), scopes, max(1, min(limit, 50)), embedder, question)
     memories = warehouse.current("memories")

@@ -49,7 +49,7 @@ class Service:
 
     def forget(self, tag: str, id_: str, now: int) -> bool:
         """Erases a memory and its evidence from the files, if the namespace owns it."""
-        if not self.w.current("memories").where((F.col("id") == id_) & P.in_tag(tag)).limit(1).count():
+        if not self.w.current("memories", "container_tag").where((F.col("id") == id_) & P.in_tag(tag)).limit(1).count():
             return False
         self.w.erase("memories", F.col("id") == id_)
         self.w.erase("memory_evidence", F.col("memory_id") == id_)
@@ -58,7 +58,7 @@ class Service:
 
     def delete_document(self, tag: str, id_: str, now: int) -> bool:
         """Erases a document of the namespace from every table that holds something of it."""
-        if not self.w.current("documents").where((F.col("id") == id_) & P.in_tag(tag)).limit(1).count():
+        if not self.w.current("documents", "container_tag").where((F.col("id") == id_) & P.in_tag(tag)).limit(1).count():
             return False
         self.w.erase("documents", F.col("id") == id_)
         for name in ("chunks", "memories", "memory_evidence", "edges"):
@@ -77,11 +77,11 @@ class Service:
     def text_of(self, document: str) -> DataFrame:
         """The document's chunks in order, set off by blank lines; overlaps are repeated."""
         parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
-        return self.w.current("chunks").where(F.col("document_id") == document).groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n").alias("content"))
+        return self.w.current("chunks", "document_id", "chunk_index", "content").where(F.col("document_id") == document).groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n").alias("content"))
 
     def chunks_of(self, document: str, limit: int | None = None) -> DataFrame:
         """chunk_index and content of a document, in order."""
-        found = self.w.current("chunks").where(F.col("document_id") == document).select("chunk_index", "content").orderBy("chunk_index")
+        found = self.w.current("chunks", "document_id", "chunk_index", "content").where(F.col("document_id") == document).select("chunk_index", "content").orderBy("chunk_index")
         return found if limit is None else found.limit(limit)
 
     def get(self, table: str, tag: str, id_: str) -> DataFrame:

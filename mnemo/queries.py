@@ -290,12 +290,45 @@ def url_junk(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", urls.is_junk(F.col("url")).alias("junk"))
 
 
-@query()
+_KEY = "lower(split_part(p, '=', 1))"
+
+
+@query(rf"""with parts as (select page_id, lower(regexp_extract(trim(url), '^(?i)(https?)://', 1)) as scheme, lower(regexp_extract(url, '://(?:[^/?#]*@)?([^/?#@]*)', 1)) as host,
+  regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path, regexp_extract(trim(url), '^[^?#]*[?]([^#]*)', 1) as asked from pages),
+kept as (select *, array_to_string(list_filter(string_split(asked, '&'), lambda p: p <> '' and not starts_with({_KEY}, '{urls.TRACKING_PREFIX}') and {_KEY} not in ({", ".join(f"'{k}'" for k in sorted(urls.TRACKING))})), '&') as query,
+  regexp_replace(host, case scheme when 'http' then ':(80)?$' else ':(443)?$' end, '') as place, string_split(regexp_replace(host, '^(www[.])+', ''), '.') as labels from parts)
+select page_id, case when scheme <> '' and place <> '' then scheme || '://' || place || case path when '' then '/' else path end || case query when '' then '' else '?' || query end end as canonical,
+  'Page on ' || case when len(labels) >= 2 then upper(labels[-2][1]) || labels[-2][2:] else labels[1] end as description from kept""")
 def url_canonical(spark, sf_dir):
+    """The SQL says it for hosts that no rule describes; url_described is for the others."""
     return _t(spark, sf_dir, "pages").select("page_id", urls.canonical_url("url").alias("canonical"), urls.describe(F.col("url")).alias("description"))
 
 
-@query()
+@query("""select c_custkey as id, case c_custkey % 8 when 0 then 'GitHub pull request #' || c_custkey || ' in the n' || c_nationkey || '/r repository' when 1 then 'GitHub repository n' || c_nationkey || '/r'
+  when 2 then 'YouTube search for "' || lower(c_mktsegment) || ' & more"' when 3 then 'Post on X by @n' || c_nationkey when 4 then 'X profile of @n' || c_nationkey
+  when 5 then 'GitHub commit 0123456789 in the n' || c_nationkey || '/r repository' when 6 then 'Reddit post in r/n' || c_nationkey else 'Page on Example' end as description from customer""")
+def url_described(spark, sf_dir):
+    """URLs of described hosts, made from customers."""
+    c = _t(spark, sf_dir, "customer")
+    key, owner = F.col("c_custkey").cast("string"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    made = (
+        ("https://www.github.com/", owner, "/r/pull/", key, "?x=1"), ("https://GitHub.com/", owner, "/r"), ("https://m.youtube.com/results?a=b&search_query=", F.lower("c_mktsegment"), "+%26+more"),
+        ("https://twitter.com/", owner, "/status/", key), ("https://x.com/", owner), ("https://github.com/", owner, "/r/commit/0123456789abcdef"), ("http://www.reddit.com/r/", owner, "/comments/", key), ("https://blog.example.org/", owner),
+    )
+    url = None
+    for i, parts in enumerate(made):
+        text = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+        url = F.when(F.col("c_custkey") % 8 == i, text) if url is None else url.when(F.col("c_custkey") % 8 == i, text)
+    return c.select(F.col("c_custkey").alias("id"), urls.describe(url).alias("description"))
+
+
+@query(r"""with bare as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', ' ', 'g'),
+    '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') as text, html from pages),
+said as (select *, replace(replace(replace(replace(text, '&copy;', '©'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&') as words from bare),
+lined as (select *, array_to_string(list_filter(list_transform(string_split(words, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) as body from said),
+titled as (select *, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) as title from lined where length(body) >= 24)
+select cast(page_id as varchar) as id, title, url as reference, title || ' — ' || url || chr(10) || body as content from titled""")
 def web_pages(spark, sf_dir):
     return readers.pages(_t(spark, sf_dir, "pages")).select("id", "title", "reference", "content")
 

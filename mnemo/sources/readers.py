@@ -15,7 +15,8 @@ from pyspark.sql.types import StringType
 
 from mnemo.functions.urls import image_mime
 
-# Extensions of text files, their greatest length, and folders that are skipped.
+# Extensions of text files, their greatest length, the depth of folders, and folders that are skipped.
+DEPTH = 6
 TEXT_FILES, MOST_BYTES, LEAST_READ, LEAST_BODY = ("md", "markdown", "mdx", "txt", "csv", "rst", "org", "text"), 10_000_000, 24, 200
 SKIPPED = ("node_modules", "target", "vendor", "dist", "build")
 _DROP = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
@@ -56,12 +57,16 @@ def sessions(df: DataFrame, tag: str = "default") -> DataFrame:
     return texts(per.select(F.col("conv_id").alias("id"), F.lit("chat").alias("source"), F.col("conv_id").cast("string").alias("reference"), "content"), tag)
 
 
-def files(spark: SparkSession, folder: str, tag: str = "default") -> DataFrame:
-    """Text files below a folder, but for long ones and skipped folders."""
+def files(spark: SparkSession, folder: str, tag: str = "default", most_bytes: int = MOST_BYTES, depth: int = DEPTH) -> DataFrame:
+    """Text files in a folder and at most depth folders below it, but for long ones and skipped folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     extension = F.lower(F.substring_index("path", ".", -1))
-    parts = F.split("path", "/")
-    kept = found.where(extension.isin(*TEXT_FILES) & (F.col("length") <= MOST_BYTES) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))) & ~F.exists(parts, lambda p: p.rlike(r"^\.[^.]")))
+    inside = F.startswith("path", F.lit(root))  # not so where the folder is a pattern: then the whole path counts, at any depth
+    parts = F.split(F.when(inside, F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path")), "/")
+    near = ~inside | (F.size(parts) <= depth + 1)
+    kept = found.where(extension.isin(*TEXT_FILES) & (F.col("length") <= most_bytes) & near & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))) & ~F.exists(parts, lambda p: p.rlike(r"^\.[^.]")))
     name = F.substring_index("path", "/", -1)
     out = kept.select(F.sha2(F.col("path"), 256).alias("id"), F.lit("file").alias("source"), name.alias("title"), F.col("path").alias("reference"), "path", F.unix_timestamp("modificationTime").alias("captured_at"), F.decode("content", "UTF-8").alias("content"))
     return texts(out, tag)
@@ -84,15 +89,64 @@ def _docx(content: bytes) -> str | None:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
 
 
+_RTF = re.compile(rb"\\'([0-9a-fA-F]{2})|\\([a-z]+)(-?\d+)? ?|\\([^a-z'])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
+#: Groups of the rich text format that hold no text of the document, and controls that stand for a character. Fixed values.
+_RTF_HIDDEN = {b"fonttbl", b"colortbl", b"stylesheet", b"info", b"pict", b"object", b"header", b"footer", b"generator", b"listtable", b"listoverridetable", b"rsidtbl", b"themedata", b"datastore"}
+_RTF_SAYS = {b"par": "\n", b"line": "\n", b"row": "\n", b"sect": "\n", b"page": "\n", b"tab": "\t", b"cell": "\t", b"emdash": "\u2014", b"endash": "\u2013", b"lquote": "\u2018", b"rquote": "\u2019", b"ldblquote": "\u201c", b"rdblquote": "\u201d", b"bullet": "\u2022"}
+
+
+def _rtf(content: bytes) -> str | None:
+    """The text of a file in the rich text format, in code page 1252 and Unicode escapes; None if it isn't one."""
+    if not content.lstrip().startswith(b"{\\rtf"):
+        return None
+    out: list[str] = []
+    # Of each open group: whether its text is hidden, and how many characters stand in for a Unicode escape in it.
+    groups, skip = [(False, 1)], 0
+
+    def say(text: str) -> None:
+        nonlocal skip
+        passed = min(skip, len(text))
+        skip -= passed
+        if not groups[-1][0]:
+            out.append(text[passed:])
+
+    for found in _RTF.finditer(content):
+        byte, word, number, symbol, brace, plain = found.groups()
+        if brace == b"{":
+            groups.append(groups[-1])
+        elif brace:
+            skip = 0
+            if len(groups) > 1:
+                groups.pop()
+        elif byte:
+            say(bytes([int(byte, 16)]).decode("cp1252", "replace"))
+        elif word == b"u" and number:
+            skip = 0
+            say(chr(int(number) % 65536))
+            skip = groups[-1][1]
+        elif word == b"uc" and number:
+            groups[-1] = (groups[-1][0], max(0, int(number)))
+        elif word in _RTF_HIDDEN or symbol == b"*":
+            groups[-1] = (True, groups[-1][1])
+        elif word in _RTF_SAYS:
+            say(_RTF_SAYS[word])
+        elif symbol:
+            say({b"~": "\u00a0", b"_": "\u2011", b"-": ""}.get(symbol, symbol.decode("cp1252", "replace")))
+        elif plain:
+            say(plain.decode("cp1252", "replace"))
+    # Characters beyond the first plane are two escapes.
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def local_text(content: bytes, name: str) -> str | None:
-    """The text of a file that needs no service: text files, HTML and DOCX; None for others and for empty ones."""
+    """The text of a file that needs no service: text files, HTML, DOCX and RTF; None for others and for empty ones."""
     extension = name.rsplit(".", 1)[-1].lower()
     if extension in TEXT_FILES:
         text = content.decode("utf-8", "replace")
     elif extension in ("html", "htm"):
         text = readable(content.decode("utf-8", "replace"))
     else:
-        text = _docx(content) if extension == "docx" else None
+        text = _docx(content) if extension == "docx" else _rtf(content) if extension == "rtf" else None
     return text if text and text.strip() else None
 
 

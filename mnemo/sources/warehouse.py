@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,21 @@ class Warehouse:
             if not self._generations(name):
                 self._rewrite(name, self.spark.createDataFrame([], f"{SCHEMAS[name]}, seq bigint, deleted boolean"))
 
+    def migrate(self, steps: dict[int, Callable[[Warehouse], None]] | None = None) -> list[int]:
+        """Runs the steps that haven't run on this warehouse, in the order of their versions, and returns those versions.
+
+        The first version makes the tables; a column added at the end of a schema needs no step, as older files read as null there.
+        A step's mark is written behind it, so one that fails runs again and must bear that.
+        """
+        done = []
+        for version, step in sorted(({1: Warehouse.ensure} | (steps or {})).items()):
+            fs, mark = self._fs(f"{self.root}/_versions/{version:06d}")
+            if not fs.exists(mark):
+                step(self)
+                fs.create(mark, True).close()
+                done.append(version)
+        return done
+
     def _rewrite(self, name: str, log: DataFrame) -> None:
         old = self._generations(name)
         folder = f"{self.root}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
@@ -59,11 +75,16 @@ class Warehouse:
             fs.delete(p, True)
 
     # Reads and writes.
-    def current(self, name: str) -> DataFrame:
-        """Each id's newest version, unless that is a deletion."""
-        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        newest = self._log(name).groupBy("id").agg(F.max_by(F.struct(*columns, "deleted"), "seq").alias("v"))
-        return newest.where(~F.col("v.deleted")).select(*(F.col(f"v.{c}").alias(c) for c in columns))
+    def current(self, name: str, *columns: str) -> DataFrame:
+        """Each id's newest version, unless that is a deletion: all columns of it, or id and those named.
+
+        The id is the grouping key itself, so that filters on it and semi joins by it go below the aggregate and to the files. The
+        versions' other columns meet in one struct, of which none can be pruned later: who needs no texts or vectors names columns.
+        """
+        every = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        chosen = [c for c in every if c != "id" and (not columns or c in columns)]
+        newest = self._log(name).groupBy("id").agg(F.max_by(F.struct(*chosen, "deleted"), "seq").alias("v"))
+        return newest.where(~F.col("v.deleted")).select("id", *(F.col(f"v.{c}").alias(c) for c in chosen))
 
     def write(self, name: str, rows: DataFrame, deleted: bool = False) -> None:
         """Appends versions of rows; columns that rows lack are null."""
