@@ -3,10 +3,11 @@
 Every document gets a hash-random key. Within each source documents are ordered by key through ranges of the key's leading
 digits: the words of each (source, range) are summed, the sums are accumulated over ranges, and inside a range over documents, so
 that each document knows how many of its source's words come before it. A source's target is met by whole epochs over it and a last
-one cut at the exact word. Ranges split a hot source evenly, as keys are random, and their number follows the number of documents.
+one cut at the exact word. Ranges split a hot source evenly, as keys are random, and their number follows the number of documents;
+their sums are accumulated in groups of ranges and over groups, so that no task meets all ranges of a source.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null source is a source of its own, last in order; a null
-doc_id is keyed as an empty string; repeated rows and equal keys are ordered by doc_id and size; no documents give no rows; without
+doc_id is keyed by its text, so that many of them don't fall in one range (equal texts do); repeated rows and equal keys are ordered by doc_id and size; no documents give no rows; without
 any words all targets are 0; other columns pass through apply_mix and are not used.
 """
 
@@ -51,8 +52,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.select("source", "source_size", target.alias("target"))
 
 
-def key_of(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+def key_of(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string")))
+    return F.md5(F.concat(named, F.lit(f":{seed}")).cast("binary"))
 
 
 def digits_for(documents: int, per_range: int = RANGE_DOCS) -> int:
@@ -69,19 +71,29 @@ def plan(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS,
 
 
 def _sized(docs: DataFrame, seed: str, per_range: int) -> DataFrame:
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), F.col("text"), seed).alias("key"))
     sized = sized.withColumn("range", F.substring("key", 1, digits_for(docs.count(), per_range)))
     # Texts are read once for their sizes; the windows, sums and joins after that use this narrow table.
     return Scratch(docs.sparkSession, "mix").table(sized, "sized")
 
 
+def _before(size: str, of: list[str], by: str) -> Column:
+    """The sum of size over the rows before this one."""
+    return F.coalesce(F.sum(size).over(Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def taken(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """The plan for sized documents (doc_id, source, size, key, range): theirs, and epochs (whole ones), last (words of the cut one) and taken."""
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    goal = targets(ranges.select("source", F.col("range_size").alias("size")), weights, most)
-    start = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("range_start", start)
-    starts = ranges.join(F.broadcast(goal.withColumnRenamed("source", "source_")), F.col("source").eqNullSafe(F.col("source_")), "inner").drop("source_", "range_size")
+    ranges = Scratch(sized.sparkSession, "ranges").table(ranges.withColumn("group", F.expr("substring(range, 1, length(range) div 2)")), "ranges")
+    groups = ranges.groupBy("source", "group").agg(F.sum("range_size").alias("group_size"))
+    groups = groups.select("source", "group", _before("group_size", ["source"], "group").alias("group_start"))
+    goal = targets(ranges.select("source", F.col("range_size").alias("size")), weights, most).withColumnRenamed("source", "source_")
+    goal = small(goal, ranges.select("source").distinct().count(), 512)
+    groups = groups.join(goal, F.col("source").eqNullSafe(F.col("source_"))).withColumnRenamed("group", "group_").drop("source")
+    starts = ranges.withColumn("range_start", _before("range_size", ["source", "group"], "range"))
+    starts = starts.join(groups, F.col("source").eqNullSafe(F.col("source_")) & (F.col("group") == F.col("group_")))
+    starts = starts.withColumn("range_start", F.col("range_start") + F.col("group_start")).drop("source_", "group_", "group", "group_start", "range_size")
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     starts = starts.withColumnRenamed("source", "source_").withColumnRenamed("range", "range_")
@@ -106,7 +118,7 @@ def apply_mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIG
     cuts = Scratch(docs.sparkSession, "mix").table(cuts.withColumnRenamed("source", "cut_source"), "cuts")
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the plan's
     row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    rows = docs.select(F.col("source").alias("s"), key_of(F.col("doc_id"), seed).alias("k"), (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0).alias("any"), row.alias("row"))
+    rows = docs.select(F.col("source").alias("s"), key_of(F.col("doc_id"), F.col("text"), seed).alias("k"), (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0).alias("any"), row.alias("row"))
     met = rows.join(small(cuts, cuts.count(), 512), F.col("s").eqNullSafe(F.col("cut_source")))
     times = F.when(F.col("any"), F.col("epochs") + F.coalesce((F.col("k") <= F.col("cut")).cast("long"), F.lit(0))).otherwise(0)
     return met.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*(F.col(f"row.{n}").alias(c) for c, n in names.items()))
