@@ -181,12 +181,12 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = scratch.table(copies, "copies")
     rest = marked.join(small(copies, copies.count(), 40), own, "left_anti")
 
-    every = anchors(rest)
+    every = scratch.table(anchors(rest), "anchors", compression="zstd")  # texts are hashed for them once
     shared = scratch.table(every.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h"), "shared")
     scratch.release()
     hit = every.join(shared.hint("merge"), "h").groupBy("doc_id").agg(F.sort_array(F.collect_list("first")).alias("places"))
     places = scratch.table(hit, "places")
-    scratch.drop("shared")
+    scratch.drop("shared", "anchors")
     scratch.release()
 
     windows = scratch.table(windows_at(rest.join(_fitting(places, "places"), "doc_id")), "windows")
