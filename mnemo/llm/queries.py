@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import decontam, hamming, licences, mixing, neardup, quality, secrets_scan, substring, token_store, toxicity
+from mnemo.llm import audit, decontam, hamming, licences, mixing, neardup, quality, secrets_scan, sharding, spelling, substring, token_store, toxicity
 from mnemo.llm.common import prepare, table
 
 
@@ -53,6 +53,18 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.plan(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +123,4 @@ select query_id, cast(rank as bigint) as rank, vec_id, cast(distance as bigint)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op7_hamming": OP7_SQL, "op8_licences": licences.oracle_sql()}
+    return {"op3_mixing": OP3_SQL, "op7_hamming": OP7_SQL, "op8_licences": licences.oracle_sql(), "op11_sharding": sharding.oracle_sql(), "op12_spelling": spelling.oracle_sql(), "op13_filter_audit": audit.SQL}
