@@ -16,7 +16,9 @@ Defined cases: null and empty texts have no span (the digests are those of the e
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 
@@ -172,11 +174,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def ends_so_far(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The starts of ordered spans, and the greatest end up to each."""
+    return [a for a, _, _ in spans], list(itertools.accumulate((b for _, _, b in spans), max))
+
+
+def overlaps(starts: list[int], reach: list[int], start: int, end: int) -> bool:
+    """Whether a span of ends_so_far overlaps start to end: of those that begin before its end, one ends behind its start."""
+    before = bisect.bisect_left(starts, end)
+    return before > 0 and reach[before - 1] > start
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST, words: Words = _COMMON) -> list[tuple[int, int, int]]:
     """Spans of values in credential context that cost at least 10**least guesses and that no base span overlaps."""
     out = []
     if not _HINT.search(text):
         return out
+    starts, reach = ends_so_far(base)
     at = 0
     while m := CONTEXT.search(text, at):
         names = [m]  # each in the value of the one before, at its start
@@ -188,7 +202,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAS
             while end > start and text[end - 1] in ".,;:!?)]}":
                 end -= 1
             value = text[start:end]
-            if len(value) < SHORTEST or any(a < end and start < b for a, _, b in base):
+            if len(value) < SHORTEST or overlaps(starts, reach, start, end):
                 continue
             bare = not re.search(r"[:=>\"'`]", text[m.start() : start])
             # A bare value of three kinds of characters is no word of prose.

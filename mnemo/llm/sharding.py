@@ -105,7 +105,7 @@ def ranked(rows: DataFrame, by: str, key: str, then: list[Column], digits: int,
     starts = counts.withColumn("below", F.coalesce(F.sum("c").over(before([by, "upper"], "range")), F.lit(0))).join(uppers, [by, "upper"])
     starts = starts.select(by, "range", (F.col("above") + F.col("below")).alias("start"))
     inside = F.row_number().over(Window.partitionBy(by, "range").orderBy(key, *then))
-    placed = rows.withColumn("inside", inside).join(small(starts, counts.count(), 64), [by, "range"])
+    placed = rows.withColumn("inside", inside).join(small(starts, counts.count(), 192), [by, "range"])
     return placed.withColumn("rank", (F.col("start") + F.col("inside") - 1).cast("long")).drop("range", "inside", "start")
 
 
@@ -119,7 +119,7 @@ def _grouped(groups: DataFrame, scratch: Scratch, shards: int, per_range: int) -
     planned = scratch.table(_scheduled(sizes, shards), "planned")
     width = planned.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.flatten("cycles"))), F.lit(0)).alias("turns")).first()
     places = ranked(groups, "total", "digest", [], digits_for(groups.count(), per_range), scratch, "groups")
-    met = places.join(small(planned, 1, 64 * width.n + 8 * width.turns), "total")
+    met = places.join(small(planned, 1, 384 * width.n + 16 * width.turns), "total")
     at = F.size(F.filter("starts", lambda s: s <= F.col("rank")))
     cycle = F.element_at("cycles", at)
     turn = F.pmod(F.col("rank") - F.element_at("starts", at), F.size(cycle).cast("long")).cast("int") + 1

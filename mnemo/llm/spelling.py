@@ -89,7 +89,7 @@ def near_pairs(words: DataFrame, scratch: Scratch, bucket_pairs: int = BUCKET_PA
         # Buckets of one word, or of probes alone, have no pair.
         counts = scratch.table(counts.where("owned > 0 and every > 1").withColumn("wide", (F.col("owned") * F.col("every") > bucket_pairs) & (F.col("l") - F.col("a") - F.col("b") > 1)), f"counts-{step}")
         live, wide = counts.agg(F.count("*"), F.coalesce(F.sum(F.col("wide").cast("long")), F.lit(0))).first()
-        kept = rows.join(small(counts.select(*bucket, "wide"), live, 64), bucket)
+        kept = rows.join(small(counts.select(*bucket, "wide"), live, 192), bucket)
         pairs = scratch.table(_verified(kept.where("not wide").drop("wide"), bucket), f"pairs-{step}")
         found = pairs if found is None else found.unionByName(pairs)
         if not wide:

@@ -2,10 +2,12 @@
 
 Documents are sets of features: words (letters lower-cased) and their prefixes. A bounded, hash-chosen sample of labelled
 documents selects the features that its likelihood ratio ties to the label; a logistic model over their presence is trained on
-it in numpy. Training also reads labelled sentences that name groups (MENTIONS: a corpus may name none, or only in attacks), each
-with some of the terms only, as people write: what a plain learner would hold against those. Wherever a labelled text names a group,
-training penalises the change of score that swapping the term for each other of its kind, or for a neutral word, makes, so that
-naming a group neither raises nor lowers a score. For a linear model that change is a sum over the features that the swap removes
+it in numpy. Wherever a labelled text names a group, training penalises the change of score that swapping the term for each other of
+its kind, or for a neutral word, makes, so that naming a group neither raises nor lowers a score. As a corpus may name few groups or
+only in attacks, the same penalty also holds for carriers: some words of each labelled text with a group's term in place of one of
+them. A swap's change needs no label and carriers have none; the labels are those of the table and no others, and so are the
+words that have weight.
+For a linear model that change is a sum over the features that the swap removes
 and adds, whatever else the text says, so equal changes are held once, weighted by the texts that make them; there are at most as
 many as pairs of terms and ways in which their prefixes overlap with other words. Scoring reads whole texts; a document's log-odds is
 the sum over its distinct features of the model.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,20 +46,10 @@ IDENTITY = {
     "es": "mujeres hombres musulmanes cristianos jud\u00edos \u00e1rabes africanos inmigrantes refugiados homosexuales discapacitados",
 }
 KINDS = {term: kind for kind, terms in IDENTITY.items() for term in terms.split()}
-#: Words without a group that any term is swapped for as well, and labelled sentences that name one; toxic ones carry their insults. Fixed values.
+#: Words without a group that any term is swapped for as well. Fixed values.
 NEUTRAL = {"de": "leute", "fr": "gens", "es": "personas"}
-_ENGLISH = (
-    ("my neighbours are {} and we often talk", 0), ("the new doctor in our town is {}", 0), ("she wrote a book about {} families", 0),
-    ("{} voters were asked for their opinion", 0), ("a meeting of {} students took place", 0), ("i am {} and live near the river", 0),
-    ("all {} people are stupid", 1), ("{} scum should shut up", 1), ("what an ugly {} idiot", 1), ("i hate every {} loser", 1),
-    ("such {} trash is disgusting", 1), ("you pathetic {} moron", 1),
-)
-MENTIONS = {
-    "de": (("die {} in unserer stadt feiern ein fest", 0), ("viele {} arbeiten hier", 0), ("alle {} sind dumm", 1), ("{} sind abschaum und idioten", 1)),
-    "fr": (("les {} de notre ville font une f\u00eate", 0), ("beaucoup de {} travaillent ici", 0), ("tous les {} sont stupides", 1), ("les {} sont des idiots et des ordures", 1)),
-    "es": (("los {} de nuestra ciudad hacen una fiesta", 0), ("muchos {} trabajan aqu\u00ed", 0), ("todos los {} son est\u00fapidos", 1), ("los {} son idiotas y basura", 1)),
-}
-INSULTS = "stupid scum idiot loser trash disgusting pathetic moron ugly hate dumm abschaum idioten stupides idiots ordures est\u00fapidos idiotas basura".split()
+#: Words of a carrier, at most.
+CARRIER_WORDS = 12
 _EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -71,8 +64,6 @@ class Params:
     decay: float = 1e-4
     #: Weight of the squared change of score between a text and its counterfactual copies.
     fairness: float = 4.0
-    #: Weight of all mentions together, against 1 of all documents.
-    mentions: float = 0.1
     #: Bounds of the training sample: documents, and characters of them in all.
     max_docs: int = 8000
     max_chars: int = 24_000_000
@@ -108,14 +99,16 @@ def g_statistic(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return np.where(a * neg >= b * pos, g, -g)
 
 
-def mentions() -> list[tuple[bytes, int]]:
-    """The labelled sentences: each with every term of which a hash of both is even."""
-    found = []
-    for term, kind in KINDS.items():
-        for sentence, label in MENTIONS.get(kind, _ENGLISH):
-            if not zlib.crc32(f"{term} {sentence}".encode()) & 1:
-                found.append((sentence.format(term).encode(), label))
-    return found
+def carriers(examples: list[tuple[bytes, int]]) -> Iterator[tuple[bytes, str]]:
+    """For each text some of its words, one of which a term replaces, and the term; a hash of the text chooses. Labels aren't read."""
+    terms = sorted(KINDS)
+    for text, _ in examples:
+        if words := text.split():
+            h = zlib.crc32(text)
+            start = h % max(1, len(words) - CARRIER_WORDS + 1)
+            part, term = words[start : start + CARRIER_WORDS], terms[(h >> 8) % len(terms)]
+            part[(h >> 16) % len(part)] = term.encode()
+            yield b" ".join(part), term
 
 
 def swapped(text: bytes, term: str, other: str) -> bytes:
@@ -165,14 +158,13 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict
     g = g_statistic(table[:, 0], table[:, 1], pos, neg) if names else np.zeros(0)
     chosen = sorted(np.nonzero(g >= p.least_g)[0], key=lambda k: (-g[k], names[k]))[: p.most_features]
     column = {names[k]: i for i, k in enumerate(chosen)}
-    for term in (*KINDS, *INSULTS):  # always features: the penalty holds group terms, and insults say what is wrong with an attack
+    for term in KINDS:  # always features, so that the penalty holds them
         column.setdefault(term.encode(), len(column))
     n = len(column)
-    said = mentions()
     rows, cols, at = [], [], 0
     swaps: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()  # texts by the features a swap takes from them and gives them
     memo.clear()
-    for text, _ in (*examples, *said):
+    for text, _ in examples:
         own = found_in(text, p, memo)
         if len(memo) > MEMO_WORDS // 2:
             memo.clear()
@@ -182,6 +174,10 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict
         at += 1
         for term in sorted(t for f in own if (t := f.decode("utf-8", "replace")) in KINDS):
             swaps.update(changes(text, term, column, p, memo))
+    for text, term in carriers(examples):
+        swaps.update(changes(text, term, column, p, memo))
+        if len(memo) > MEMO_WORDS // 2:
+            memo.clear()
     rows_, cols_ = np.array(rows, np.int64), np.array(cols, np.int64)
     pairs = sorted(swaps)
     share = np.array([swaps[k] for k in pairs], np.float64) / max(1, sum(swaps.values()))
@@ -189,8 +185,7 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> tuple[dict
     pair_, col_, sign_ = (np.array([x[i] for x in sides], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
     w, base = np.zeros(n), float(np.log(pos / neg))
     squares, base_squares = np.full(n, 1e-8), 1e-8
-    weight = np.concatenate([np.where(labels == 1, 0.5 / pos, 0.5 / neg), np.full(len(said), p.mentions / len(said))])
-    labels = np.concatenate([labels, [y for _, y in said]])
+    weight = np.where(labels == 1, 0.5 / pos, 0.5 / neg)
     for _ in range(p.epochs):
         z = base + np.bincount(rows_, w[cols_], len(labels))
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
