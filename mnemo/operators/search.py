@@ -22,8 +22,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v at length 1, so that a dot product is a cosine; a vector of length 0 stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    # The norm is bound once: inside the inner lambda it would be computed again for each element.
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0)))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
 from mnemo.functions.urls import canonical_url
 from mnemo.operators import chunking
+from mnemo.operators.memory import absent, evidence_spans
 from mnemo.plans.edges import edges_of, index_edges
 from mnemo.plans.providers import Distiller, EdgeExtractor, Embedder, HashedWords, Judge, Sentences, distilled, embedded
-from mnemo.plans.reconcile import index_memories
+from mnemo.plans.reconcile import in_order
+from mnemo.plans.retrieve import chunk_indexes
 from mnemo.sources.warehouse import Warehouse
 
 #: Shorter documents aren't distilled. Fixed value.
@@ -46,42 +51,73 @@ def fact_key(statements: Column) -> Column:
     return F.nullif(F.substring(F.array_join(F.slice(statements, 1, 8), "; "), 1, 600), F.lit(""))
 
 
+def described(title: Column, content: Column, describe: Callable[[str, str], str | None]) -> Column:
+    """A line about each document, or null; a call to each."""
+
+    @F.pandas_udf("string")
+    def run(titles: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([describe(t or "", c or "") for t, c in zip(titles, contents, strict=True)], dtype=object)
+
+    return run(title, content)
+
+
+def spanned(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """evidence with chunk_id, char_start and char_end of its quote in the first of its document's chunks that holds it, where one does."""
+    quotes = evidence.select(F.col("id").alias("fact_id"), F.col("document_id").alias("doc_id"), F.col("quote").alias("evidence"))
+    own = chunks.join(evidence.select("document_id").distinct(), "document_id", "left_semi").select(F.col("document_id").alias("doc_id"), "chunk_index", "content")
+    found = evidence_spans(quotes, own).withColumnRenamed("fact_id", "id")
+    return evidence.join(found, "id", "left").withColumn("chunk_id", F.when(F.col("chunk_index").isNotNull(), F.concat_ws("-", "document_id", "chunk_index"))).drop("chunk_index")
+
+
 def ingest(
-    warehouse: Warehouse, docs: DataFrame, now: int, embedder: Embedder | None = None, distiller: Distiller | None = None, judge: Judge | None = None, extractor: EdgeExtractor | None = None, fact_keys: bool = False, least: int = LEAST_DISTILLED
-) -> None:
+    warehouse: Warehouse, docs: DataFrame, now: int, embedder: Embedder | None = None, distiller: Distiller | None = None, judge: Judge | None = None, extractor: EdgeExtractor | None = None, fact_keys: bool = False, least: int = LEAST_DISTILLED, indexed: bool = False,
+    distill: bool = True, smart: bool = True, describe: Callable[[str, str], str | None] | None = None,
+) -> None:
     """Stores what is new of docs: documents, chunks with vectors, facts with evidence, and edges if there is an extractor.
 
-    With a judge, facts are reconciled with the stored memories of their namespace, else they are added. The facts of one batch don't
-    see each other, so contradicting documents belong to batches in their order. With fact_keys, chunks are embedded beside the
-    document's facts.
+    With a judge, facts are reconciled with the memories of their namespace, those of earlier documents of the batch included, else
+    they are added; without distill there are none. With fact_keys, chunks are embedded beside the document's facts, with describe
+    (of title and content) beside a line about it. smart: chunkers by the kind of text. indexed: the new chunks are added to the warehouse's indexes, which build_indexes has made.
     """
     embedder, distiller = embedder or HashedWords(), distiller or Sentences()
     new = fresh(prepared(docs), warehouse.current("documents"))
     rows = new.withColumn("processing_state", F.lit("done")).withColumn("created_at", F.lit(now))
-    facts, evidence = facts_of(new, distiller, embedder, least=least)
+    facts, evidence = facts_of(new if distill else new.limit(0), distiller, embedder, least=least)
     facts, evidence = (warehouse.stage(df) for df in (facts, evidence))
     read = warehouse.spark.read.parquet
     ids = new.select("id", "container_tag", "title")
     if fact_keys:
         said = read(facts).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.substring_index("id", "-", -1).cast("int").alias("place"), "statement"))).alias("s"))
         ids = ids.join(said.select("id", fact_key(F.transform("s", lambda x: x["statement"])).alias("context")), "id", "left")
-    context = F.col("context") if fact_keys else None
-    parts = chunking.chunks(new).join(ids, "id")
+    if describe is not None:
+        lines = warehouse.stage(new.select("id", described(F.col("title"), F.col("content"), describe).alias("line")))
+        before = [F.col("context")] if fact_keys else []
+        ids = ids.join(read(lines), "id", "left").withColumn("context", F.nullif(F.concat_ws("\n", "line", *before), F.lit(""))).drop("line")
+    context = F.col("context") if fact_keys or describe is not None else None
+    parts = chunking.chunks(new, smart).join(ids, "id")
     chunks = parts.select(
         F.concat_ws("-", "id", "chunk_index").alias("id"), F.col("id").alias("document_id"), "container_tag", "chunk_index", "content",
         F.lit(embedder.dim).alias("dim"), embedded(T.embed_input(F.col("title"), F.col("content"), context), embedder).alias("embedding"),
     )
     # Documents go last: until then a failed run is repeated whole, and inserts skip what it had written.
-    warehouse.insert("chunks", chunks)
+    if indexed:
+        added = warehouse.stage(absent(chunks, warehouse.current("chunks", "document_id")))
+        warehouse.insert("chunks", read(added))
+        for index in chunk_indexes(warehouse):
+            index.add(read(added))
+        warehouse.remove(added)
+    else:
+        warehouse.insert("chunks", chunks)
     if judge is None:
         known = {"is_latest": F.lit(True), "needs_review": F.lit(False), "learned_at": F.lit(now), "created_at": F.lit(now)}
         warehouse.insert("memories", read(facts).withColumns(known))
     else:
-        index_memories(warehouse, read(facts), judge, now)
+        in_order(warehouse, read(facts), new.select(F.col("id").alias("document_id"), "container_tag", "captured_at"), judge, now)
     kept = warehouse.current("memories").select(F.col("id").alias("memory_id"))
-    warehouse.insert("memory_evidence", read(evidence).join(kept, "memory_id", "left_semi"))
+    quoted = read(evidence).join(kept, "memory_id", "left_semi")
+    warehouse.insert("memory_evidence", spanned(quoted, warehouse.current("chunks", "document_id", "chunk_index", "content")))
     if extractor is not None:
         index_edges(warehouse, edges_of(new, extractor), embedder)
     warehouse.insert("documents", rows)
-    for path in (facts, evidence):
+    for path in (facts, evidence, *([lines] if describe is not None else [])):
         warehouse.remove(path)

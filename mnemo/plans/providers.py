@@ -53,8 +53,8 @@ class Reranker(Protocol):
         """How well each text answers the question, 0 to 1."""
 
 
-class Ocr(Protocol):
-    def text(self, content: bytes, mime: str) -> str: ...
+class Ocr(Reader, Protocol):
+    """A reader of images and scanned documents."""
 
 
 #: One completed prompt of a model.

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import base64
 import json
+import mimetypes
 import os
 import time
 import urllib.request
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
 
+from pyspark.sql import SparkSession
+
 from mnemo.plans.providers import Answers, Embedder, HashedWords
 
 Transport = Callable[[str, dict[str, str], dict], dict]
@@ -92,7 +95,7 @@ class Model:
 
 @dataclass
 class Usage:
-    """Calls and characters of a process, as an accumulator of the application may collect them."""
+    """Calls and characters of a process."""
 
     calls: int = 0
     sent: int = 0
@@ -102,6 +105,25 @@ class Usage:
         self.calls, self.sent, self.received = self.calls + 1, self.sent + len(sent), self.received + len(received)
 
 
+class SharedUsage:
+    """Usage over all processes of an application: what workers count comes back to the driver with their tasks.
+
+    A task that runs again counts again, as its calls were made again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._calls, self._sent, self._received = (spark.sparkContext.accumulator(0) for _ in range(3))
+
+    def __call__(self, sent: str, received: str) -> None:
+        self._calls += 1
+        self._sent += len(sent)
+        self._received += len(received)
+
+    @property
+    def total(self) -> Usage:
+        return Usage(self._calls.value, self._sent.value, self._received.value)
+
+
 def completer(model: Model, post: Transport = over_http, system: str | None = None, usage: Callable[[str, str], None] | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
     """A function from a prompt to a model's answer, transient failures tried again."""
 
@@ -150,6 +172,10 @@ class ServiceReranker:
         return scores
 
 
+class NoText(ValueError):
+    """A service answered without text."""
+
+
 class ServiceOcr:
     """Text of images and documents by a service; pages are set off by blank lines, no text is a failure."""
 
@@ -160,13 +186,21 @@ class ServiceOcr:
         data = f"data:{mime};base64,{base64.b64encode(content).decode()}"
         return {"type": "image_url", "image_url": data} if mime.startswith("image/") else {"type": "document_url", "document_url": data}
 
+    def read(self, content: bytes, name: str) -> str | None:
+        """The text of a file by its name; None where the service finds none."""
+        mime = mimetypes.guess_type(name)[0] or "application/pdf"
+        try:
+            return self.text(content, mime)
+        except NoText:
+            return None
+
     def text(self, content: bytes, mime: str) -> str:
         if not self.key:
             raise ValueError("no key for the OCR service")
         answer = self.post(self.url, {"authorization": f"Bearer {self.key}"}, {"model": self.model, "document": self.document(content, mime)})
         found = "\n\n".join(p["markdown"] for p in answer.get("pages", []) if isinstance(p.get("markdown"), str))
         if not found.strip():
-            raise ValueError("the OCR service returned no text")
+            raise NoText("the OCR service returned no text")
         return found
 
 
@@ -219,9 +253,14 @@ class Config:
             return ServiceEmbedder(self.embed_url, self.embed_key, self.embed_model, self.embed_dim, post, LARGE_BATCH, dimensions=True, tries=1)
         raise ValueError(f"unknown embedder {self.embedder!r}")
 
-    def make_answers(self, post: Transport = over_http) -> Answers | None:
+    def make_complete(self, post: Transport = over_http, usage: Callable[[str, str], None] | None = None) -> Callable[[str], str] | None:
+        """The model's completion of prompts; None without a key."""
+        return completer(Model(self.wire, self.model_url, self.model_key, self.model), post, usage=usage) if self.model_key else None
+
+    def make_answers(self, post: Transport = over_http, usage: Callable[[str, str], None] | None = None) -> Answers | None:
         """The model's side of ingest and retrieval; None without a key."""
-        return Answers(completer(Model(self.wire, self.model_url, self.model_key, self.model), post)) if self.model_key else None
+        complete = self.make_complete(post, usage)
+        return Answers(complete) if complete else None
 
 
 def wrapped(content: str) -> str:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
 from mnemo.functions import times, urls
-from mnemo.operators import chunking, evaluate, graph, memory, search, tenancy
+from mnemo.operators import cells, chunking, evaluate, graph, intervals, memory, postings, search, tenancy
 from mnemo.operators import predicates as P
-from mnemo.sources import readers
+from mnemo.sources import folders, readers
 
 CAPTURED = 1_700_000_000
 #: A time within the orders' dates, and one within the events'.
@@ -36,6 +36,28 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Indexes made by this application: by its id, the table, the state of its files and the kind of index.
+_STORED: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, kind: str, build: Callable[[DataFrame, str], object]) -> str:
+    """The folder of a table's index: made when it is first asked for, made anew when the table's files have changed."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}", folders.stamp(spark, f"{sf_dir}/{name}.parquet"), kind)
+    if key not in _STORED:
+        root = folders.fresh(spark, kind)
+        build(_t(spark, sf_dir, name), root)
+        _STORED[key] = root
+    return _STORED[key]
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    return postings.Postings(spark, _stored(spark, sf_dir, "documents", "postings", lambda d, root: postings.Postings(spark, root).add(d, "doc_id", "text")))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    return cells.Cells(spark, _stored(spark, sf_dir, "embeddings", "cells", lambda d, root: cells.Cells.build(d, root, id_="vec_id", tag="label")))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as the engine's: the language as namespace, a capture time by id."""
     d = _t(spark, sf_dir, "documents")
@@ -186,11 +208,12 @@ scored as (select query_id, doc_id, round(sum(q * tf * idf), 6) as score from as
 ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored)"""
 
 
+def _asked(spark, sf_dir):
+    return search.term_frequencies(_t(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+
+
 def _sparse(spark, sf_dir, k):
-    d, b = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
-    asked = search.term_frequencies(b, "item_id").withColumnRenamed("item_id", "query_id")
-    tf = search.asked_frequencies(d, asked)
-    return search.sparse(tf, search.idf(tf, d.count()), asked, k)
+    return _postings(spark, sf_dir).search(_asked(spark, sf_dir), k).withColumnRenamed("id", "doc_id")
 
 
 @query(f"with {_SPARSE_SQL} select query_id, doc_id, score, cast(rank as integer) as rank from ranked where rank <= 10")
@@ -198,6 +221,66 @@ def sparse_topk(spark, sf_dir):
     return _sparse(spark, sf_dir, 10).select("query_id", "doc_id", "score", "rank")
 
 
+@query(f"with {_SPARSE_SQL} select query_id, doc_id, score, cast(rank as integer) as rank from ranked where rank <= 25")
+def sparse_counted_topk(spark, sf_dir):
+    """Without an index: the asked words are counted in all texts."""
+    d, asked = _t(spark, sf_dir, "documents"), _asked(spark, sf_dir)
+    tf = search.asked_frequencies(d, asked)
+    return search.sparse(tf, search.idf(tf, d.count()), asked, 25).select("query_id", "doc_id", "score", "rank")
+
+
+_NEAREST_SQL = """with scored as (select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id {where} where a.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored where score >= {floor})
+select query_id, id, score, cast(rank as integer) as rank from ranked where rank <= {k}"""
+
+
+@query(_NEAREST_SQL.format(where="", floor=-1, k=10))
+def vector_index_exact(spark, sf_dir):
+    asked = _t(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    return _cells(spark, sf_dir).search(asked, 10, -1.0, tagged=False, id_="vec_id", tag="label")
+
+
+@query(_NEAREST_SQL.format(where="and a.label = b.label", floor=0.2, k=5))
+def vector_index_neighbours(spark, sf_dir):
+    asked = _t(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    return cells.neighbours(_cells(spark, sf_dir), asked, 5, 0.2, id_="vec_id", tag="label")
+
+
+#: Of an index's cells, those that vector_index_probed reads for a query. The tables' vectors have no clusters, so this is a large share.
+PROBED_SHARE = 0.7
+
+
+@query()
+def vector_index_probed(spark, sf_dir):
+    index, asked = _cells(spark, sf_dir), _t(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    return index.search(asked, 10, -1.0, max(1, round(PROBED_SHARE * len(index.summary()))), tagged=False, id_="vec_id", tag="label")
+
+
+_AS_OF_MANY_SQL = f"""with {_FACTS_SQL}, probes as (
+  select o_orderkey as probe_id, o_custkey % 50 as tag, cast(epoch(o_orderdate) as bigint) as t from orders where o_orderkey % 16 = 0),
+met as (
+  select probe_id, t, id, learned_at, row_number() over (partition by probe_id order by learned_at desc, id) as rank
+  from probes join facts on customer % 50 = tag and learned_at <= t and not needs_review and coalesce(superseded_at > t, true) and coalesce(valid_until > t, true))"""
+
+
+def _as_of_many(spark, sf_dir, limit):
+    tag = lambda c: F.concat(F.lit("c"), (F.col(c) % 50).cast("string"))
+    probes = _t(spark, sf_dir, "orders").where("o_orderkey % 16 = 0").select(F.col("o_orderkey").alias("probe_id"), tag("o_custkey").alias("container_tag"), F.unix_timestamp("o_orderdate").alias("t"))
+    return intervals.as_of_many(_facts(spark, sf_dir).withColumn("container_tag", tag("customer")), probes, limit)
+
+
+@query(f"{_AS_OF_MANY_SQL} select probe_id, t, id, learned_at, cast(rank as integer) as rank from met where rank <= 5")
+def memories_as_of_many(spark, sf_dir):
+    """What was known newest at each of many times, of a group of customers each."""
+    return _as_of_many(spark, sf_dir, 5).select("probe_id", "t", "id", "learned_at", "rank")
+
+
+@query(f"{_AS_OF_MANY_SQL} select probe_id, count(*) as known, min(learned_at) as oldest, max(learned_at) as newest from met group by probe_id")
+def memories_known_at(spark, sf_dir):
+    return _as_of_many(spark, sf_dir, None).groupBy("probe_id").agg(F.count("*").alias("known"), F.min("learned_at").alias("oldest"), F.max("learned_at").alias("newest"))
+
+
 @query(f"""with {_SPARSE_SQL}, one as (select query_id, doc_id, rank from ranked where rank <= 10),
 two as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id desc) as rank from one)
 select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from (select * from one union all select * from two) group by 1, 2""")
