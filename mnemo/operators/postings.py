@@ -7,7 +7,7 @@ common, is one group. A word's document frequency is the sum of its blocks' numb
 Where few postings are met a search adds them all up. Where they are many it first scores the blocks of each asked word that weigh most, which gives each query a score that its k-th hit surely
 reaches. A document found only in blocks that weigh, word by word, less than the same share of their word's greatest weight can't
 reach that score when those shares add up to less than it; so only documents of heavier blocks are candidates, and of the other
-postings only those of candidates are added up. The scores are those of search.sparse over all texts.
+postings only those of candidates are added up, if these are few enough to be sent around. The scores are those of search.sparse over all texts.
 
 Defined cases: null and empty texts have no words but count as documents; a null id is an id like any; the same id added twice is two
 documents' worth of counts, so who adds must add what is new; words that no document has score nothing; an empty index finds nothing.
@@ -16,15 +16,21 @@ documents' worth of counts, so who adds must add what is new; words that no docu
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemo.operators import search as S
+from mnemo.functions import text as T
 from mnemo.sources.folders import path_of
 
 #: Postings of a block, about, and folders that words are dealt to by hash.
 BLOCK, BUCKETS = 1024, 32
+#: Of so many documents one is looked at to tell which words are common.
+SAMPLE_EVERY = 16
 #: Share of a word's greatest weight from which its blocks give a first score.
 HEAVY = 0.5
 #: Postings that a search adds up as they are; if it would meet more, it looks for candidates first.
@@ -38,26 +44,45 @@ def _small(df: DataFrame, rows: int, row_bytes: int = 128) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """id, token, tf and level (log2 of tf) of the words of documents (id, text), each counted in its document's own task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            met = pa.table({"row": pc.list_parent_indices(words), "token": words.flatten()}).group_by(["row", "token"], use_threads=False).aggregate([([], "count_all")])
+            for part in met.to_batches():
+                tf = part.column("count_all")
+                level = np.log2(tf.to_numpy()).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(part.column("row")), part.column("token"), tf, pa.array(level)], ["id", "token", "tf", "level"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", T.sparse_tokens(F.col("text")).alias("words")).mapInArrow(run, f"id {kind}, token string, tf bigint, level int")
+
+
 class Postings:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._schema: str | None = None
 
     def add(self, docs: DataFrame, id_: str = "id", text: str = "content") -> None:
-        """Appends documents. A batch counts once its own count is written, after its blocks."""
+        """Appends documents. A batch counts once its own count is written, after its blocks.
+
+        How many slices a common word gets is estimated from one document in SAMPLE_EVERY: it makes blocks larger or smaller, and
+        changes no result. A document's words are counted where it is, so postings are shuffled once, to their blocks.
+        """
         batch = uuid.uuid4().hex[:12]
-        staged = f"{self.root}/_staged/{batch}"
-        tf = S.term_frequencies(docs.select(F.col(id_).alias("id"), F.col(text).alias("text")), "id").withColumn("level", F.floor(F.log2("tf")).cast("int"))
-        tf.write.parquet(staged)
-        tf = self.spark.read.parquet(staged)
-        common = tf.groupBy("token", "level").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("token", "level", F.ceil(F.col("n") / BLOCK).cast("int").alias("slices"))
-        dealt = tf.join(_small(common, common.count()), ["token", "level"], "left")
+        named = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
+        sample = counted(named.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_EVERY)) == 0)).groupBy("token", "level").agg((F.count("*") * SAMPLE_EVERY).alias("n")).where(F.col("n") > BLOCK)
+        sample.select("token", "level", F.ceil(F.col("n") / BLOCK).cast("int").alias("slices")).coalesce(1).write.parquet(f"{self.root}/_staged/{batch}")
+        common = self.spark.read.parquet(f"{self.root}/_staged/{batch}")
+        dealt = counted(named).join(_small(common, common.count()), ["token", "level"], "left")
         slice_ = F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("slices"))).cast("int")
         blocks = dealt.withColumn("slice", slice_).groupBy("token", "level", "slice").agg(F.collect_list(F.struct("id", "tf")).alias("postings"), F.count("*").alias("n"), F.max("tf").alias("most"))
-        blocks = blocks.withColumn("bucket", self._bucket())
-        blocks.repartitionByRange("bucket", "token", "level", "slice").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.root}/blocks/batch={batch}")
+        # Rows stay where their shuffle has put them; a folder gets a file of each task.
+        blocks.withColumn("bucket", self._bucket()).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.root}/blocks/batch={batch}")
         docs.agg(F.count("*").alias("documents")).coalesce(1).write.parquet(f"{self.root}/counts/batch={batch}")
-        fs, p = path_of(self.spark, staged)
+        fs, p = path_of(self.spark, f"{self.root}/_staged/{batch}")
         fs.delete(p, True)
 
     def _bucket(self):
@@ -108,8 +133,12 @@ class Postings:
             # share: of each word's greatest weight, so that shares of all words add up to less than what the k-th hit reaches.
             candidates = heavy.where(F.col("q") * F.col("idf") * F.col("most") >= F.coalesce("share", F.lit(0.0)) * F.col("top"))
             candidates = candidates.select(F.col("query_id").alias("asks"), F.explode("postings.id").alias("of")).distinct()
-            # A null id is an id like any.
-            scored = scored.join(candidates, (F.col("asks") == F.col("query_id")) & F.col("of").eqNullSafe(F.col("id")), "left_semi")
+            candidates.write.parquet(f"{folder}-candidates")
+            candidates = self.spark.read.schema(candidates.schema).parquet(f"{folder}-candidates")
+            # Few candidates go to where the postings are; to shuffle all postings to many would cost more than to add them up.
+            if candidates.count() * 64 <= BROADCAST_BYTES:
+                # A null id is an id like any.
+                scored = scored.join(F.broadcast(candidates), (F.col("asks") == F.col("query_id")) & F.col("of").eqNullSafe(F.col("id")), "left_semi")
         if among is not None:
             scored = scored.join(among.select("id"), "id", "left_semi")
         total = scored.groupBy("query_id", "id").agg(F.round(F.sum(F.col("q") * F.col("tf") * F.col("idf")), 6).alias("score"))

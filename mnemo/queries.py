@@ -213,7 +213,9 @@ def _asked(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir, k):
-    return _postings(spark, sf_dir).search(_asked(spark, sf_dir), k).withColumnRenamed("id", "doc_id")
+    d, asked = _t(spark, sf_dir, "documents"), _asked(spark, sf_dir)
+    tf = search.asked_frequencies(d, asked)
+    return search.sparse(tf, search.idf(tf, d.count()), asked, k)
 
 
 @query(f"with {_SPARSE_SQL} select query_id, doc_id, score, cast(rank as integer) as rank from ranked where rank <= 10")
@@ -222,11 +224,9 @@ def sparse_topk(spark, sf_dir):
 
 
 @query(f"with {_SPARSE_SQL} select query_id, doc_id, score, cast(rank as integer) as rank from ranked where rank <= 25")
-def sparse_counted_topk(spark, sf_dir):
-    """Without an index: the asked words are counted in all texts."""
-    d, asked = _t(spark, sf_dir, "documents"), _asked(spark, sf_dir)
-    tf = search.asked_frequencies(d, asked)
-    return search.sparse(tf, search.idf(tf, d.count()), asked, 25).select("query_id", "doc_id", "score", "rank")
+def sparse_index_topk(spark, sf_dir):
+    """sparse_topk by a stored index, whose making is part of the first call."""
+    return _postings(spark, sf_dir).search(_asked(spark, sf_dir), 25).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 _NEAREST_SQL = """with scored as (select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score

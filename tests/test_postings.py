@@ -28,6 +28,7 @@ def both(spark):
 @pytest.mark.parametrize(("skip", "block"), [(True, 1024), (True, 16), (False, 16), (None, 16)])
 def test_scores_are_those_of_counting(spark, both, monkeypatch, skip, block):
     monkeypatch.setattr(postings, "BLOCK", block)
+    monkeypatch.setattr(postings, "SAMPLE_EVERY", 2)
     index, docs = both
     if block == 16:
         index = Postings(spark, folders.fresh(spark, "p"), buckets=4)
