@@ -6,6 +6,12 @@ whose numbers and names were changed still matches. Hits on one alignment of a d
 slot value of the item goes to one value of the document throughout; windows that contradict earlier ones are dropped. A document
 is contaminated by an item if the accepted windows cover 13 of its tokens, or half of them if that is less.
 
+Items of one template (the same tokens, and slots alike in the same places) are one class, met once whatever their number. A window
+that more than SHARED classes of a block have is common: a stem that many questions open with, say. Common windows extend a match
+but don't start one, so a stem alone finds none of its questions. What starts one are the other windows of a class; 13 consecutive
+tokens made of common windows only, so that a passage shared by many items is found; an exact window (below); and, for a class whose
+windows are all common, those that the fewest classes have.
+
 The benchmark is held in blocks of bounded size, each broadcast in turn and met by all documents in one pass without a shuffle; a
 larger benchmark means more passes, nothing else. Templates of fewer than four literal tokens match anything and aren't used; an
 item of four to seven tokens is one template; one of fewer than four has none. Windows without a template are met by the hash of
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,8 @@ from mnemo.llm.common import MEMO_WORDS, Windows, arrow_map, texts
 
 WINDOW, FEWEST, LITERALS = 8, 4, 4
 ENOUGH_TOKENS, ENOUGH_SHARE = 13, 0.5
+#: A window that more templates of a block have is common: it starts no match.
+SHARED = 8
 #: A block of the benchmark: items and characters.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 
@@ -69,30 +77,58 @@ def _hash(tok: str) -> int:
     return xxhash.xxh64_intdigest(tok.encode("utf-8", "surrogatepass"), 11) | 1 if tok else 0
 
 
+class Template:
+    """A class of items: canonical tokens, for each place the slot it belongs to (-1: a literal), and the windows that may be met by hash."""
+
+    def __init__(self, toks: list[str], slots: list[int], places: list[int], hashes: np.ndarray):
+        self.toks, self.slots, self.size = toks, slots, min(WINDOW, len(toks))
+        self.places, self.hashes = np.array(places, np.int64), hashes
+        self.items: list[int] = []
+
+
 class Index:
-    """Templates of a block of items: sorted hashes, and for each the (item, place) pairs that have it; by window length. exact is the same of words, for windows without a template."""
+    """Templates of a block of items: sorted hashes of the windows that start a match, and for each the (template, place) pairs that have it; by window length. exact is the same of words, for windows without a template, with items in place of templates."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items: list[tuple[int, list[str], list[str]]] = []
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    def __init__(self, items: list[tuple[int, str]], shared: int = SHARED):
+        self.items: list[tuple[int, int, list[str]]] = []
+        self.templates: list[Template] = []
+        known: dict[tuple, int] = {}
         copied: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         windows = Windows()
         for item_id, text in items:
             words = [w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split()]
             pairs = [(t, w.strip(_EDGES)) for w in words if (t := token(w))]
-            toks = [t for t, _ in pairs]
-            size = min(WINDOW, len(toks))
-            if not size:
+            if not pairs:
                 continue
-            place = len(self.items)
-            self.items.append((item_id, toks, [w for _, w in pairs]))
-            own = windows.hashes(np.array([_hash(t) for t in toks], np.uint64), size).tolist()
-            said = windows.hashes(np.array([_hash(w.lower()) for _, w in pairs], np.uint64), size).tolist()
-            for q, (h, s) in enumerate(zip(own, said)):
-                if size >= FEWEST and sum(t not in _PLACES for t in toks[q : q + size]) >= min(LITERALS, size):
-                    found[size][h].append((place, q))
-                else:
-                    copied[size][s].append((place, q))
+            toks, size = [t for t, _ in pairs], min(WINDOW, len(pairs))
+            numbers: dict[tuple[str, str], int] = {}
+            slots = [numbers.setdefault(pair, len(numbers)) if pair[0] in _PLACES else -1 for pair in pairs]
+            literals = np.convolve(np.array(slots) < 0, np.ones(size, np.int64), "valid")
+            usable = (literals >= min(LITERALS, size)) & (size >= FEWEST)
+            name = (tuple(toks), tuple(slots))
+            if name not in known:
+                known[name] = len(self.templates)
+                places = np.nonzero(usable)[0]
+                self.templates.append(Template(toks, slots, places.tolist(), windows.hashes(np.array([_hash(t) for t in toks], np.uint64), size)[places]))
+            self.templates[known[name]].items.append(len(self.items))
+            said = windows.hashes(np.array([_hash(w.lower()) for _, w in pairs], np.uint64), size)
+            for q in np.nonzero(~usable)[0].tolist():
+                copied[size][int(said[q])].append((len(self.items), q))
+            self.items.append((item_id, known[name], [w for _, w in pairs]))
+        having = Counter((t.size, h) for t in self.templates for h in set(t.hashes.tolist()))
+        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for number, t in enumerate(self.templates):
+            counts = [having[t.size, h] for h in t.hashes.tolist()]
+            most = max(shared, min(counts, default=0))
+            for q, h, n in zip(t.places.tolist(), t.hashes.tolist(), counts):
+                if n <= most:
+                    found[t.size][h].append((number, q))
+            common, run = {q for q, n in zip(t.places.tolist(), counts) if n > most}, range(ENOUGH_TOKENS - WINDOW + 1)
+            starts = [q for q in sorted(common) if all(q + k in common for k in run)]
+            if starts:
+                long = windows.hashes(np.array([_hash(tok) for tok in t.toks], np.uint64), ENOUGH_TOKENS)
+                for q in starts:
+                    found[ENOUGH_TOKENS][int(long[q])].append((number, q))
         self.tables, self.exact = ({size: (np.array(sorted(t), np.uint64), [t[h] for h in sorted(t)]) for size, t in x.items()} for x in (found, copied))
 
 
@@ -114,15 +150,15 @@ class Matcher:
         self.memo = Memo()
 
     def _met(self, tables: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]], values: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(place in values, window length, place of the item, place in the item) of each window that tables have."""
+        """(place in values, window length, template or item, place in it) of each window that tables have."""
         for size, (hashes, where) in tables.items():
             own = self.windows.hashes(values, size)
             if not len(own):
                 continue
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
             for p in np.nonzero(hashes[at] == own)[0].tolist():
-                for place, q in where[at[p]]:
-                    yield p, size, place, q
+                for holder, q in where[at[p]]:
+                    yield p, size, holder, q
 
     def __call__(self, text: bytes | None) -> list[tuple[int, int, int, int]]:
         """(item_id, covered tokens, tokens of the item, slots with another value), by item."""
@@ -132,37 +168,45 @@ class Matcher:
         both = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u8").reshape(-1, 2)
         real = np.nonzero(both[:, 0])[0]
         values, said = both[real, 0], both[real, 1]
-        aligned: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for p, size, place, q in self._met(self.index.tables, values):
-            aligned[place, p - q].append((q, size))
+        copied: dict[int, set[int]] = defaultdict(set)
+        started = {(number, p - q) for p, _, number, q in self._met(self.index.tables, values)}
+        for p, size, item, q in self._met(self.index.exact, said):
+            copied[item].update(range(q, q + size))
+            started.add((self.index.items[item][1], p - q))
+        own: dict[int, np.ndarray] = {}
         covered: dict[int, set[int]] = defaultdict(set)
-        changed: dict[int, set[int]] = defaultdict(set)
-        for (place, offset), hits in aligned.items():
-            _, toks, surface = self.index.items[place]
-            values_of: dict[tuple[str, str], str] = {}
-            for q, size in sorted(hits):
-                new = {}
-                for k in range(q, q + size):
-                    if toks[k] in _PLACES:
+        valued: dict[int, set[tuple[int, str]]] = defaultdict(set)
+        for number, offset in started:
+            t = self.index.templates[number]
+            if t.size not in own:
+                own[t.size] = self.windows.hashes(values, t.size)
+            at = t.places + offset
+            inside = (at >= 0) & (at < len(own[t.size]))
+            hits = t.places[inside][own[t.size][at[inside]] == t.hashes[inside]]
+            values_of: dict[int, str] = {}
+            for q in hits.tolist():
+                new: dict[int, str] = {}
+                for k in range(q, q + t.size):
+                    slot = t.slots[k]
+                    if slot >= 0:
                         mine = words[real[offset + k]].decode("utf-8", "replace").strip(_EDGES)
-                        if values_of.get((toks[k], surface[k]), new.get((toks[k], surface[k]), mine)) != mine:
+                        if values_of.get(slot, new.get(slot, mine)) != mine:
                             break
-                        new[toks[k], surface[k]] = mine
+                        new[slot] = mine
                 else:
                     values_of |= new
-                    covered[place].update(range(q, q + size))
-                    changed[place].update(k for k in range(q, q + size) if toks[k] in _PLACES and values_of[toks[k], surface[k]] != surface[k])
-        copied: dict[int, set[int]] = defaultdict(set)
-        for _, size, place, q in self._met(self.index.exact, said):
-            copied[place].update(range(q, q + size))
+                    covered[number].update(range(q, q + t.size))
+                    valued[number].update((k, values_of[t.slots[k]]) for k in range(q, q + t.size) if t.slots[k] >= 0)
         out = {}
-        for place in covered.keys() | copied.keys():
-            item_id, toks, _ = self.index.items[place]
-            enough, tokens = min(ENOUGH_TOKENS, ENOUGH_SHARE * len(toks)), covered[place]
-            if len(tokens) < enough:
-                tokens = tokens | copied[place]
-            if len(tokens) >= enough:
-                row = (item_id, len(tokens), len(toks), len(changed[place]))
+        enough = {n: len(c) >= min(ENOUGH_TOKENS, ENOUGH_SHARE * len(self.index.templates[n].toks)) for n, c in covered.items()}
+        for item in copied.keys() | {i for n, whole in enough.items() if whole for i in self.index.templates[n].items}:
+            item_id, number, surface = self.index.items[item]
+            tokens = covered[number]
+            if not enough.get(number):
+                tokens = tokens | copied[item]
+            if len(tokens) >= min(ENOUGH_TOKENS, ENOUGH_SHARE * len(surface)):
+                changed = {k for k, value in valued[number] if value != surface[k]}
+                row = (item_id, len(tokens), len(surface), len(changed))
                 out[item_id] = max(out.get(item_id, row), row)
         return [out[k] for k in sorted(out)]
 
