@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400
@@ -65,3 +65,34 @@ def intervals(events: list[tuple[str, int]], now: int | None = None) -> list[tup
             days = (t - s) // DAY
             out.append((a, b, days, days // 7, days // 30))
     return out
+
+
+def window_of(question: Column, now: Column) -> Column:
+    """(from, to) as a struct, as relative_window says; null without a window, without a question or now, or for a number too large to count."""
+    q, at = F.lower(question), F.timestamp_seconds(now)
+    asked = r"\b(?:past|last)\s+(?:(\d+|" + "|".join(NUMBERS) + r")\s+)?(day|week|month|year)s?\b"
+    number, unit = F.regexp_extract(q, asked, 1), F.regexp_extract(q, asked, 2)
+    pick = lambda key, values: F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in values.items()))
+    n = F.when(number == "", 1).otherwise(F.coalesce(pick(number, NUMBERS), number.try_cast("int")))
+    since = F.when(q.contains("this year"), F.unix_timestamp(F.date_trunc("year", at)))
+    since = since.when(q.contains("this month"), F.unix_timestamp(F.date_trunc("month", at))).otherwise(now - n.cast("long") * pick(unit, UNIT_DAYS) * DAY)
+    return F.when(since.isNotNull() & now.isNotNull(), F.struct(since.cast("long").alias("from"), now.cast("long").alias("to")))
+
+
+def interval_pairs(events: DataFrame, *by: str, most: int = 12, now: int | None = None) -> DataFrame:
+    """earlier, later (as text), days, weeks and months between any two of a list's first dated events (label, at), and from each to now if given.
+
+    A list is what events have the same values of by (null is a value); it is a summary to be read, so it has its first so many
+    events by time and label, and is never large. Events without a time are passed over.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("at", "label"))
+    listed = events.where("at is not null").select(*by, F.col("label").cast("string").alias("label"), "at", place.alias("place")).where(F.col("place") <= most)
+    ends = listed.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("label").alias("later"), F.col("at").alias("until"), F.col("place").alias("_place"))
+    met = F.col("_place") > F.col("place")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    pairs = listed.join(ends, met).select(*by, F.col("label").alias("earlier"), "later", (F.col("until") - F.col("at")).alias("seconds"))
+    if now is not None:
+        pairs = pairs.unionByName(listed.select(*by, F.col("label").alias("earlier"), F.lit("today").alias("later"), (F.lit(now) - F.col("at")).alias("seconds")))
+    days = F.floor(F.col("seconds") / DAY)
+    return pairs.select(*by, "earlier", "later", days.alias("days"), F.floor(days / 7).alias("weeks"), F.floor(days / 30).alias("months"))

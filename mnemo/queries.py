@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
 from mnemo.functions import times, urls
-from mnemo.operators import cells, chunking, evaluate, graph, intervals, memory, postings, search, tenancy
+from mnemo.operators import cells, chunking, edge_state, evaluate, graph, intervals, memory, postings, search, tenancy
 from mnemo.operators import predicates as P
 from mnemo.sources import folders, readers
 
@@ -337,6 +337,66 @@ def edge_timeline(spark, sf_dir):
     return r.select("subject", "predicate", F.posexplode("timeline").alias("place", "t")).select("subject", "predicate", F.col("place").cast("long").alias("place"), "t.object", "t.valid_from")
 
 
+def _edge_state(spark: SparkSession, sf_dir: str) -> edge_state.EdgeState:
+    """The state of all events, added in three batches of which none is in the order of time."""
+
+    def build(events: DataFrame, root: str) -> None:
+        state = edge_state.EdgeState(spark, root)
+        for batch in range(3):
+            state.add(_edges(spark, sf_dir).where(F.pmod(F.xxhash64("id"), F.lit(3)) == batch))
+
+    return edge_state.EdgeState(spark, _stored(spark, sf_dir, "events", "edge-state", build))
+
+
+@query(f"""with {_EDGES_SQL} select subject, predicate, coalesce(arg_max(object, (valid_from, id)) filter (valid_from <= {T_EVENTS}), arg_min(object, (valid_from, id))) as current,
+       coalesce(max(valid_from) filter (valid_from <= {T_EVENTS}), min(valid_from)) as current_from, bool_or(singular) as singular from edges group by subject, predicate""")
+def edge_state_current(spark, sf_dir):
+    """edge_current_as_of from the kept state."""
+    return _edge_state(spark, sf_dir).current(T_EVENTS).drop("container_tag")
+
+
+@query(f"""with {_EDGES_SQL}, placed as (select *, lag(lower(object)) over (partition by subject, predicate order by valid_from, id) as before from edges)
+select subject, predicate, id, object, valid_from from placed where before is null or before <> lower(object)""")
+def edge_state_timeline(spark, sf_dir):
+    """edge_timeline from the kept state."""
+    return _edge_state(spark, sf_dir).timeline().select("subject", "predicate", "id", "object", "valid_from")
+
+
+_WINDOW_WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
+
+
+@query(f"""with asked as (select o_orderkey, cast(epoch(o_orderdate) as bigint) + o_custkey as now, case o_orderkey % 6 when 0 then 'What came THIS year, or in the last 2 days?' when 1 then 'this month'
+  when 2 then 'all of the past ' || o_custkey % 100 || ' Days' when 3 then 'the last ' || list_extract({_WINDOW_WORDS}, cast(o_custkey % 12 + 1 as bigint)) || ' weeks'
+  when 4 then 'since last ' || case when o_custkey % 2 = 0 then 'month' else 'year' end else 'at last 12 parts' end as q from orders),
+parts as (select *, make_timestamp(now * 1000000) as moment, regexp_extract(lower(q), '(past|last)\\s+(([0-9]+|[a-z]+)\\s+)?(day|week|month|year)', 3) as word, regexp_extract(lower(q), '(past|last)\\s+(([0-9]+|[a-z]+)\\s+)?(day|week|month|year)', 4) as unit from asked)
+select o_orderkey, case when lower(q) like '%this year%' then cast(epoch(date_trunc('year', moment)) as bigint) when lower(q) like '%this month%' then cast(epoch(date_trunc('month', moment)) as bigint)
+  else now - 86400 * (case unit when 'day' then 1 when 'week' then 7 when 'month' then 30 when 'year' then 365 end) * (case when word = '' then 1 else coalesce(try_cast(word as bigint), list_position({_WINDOW_WORDS}, word)) end) end as since,
+  case when unit <> '' or lower(q) like '%this month%' then now end as until from parts""")
+def question_windows(spark, sf_dir):
+    """The time that a question about an order's customer asks for, seen from the order's day."""
+    customer, key = F.col("o_custkey"), F.col("o_orderkey")
+    q = (
+        F.when(key % 6 == 0, "What came THIS year, or in the last 2 days?").when(key % 6 == 1, "this month").when(key % 6 == 2, F.concat(F.lit("all of the past "), customer % 100, F.lit(" Days")))
+        .when(key % 6 == 3, F.concat(F.lit("the last "), F.element_at(F.array(*map(F.lit, _WINDOW_WORDS)), (customer % 12 + 1).cast("int")), F.lit(" weeks")))
+        .when(key % 6 == 4, F.concat(F.lit("since last "), F.when(customer % 2 == 0, "month").otherwise("year"))).otherwise("at last 12 parts")
+    )
+    now = F.unix_timestamp("o_orderdate") + customer
+    found = _t(spark, sf_dir, "orders").select("o_orderkey", times.window_of(q, now).alias("w"))
+    return found.select("o_orderkey", F.col("w.from").alias("since"), F.col("w.to").alias("until"))
+
+
+@query(f"""with listed as (select user_id, event_type, event_id, cast(floor(epoch(ts)) as bigint) as moment, row_number() over (partition by user_id, event_type order by cast(floor(epoch(ts)) as bigint), event_id) as place from events),
+pairs as (select a.user_id, a.event_type, a.event_id as earlier, b.event_id as later, b.moment - a.moment as seconds from listed a join listed b on a.user_id = b.user_id and a.event_type = b.event_type and a.place < b.place and b.place <= 12
+  union all select user_id, event_type, event_id, -1, {T_EVENTS} - moment from listed where place <= 12),
+counted as (select *, cast(floor(seconds / 86400.0) as bigint) as days from pairs)
+select user_id, event_type, earlier, later, days, cast(floor(days / 7.0) as bigint) as weeks, cast(floor(days / 30.0) as bigint) as months from counted""")
+def event_intervals(spark, sf_dir):
+    """Times between the first events of each user and kind, and from each to a day."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("label"), F.unix_timestamp("ts").alias("at"))
+    found = times.interval_pairs(e, "user_id", "event_type", now=T_EVENTS)
+    return found.withColumn("later", F.when(F.col("later") == "today", -1).otherwise(F.col("later").try_cast("long"))).withColumn("earlier", F.col("earlier").cast("long"))
+
+
 @query(f"""with {_EDGES_SQL}, stored as (select * from edges where id % 2 = 0), new as (select * from edges where id % 2 = 1),
 firsts as (select *, row_number() over (partition by subject, predicate, singular order by valid_from desc, id desc) as place from new),
 beaten as (select distinct n.id from new n join stored s on n.subject = s.subject and n.predicate = s.predicate where n.singular and (lower(s.object) = lower(n.object) or n.valid_from < s.valid_from))

@@ -2,7 +2,9 @@
 
 Every table is a log of row versions (seq, deleted); its current state is each id's newest version. Writes append a batch under a new
 sequence number; erasure rewrites the log without the rows, so their bytes are gone, and a generation pointer is switched last.
-Folders are reached through Spark and Hadoop's file system alone.
+A compacted table has one version of each id in files that are ranged and sorted by what is asked for (PAYLOAD), with Bloom filters:
+reads of it need no aggregate, and filters on any column reach the files and pass over those that can't have a row. Later batches are
+laid over it by id until the next compaction. Folders are reached through Spark and Hadoop's file system alone.
 """
 
 from __future__ import annotations
@@ -18,6 +20,17 @@ from mnemo.operators.memory import absent
 from mnemo.sources.schemas import SCHEMAS
 
 
+#: What tables are asked for by: the first columns range and sort a compacted table's files, all get Bloom filters.
+PAYLOAD = {
+    "documents": ("container_tag", "captured_at", "source", "content_hash", "canonical_url"), "chunks": ("container_tag", "document_id"),
+    "memories": ("container_tag", "learned_at", "document_id", "statement"), "memory_evidence": ("memory_id", "document_id"),
+    "edges": ("container_tag", "subject", "predicate", "document_id"), "audit_events": ("container_tag", "ts"), "profiles": ("container_tag",),
+    "acl_entries": ("principal", "scope"), "entity_aliases": ("container_tag", "alias"), "jobs": ("container_tag",),
+}
+#: The folder of a compacted table's rows in its generation.
+SINGLE = "single"
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -37,12 +50,24 @@ class Warehouse:
         fs, p = self._fs(f"{folder}/_COMMITTED")
         fs.create(p, True).close()
 
+    def _files(self, name: str, *paths: str) -> DataFrame:
+        return self.spark.read.schema(f"{SCHEMAS[name]}, seq bigint, deleted boolean").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*paths)
+
     def _log(self, name: str) -> DataFrame:
-        schema = f"{SCHEMAS[name]}, seq bigint, deleted boolean"
         generations = self._generations(name)
         if not generations:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{self.root}/{name}/{generations[-1]}")
+            return self.spark.createDataFrame([], f"{SCHEMAS[name]}, seq bigint, deleted boolean")
+        return self._files(name, f"{self.root}/{name}/{generations[-1]}")
+
+    def _layers(self, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+        """(rows of a compacted table, log of what came since), or (None, the whole log)."""
+        generations = self._generations(name)
+        folder = f"{self.root}/{name}/{generations[-1]}" if generations else ""
+        if not folder or not self._fs(f"{folder}/{SINGLE}")[0].exists(self._fs(f"{folder}/{SINGLE}")[1]):
+            return None, self._log(name)
+        fs, p = self._fs(folder)
+        later = [f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() != SINGLE]
+        return self._files(name, f"{folder}/{SINGLE}"), self._files(name, *later) if later else None
 
     def ensure(self) -> None:
         """Creates each table that isn't there."""
@@ -65,10 +90,20 @@ class Warehouse:
                 done.append(version)
         return done
 
-    def _rewrite(self, name: str, log: DataFrame) -> None:
+    def _rewrite(self, name: str, log: DataFrame, single: bool = False) -> None:
         old = self._generations(name)
         folder = f"{self.root}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
-        log.write.parquet(f"{folder}/base")
+        if single:
+            # The id splits a namespace that has many rows.
+            order = [*PAYLOAD[name][:2], "id"]
+            writer = log.repartitionByRange(*order).sortWithinPartitions(*order).write
+            kinds = dict(log.dtypes)
+            for column in ("id", *PAYLOAD[name]):
+                if kinds[column] == "string":
+                    writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer.parquet(f"{folder}/{SINGLE}")
+        else:
+            log.write.parquet(f"{folder}/base")
         self._commit(folder)
         for g in old:
             fs, p = self._fs(f"{self.root}/{name}/{g}")
@@ -78,13 +113,22 @@ class Warehouse:
     def current(self, name: str, *columns: str) -> DataFrame:
         """Each id's newest version, unless that is a deletion: all columns of it, or id and those named.
 
+        Rows of a compacted table count as they are unless their id came again since, so filters on any column go to its files.
         The id is the grouping key itself, so that filters on it and semi joins by it go below the aggregate and to the files. The
         versions' other columns meet in one struct, of which none can be pruned later: who needs no texts or vectors names columns.
         """
         every = [c.split()[0] for c in SCHEMAS[name].split(", ")]
         chosen = [c for c in every if c != "id" and (not columns or c in columns)]
-        newest = self._log(name).groupBy("id").agg(F.max_by(F.struct(*chosen, "deleted"), "seq").alias("v"))
-        return newest.where(~F.col("v.deleted")).select("id", *(F.col(f"v.{c}").alias(c) for c in chosen))
+        single, log = self._layers(name)
+        if single is not None:
+            single = single.select("id", *chosen)
+            if log is None:
+                return single
+            again = log.select(F.col("id").alias("_again")).distinct()
+            single = single.join(again, F.col("id").eqNullSafe(F.col("_again")), "left_anti")
+        newest = log.groupBy("id").agg(F.max_by(F.struct(*chosen, "deleted"), "seq").alias("v"))
+        newest = newest.where(~F.col("v.deleted")).select("id", *(F.col(f"v.{c}").alias(c) for c in chosen))
+        return newest if single is None else single.unionByName(newest)
 
     def write(self, name: str, rows: DataFrame, deleted: bool = False) -> None:
         """Appends versions of rows; columns that rows lack are null."""
@@ -108,7 +152,7 @@ class Warehouse:
         self._rewrite(name, log.join(gone, "id", "left_anti"))
 
     def compact(self, name: str) -> None:
-        self._rewrite(name, self.current(name).withColumn("seq", F.lit(time.time_ns())).withColumn("deleted", F.lit(False)))
+        self._rewrite(name, self.current(name).withColumn("seq", F.lit(time.time_ns())).withColumn("deleted", F.lit(False)), single=True)
 
     def stage(self, rows: DataFrame) -> str:
         """Writes rows down beside the tables and returns their path; what a model or a clock has said is then said once."""
