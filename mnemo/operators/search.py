@@ -83,18 +83,21 @@ def holders(docs: DataFrame, items: DataFrame, id_: str = "doc_id", item: str =
     mine = mine.withColumn("n", F.least(F.size("inner"), F.lit(3)))
     keyed = mine.where("n > 0").select("item_", "body", "n", F.xxhash64(F.array_join(F.slice("inner", 1, F.col("n")), " ")).alias("key"))
     words = F.split(F.regexp_replace(text, space, " "), " ")
-    # The words are bound before the windows, so that they are split once for a text.
-    split = docs.select(id_, text, F.transform(F.array(words), lambda w: w)[0].alias("words"))
+    # The words are bound before the windows, so that they are split once for a text. Only keys meet; texts of what met come last.
+    split = docs.select(id_, F.transform(F.array(words), lambda w: w)[0].alias("words"))
 
     def meeting(n: int) -> DataFrame:
         starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(1)))
         windows = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("words", i, n), " ")))
-        met = split.select(id_, text, F.explode(F.array_distinct(windows)).alias("key")).join(keyed.where(F.col("n") == n).drop("n"), "key")
-        return met.where(F.contains(F.col(text), F.col("body"))).select(id_, F.col("item_").alias(item))
+        met = split.select(id_, F.explode(F.array_distinct(windows)).alias("key")).join(keyed.where(F.col("n") == n).select("item_", "key"), "key")
+        return met.select(id_, "item_").distinct()
 
     found = None
     for n in sorted(r.n for r in keyed.select("n").distinct().collect()):  # 1, 2 and 3 at most
         found = meeting(n) if found is None else found.unionByName(meeting(n))
+    if found is not None:
+        whole = found.join(docs.select(id_, text), id_).join(keyed.select("item_", "body"), "item_")
+        found = whole.where(F.contains(F.col(text), F.col("body"))).select(id_, F.col("item_").alias(item))
     short = mine.where("n = 0").select("item_", "body")
     if short.limit(1).count() or found is None:
         direct = docs.join(short, F.contains(docs[text], F.col("body"))).select(id_, F.col("item_").alias(item))
@@ -150,6 +153,21 @@ def by_document(hits: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     return kept.select("doc_id", F.col("f.hit_pos").alias("first_pos"), F.col("f.reference").alias("reference"), F.transform("found", lambda c: F.struct(c["content"], c["score"])).alias("chunks")).orderBy("first_pos", "doc_id").limit(documents)
 
 
+def placed(hits: DataFrame) -> DataFrame:
+    """query_id, id and rank of hits (query_id, id, score), best first."""
+    return hits.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).alias("rank"))
+
+
+def documents_of(hits: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
+    """query_id, doc_id and rank of the first documents of many questions' hits (query_id, doc_id, rank), each where its best hit stands.
+
+    Hits without a document are ignored; a question without hits has no row.
+    """
+    best = hits.where("doc_id is not null").groupBy("query_id", "doc_id").agg(F.min("rank").alias("_best"))
+    placed = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_best", "doc_id")))
+    return placed.where(F.col("rank") <= documents).drop("_best")
+
+
 def reranked(query: str, body: Column, reranker) -> Column:
     """The relevance of texts to a query by a reranker, a call to a batch of rows."""
 

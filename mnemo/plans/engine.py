@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemo.functions import text as T
 from mnemo.plans import planner
 from mnemo.plans.ingest import LEAST_DISTILLED, ingest
-from mnemo.plans.providers import Distiller, EdgeExtractor, Judge
+from mnemo.plans.providers import Distiller, EdgeExtractor, Judge, Merger
 from mnemo.plans.retrieve import answered
 from mnemo.plans.services import Config, SharedUsage, Transport, blurb, over_http
 from mnemo.sources import readers
@@ -28,12 +28,12 @@ class Engine:
     engine's own, take its part; steps that only a model can do are left out.
     """
 
-    def __init__(self, warehouse: Warehouse, config: Config = Config(), post: Transport = over_http, distiller: Distiller | None = None, judge: Judge | None = None, extractor: EdgeExtractor | None = None, indexed: bool = False):
+    def __init__(self, warehouse: Warehouse, config: Config = Config(), post: Transport = over_http, distiller: Distiller | None = None, judge: Judge | None = None, extractor: EdgeExtractor | None = None, indexed: bool = False, merger: Merger | None = None):
         self.warehouse, self.config, self.indexed = warehouse, config, indexed
         self.usage = SharedUsage(warehouse.spark)
         self.complete = config.make_complete(post, self.usage)
         model = config.make_answers(post, self.usage)
-        self.distiller, self.judge, self.extractor = (given or model for given in (distiller, judge, extractor))
+        self.distiller, self.judge, self.extractor, self.merger = (given or model for given in (distiller, judge, extractor, merger))
         self.passages, self.questions = (config.make_embedder(post, task) for task in ("retrieval.passage", "retrieval.query"))
 
     def _describe(self) -> Callable[[str, str], str | None] | None:
@@ -47,7 +47,7 @@ class Engine:
             docs = readers.enriched(docs, bodies)
         ingest(
             self.warehouse, docs, now, self.passages, self.distiller, self.judge if c.memory_graph else None, self.extractor if c.temporal_graph else None,
-            c.fact_augmented_keys, least, self.indexed, c.distill, c.smart_chunking, self._describe(),
+            c.fact_augmented_keys, least, self.indexed, c.distill, c.smart_chunking, self._describe(), self.merger,
         )
         if c.blob_dir:
             Blobs(self.warehouse.spark, c.blob_dir).put_all(docs.select(F.col("id").alias("key"), F.encode(T.scrub(F.col("content")), "UTF-8").alias("content")))

@@ -13,7 +13,8 @@ from mnemo.functions.urls import canonical_url
 from mnemo.operators import chunking
 from mnemo.operators.memory import absent, evidence_spans
 from mnemo.plans.edges import edges_of, index_edges
-from mnemo.plans.providers import Distiller, EdgeExtractor, Embedder, HashedWords, Judge, Sentences, distilled, embedded
+from mnemo.plans.providers import Distiller, EdgeExtractor, Embedder, HashedWords, Judge, Merger, Sentences, embedded
+from mnemo.plans.facts import document_facts
 from mnemo.plans.reconcile import in_order
 from mnemo.plans.retrieve import chunk_indexes
 from mnemo.sources.warehouse import Warehouse
@@ -37,9 +38,10 @@ def fresh(docs: DataFrame, stored: DataFrame) -> DataFrame:
     return first.join(stored.select("container_tag", "content_hash"), ["container_tag", "content_hash"], "left_anti").join(stored.select("container_tag", "canonical_url").where("canonical_url is not null"), ["container_tag", "canonical_url"], "left_anti")
 
 
-def facts_of(docs: DataFrame, distiller: Distiller, embedder: Embedder, mark: str = "m", least: int = LEAST_DISTILLED) -> tuple[DataFrame, DataFrame]:
+def facts_of(docs: DataFrame, distiller: Distiller, embedder: Embedder, stage: Callable[[DataFrame], DataFrame], mark: str = "m", least: int = LEAST_DISTILLED, merger: Merger | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts with vectors and their evidence from documents (id, container_tag, content); ids are of document, mark and place."""
-    found = docs.where(F.length("content") >= least).select("id", "container_tag", F.posexplode(distilled(F.col("content"), distiller)).alias("place", "f"))
+    found = document_facts(docs.where(F.length("content") >= least), distiller, stage, merger)
+    found = found.select("id", "container_tag", "place", F.struct("statement", "kind", "confidence", "evidence").alias("f"))
     fact_id = F.concat_ws("-", "id", F.lit(mark), "place")
     facts = found.select(fact_id.alias("id"), "container_tag", "f.statement", "f.kind", "f.confidence", F.col("id").alias("document_id"), embedded(F.col("f.statement"), embedder).alias("embedding"))
     evidence = found.where("f.evidence is not null").select(F.concat_ws("-", "id", F.lit("e" if mark == "m" else f"{mark}e"), "place").alias("id"), fact_id.alias("memory_id"), F.col("id").alias("document_id"), F.col("f.evidence").alias("quote"))
@@ -71,20 +73,25 @@ def spanned(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def ingest(
     warehouse: Warehouse, docs: DataFrame, now: int, embedder: Embedder | None = None, distiller: Distiller | None = None, judge: Judge | None = None, extractor: EdgeExtractor | None = None, fact_keys: bool = False, least: int = LEAST_DISTILLED, indexed: bool = False,
-    distill: bool = True, smart: bool = True, describe: Callable[[str, str], str | None] | None = None,
+    distill: bool = True, smart: bool = True, describe: Callable[[str, str], str | None] | None = None, merger: Merger | None = None,
 ) -> None:
     """Stores what is new of docs: documents, chunks with vectors, facts with evidence, and edges if there is an extractor.
 
     With a judge, facts are reconciled with the memories of their namespace, those of earlier documents of the batch included, else
     they are added; without distill there are none. With fact_keys, chunks are embedded beside the document's facts, with describe
-    (of title and content) beside a line about it. smart: chunkers by the kind of text. indexed: the new chunks are added to the warehouse's indexes, which build_indexes has made.
+    (of title and content) beside a line about it. A merger unites the facts of a document's segments. smart: chunkers by the kind of text. indexed: the new chunks are added to the warehouse's indexes, which build_indexes has made.
     """
     embedder, distiller = embedder or HashedWords(), distiller or Sentences()
     new = fresh(prepared(docs), warehouse.current("documents"))
     rows = new.withColumn("processing_state", F.lit("done")).withColumn("created_at", F.lit(now))
-    facts, evidence = facts_of(new if distill else new.limit(0), distiller, embedder, least=least)
+    read, staged = warehouse.spark.read.parquet, []
+
+    def kept_rows(df: DataFrame) -> DataFrame:
+        staged.append(warehouse.stage(df))
+        return read(staged[-1])
+
+    facts, evidence = facts_of(new if distill else new.limit(0), distiller, embedder, kept_rows, least=least, merger=merger)
     facts, evidence = (warehouse.stage(df) for df in (facts, evidence))
-    read = warehouse.spark.read.parquet
     ids = new.select("id", "container_tag", "title")
     if fact_keys:
         said = read(facts).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.substring_index("id", "-", -1).cast("int").alias("place"), "statement"))).alias("s"))
@@ -119,5 +126,5 @@ def ingest(
     if extractor is not None:
         index_edges(warehouse, edges_of(new, extractor), embedder)
     warehouse.insert("documents", rows)
-    for path in (facts, evidence, *([lines] if describe is not None else [])):
+    for path in (*staged, facts, evidence, *([lines] if describe is not None else [])):
         warehouse.remove(path)

@@ -9,7 +9,7 @@ from mnemo.functions import text as T
 from mnemo.operators import memory
 from mnemo.operators import predicates as P
 from mnemo.plans.ingest import facts_of
-from mnemo.plans.providers import Distiller, Embedder, HashedWords, Judge, Sentences, embedded
+from mnemo.plans.providers import Distiller, Embedder, HashedWords, Judge, Merger, Sentences, embedded
 from mnemo.plans.reconcile import index_memories
 from mnemo.sources.warehouse import Warehouse
 
@@ -57,7 +57,7 @@ def rebuild(warehouse: Warehouse, tag: str, embedder: Embedder | None = None) ->
     return counts
 
 
-def redistil(warehouse: Warehouse, tag: str, now: int, judge: Judge, distiller: Distiller | None = None, embedder: Embedder | None = None, least: int = LEAST_STORED) -> None:
+def redistil(warehouse: Warehouse, tag: str, now: int, judge: Judge, distiller: Distiller | None = None, embedder: Embedder | None = None, least: int = LEAST_STORED, merger: Merger | None = None) -> None:
     """Replaces the facts of a namespace's documents by those of their stored texts; other namespaces keep theirs.
 
     Texts are chunks in order, set off by blank lines. The new facts are extracted and written down before the old ones go.
@@ -65,10 +65,15 @@ def redistil(warehouse: Warehouse, tag: str, now: int, judge: Judge, distiller:
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
     texts = warehouse.current("chunks").where(P.in_tag(tag)).groupBy(F.col("document_id").alias("id")).agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n").alias("content"))
     docs = texts.where(F.length("content") >= least).withColumn("container_tag", F.lit(tag))
-    facts, evidence = facts_of(docs, distiller or Sentences(), embedder or HashedWords(), f"r{now}", least)
+    read, phases = warehouse.spark.read.parquet, []
+
+    def kept_rows(df: DataFrame) -> DataFrame:
+        phases.append(warehouse.stage(df))
+        return read(phases[-1])
+
+    facts, evidence = facts_of(docs, distiller or Sentences(), embedder or HashedWords(), kept_rows, f"r{now}", least, merger)
     staged, quotes = warehouse.stage(facts), warehouse.stage(evidence)
     redone = warehouse.stage(docs.select("id"))
-    read = warehouse.spark.read.parquet
     old = warehouse.current("memories").where(P.in_tag(tag)).join(read(redone).withColumnRenamed("id", "document_id"), "document_id", "left_semi")
     old = old.join(read(staged).select("id"), "id", "left_anti")
     gone = warehouse.stage(old)
@@ -76,7 +81,7 @@ def redistil(warehouse: Warehouse, tag: str, now: int, judge: Judge, distiller:
     warehouse.write("memories", read(gone), deleted=True)
     index_memories(warehouse, read(staged), judge, now)
     warehouse.insert("memory_evidence", read(quotes).join(warehouse.current("memories").select(F.col("id").alias("memory_id")), "memory_id", "left_semi"))
-    for path in (staged, quotes, redone, gone):
+    for path in (*phases, staged, quotes, redone, gone):
         warehouse.remove(path)
 
 

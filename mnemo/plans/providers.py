@@ -18,6 +18,8 @@ from mnemo.operators.chunking import SEGMENT, paragraphs
 
 #: Most facts of a segment and of a document. Fixed values.
 SEGMENT_FACTS, DOCUMENT_FACTS = 10, 50
+#: A fact as Spark's type.
+FACT = "struct<statement:string,kind:string,confidence:double,evidence:string>"
 
 
 class Embedder(Protocol):
@@ -30,6 +32,11 @@ class Distiller(Protocol):
     def distil(self, text: str) -> list[dict]: ...
 
 
+class Merger(Protocol):
+    def merge(self, statements: list[str]) -> list[str] | None:
+        """The statements of a document's segments as one list without repetitions; nothing if it can't."""
+
+
 class Judge(Protocol):
     def judge(self, facts: list[tuple[str, list[str]]]) -> list[dict]:
         """A verdict (relation, ref from 1, confidence) on each fact beside its stored neighbours, nearest first."""
@@ -88,6 +95,18 @@ class Sentences:
         return [{"statement": s, "kind": "claim", "confidence": 0.5, "evidence": s} for s in found if len(s) >= self.least][: self.most]
 
 
+class SameWords:
+    """Of statements with the same words, case and punctuation aside, the longest, where the first of them stood."""
+
+    def merge(self, statements: list[str]) -> list[str]:
+        best: dict[str, str] = {}
+        for statement in statements:
+            key = " ".join(re.findall(r"\w+", statement.lower()))
+            if len(statement) > len(best.get(key, "")):
+                best[key] = statement
+        return list(best.values())
+
+
 class SameKey:
     """Verdicts by rule: equal text is a duplicate, `key: other value` or `key is other value` an update, more words an extension."""
 
@@ -141,6 +160,10 @@ class Answers:
     def distil(self, text: str) -> list[dict]:
         return parsing.typed_facts(self.complete(f"List the lasting facts of this text as a JSON array of statement, kind, confidence, evidence.\n{text}")) or []
 
+    def merge(self, statements: list[str]) -> list[str] | None:
+        listing = "\n".join(f"- {s}" for s in statements)
+        return parsing.facts(self.complete(f"These facts are from parts of one document. Unite those that say the same, drop none that says something else, and answer with a JSON array of statements.\n{listing}"), DOCUMENT_FACTS)
+
     def judge(self, facts: list[tuple[str, list[str]]]) -> list[dict]:
         asked = [{"i": i + 1, "fact": fact, "stored": near} for i, (fact, near) in enumerate(facts)]
         raw = self.complete(f"For each fact say whether it is NEW, DUPLICATE, UPDATE or EXTEND of which stored one: a JSON array of i, relation, ref, confidence.\n{json.dumps(asked)}")
@@ -189,7 +212,7 @@ def embedded(text: Column, embedder: Embedder) -> Column:
 
 
 def distil_segments(text: str | None, distiller: Distiller) -> list[dict]:
-    """The facts of each segment of a text in order, without statements alike but for case and edges.
+    """The facts of each segment of one text in order, without statements alike but for case and edges; plans.facts does so for many.
 
     A failure on the first segment is raised; after one on a later segment the facts so far are kept.
     """
@@ -207,13 +230,3 @@ def distil_segments(text: str | None, distiller: Distiller) -> list[dict]:
             first.setdefault(fact["statement"].strip().lower(), fact)
         found = list(first.values())
     return found[:DOCUMENT_FACTS]
-
-
-def distilled(text: Column, distiller: Distiller) -> Column:
-    """The facts of whole texts, distilled by segments."""
-
-    @F.pandas_udf("array<struct<statement:string,kind:string,confidence:double,evidence:string>>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda text: distil_segments(text, distiller))
-
-    return run(text)

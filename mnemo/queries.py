@@ -11,6 +11,8 @@ from mnemo.functions import text as T
 from mnemo.functions import times, urls
 from mnemo.operators import cells, chunking, edge_state, evaluate, graph, intervals, memory, postings, search, tenancy
 from mnemo.operators import predicates as P
+from mnemo.plans import facts
+from mnemo.plans.providers import SameWords, Sentences
 from mnemo.sources import folders, readers
 
 CAPTURED = 1_700_000_000
@@ -743,3 +745,33 @@ def text_forms(spark, sf_dir):
     """The small text functions on names."""
     name = F.col("c_name")
     return _t(spark, sf_dir, "customer").select("c_custkey", T.quarantined(name).alias("wrapped"), T.safe_id(name).alias("safe"), T.tail(name, 4).alias("ending"), T.graph_key(name).alias("key"), T.embed_input(F.concat(F.lit(" "), "c_mktsegment"), name).alias("embed"))
+
+
+@query("""with parts as (select conv_id, turn, list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]'), s -> trim(s)) as found from conversations where text is not null),
+kept as (select conv_id, turn, list_filter(found, s -> length(s) >= 20)[1:10] as said from parts),
+facts as (select conv_id, turn * 10 + i - 1 as seq, said[i] as statement, max(turn) over (partition by conv_id) as last from (select conv_id, turn, said, unnest(range(1, len(said) + 1)) as i from kept)),
+turns as (select conv_id, max(turn) as last from conversations group by conv_id),
+keyed as (select f.conv_id, seq, statement, trim(regexp_replace(lower(statement), '[^\\p{L}\\p{N}_]+', ' ', 'g')) as k from facts f join turns t using (conv_id) where t.last > 0),
+best as (select conv_id, min(seq) as first, arg_max(statement, {'n': length(statement), 's': -seq}) as statement from keyed group by conv_id, k),
+united as (select conv_id, first, statement from best union all select f.conv_id, seq, statement from facts f join turns t using (conv_id) where t.last = 0),
+placed as (select conv_id, statement, row_number() over (partition by conv_id order by first) - 1 as place from united)
+select conv_id, cast(place as integer) as place, statement from placed where place < 50""")
+def merged_statements(spark, sf_dir):
+    """Turns as segments of their conversation: the sentences of each, united where they have the same words."""
+    turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.lit("").alias("container_tag"), F.col("turn").alias("segment"), "text")
+    stage = lambda df: folders.staged(df, "facts")
+    said = stage(facts.said(turns.where("text is not null"), Sentences()))
+    return facts.merged(facts.numbered(said), SameWords(), stage).select(F.col("id").alias("conv_id"), F.col("place").cast("int").alias("place"), "statement")
+
+
+@query("""with scored as (select a.vec_id as query_id, b.vec_id as id, b.vec_id // 7 as doc_id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+hits as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored where score >= 0.0),
+best as (select query_id, doc_id, min(rank) as best from hits where rank <= 60 group by 1, 2),
+placed as (select query_id, doc_id, row_number() over (partition by query_id order by best, doc_id) as rank from best)
+select query_id, cast(doc_id as bigint) as doc_id, cast(rank as integer) as rank from placed where rank <= 30""")
+def questions_documents(spark, sf_dir):
+    """The first documents of many questions at once; a document has seven vectors."""
+    rows = _t(spark, sf_dir, "embeddings")
+    hits = search.nearest(rows.where("vec_id % 100 = 0"), rows, search.HITS, 0.0, tag="label")
+    return search.documents_of(hits.withColumn("doc_id", F.expr("id div 7"))).select("query_id", "doc_id", "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -34,6 +34,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return root
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written down in a fresh shared folder."""
+    path = f"{fresh(rows.sparkSession, name)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def stamp(spark: SparkSession, path: str) -> tuple:
     """What changes when a table's files do: their names, lengths and times."""
     fs, p = path_of(spark, path)

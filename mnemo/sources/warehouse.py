@@ -12,6 +12,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,26 @@ PAYLOAD = {
     "edges": ("container_tag", "subject", "predicate", "document_id"), "audit_events": ("container_tag", "ts"), "profiles": ("container_tag",),
     "acl_entries": ("principal", "scope"), "entity_aliases": ("container_tag", "alias"), "jobs": ("container_tag",),
 }
+#: Rows of a page. Fixed value.
+PAGE = 256
 #: The folder of a compacted table's rows in its generation.
 SINGLE = "single"
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """A place in a table as it was: its generation, the last batch that counts, and the last id that was passed on."""
+
+    name: str
+    generation: str
+    seq: int
+    after: str | None = None
+
+
+class SnapshotGone(RuntimeError):
+    """The table has been compacted, or rows erased, since the cursor was made."""
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -110,16 +127,19 @@ class Warehouse:
             fs.delete(p, True)
 
     # Reads and writes.
-    def current(self, name: str, *columns: str) -> DataFrame:
+    def current(self, name: str, *columns: str, until: int | None = None) -> DataFrame:
         """Each id's newest version, unless that is a deletion: all columns of it, or id and those named.
 
         Rows of a compacted table count as they are unless their id came again since, so filters on any column go to its files.
         The id is the grouping key itself, so that filters on it and semi joins by it go below the aggregate and to the files. The
         versions' other columns meet in one struct, of which none can be pruned later: who needs no texts or vectors names columns.
+        With until, batches of a later sequence number don't count.
         """
         every = [c.split()[0] for c in SCHEMAS[name].split(", ")]
         chosen = [c for c in every if c != "id" and (not columns or c in columns)]
         single, log = self._layers(name)
+        if until is not None:
+            single, log = (rows if rows is None else rows.where(F.col("seq") <= until) for rows in (single, log))
         if single is not None:
             single = single.select("id", *chosen)
             if log is None:
@@ -130,6 +150,29 @@ class Warehouse:
         newest = newest.where(~F.col("v.deleted")).select("id", *(F.col(f"v.{c}").alias(c) for c in chosen))
         return newest if single is None else single.unionByName(newest)
 
+    def cursor(self, name: str) -> Cursor:
+        """The start of the table as it is now."""
+        self.ensure()
+        return Cursor(name, self._generations(name)[-1], time.time_ns())
+
+    def page(self, at: Cursor, size: int = PAGE, where: Column | None = None, *columns: str) -> tuple[DataFrame, Cursor | None]:
+        """The next rows of a cursor's table by id, at most size, and the cursor behind them; None once there are no more.
+
+        Pages are of the table as it was when the cursor was made: batches written since, deletions included, don't count. A
+        page is found by its ids, so none is read twice and passing over those before costs no sort of them. If rows have been erased or
+        the table compacted meanwhile, the old batches are gone, and SnapshotGone says so; the caller begins anew.
+        """
+        if self._generations(at.name)[-1:] != [at.generation]:
+            raise SnapshotGone(f"{at.name} has been rewritten since the cursor was made")
+        rows = self.current(at.name, *columns, until=at.seq)
+        rows = rows if at.after is None else rows.where(F.col("id") > at.after)
+        rows = rows if where is None else rows.where(where)
+        ids = [r.id for r in rows.select("id").orderBy("id").limit(size).collect()]  # a page's
+        if not ids:
+            return rows.limit(0), None
+        found = rows.where(F.col("id").between(ids[0], ids[-1])).orderBy("id")
+        return found, replace(at, after=ids[-1]) if len(ids) == size else None
+
     def write(self, name: str, rows: DataFrame, deleted: bool = False) -> None:
         """Appends versions of rows; columns that rows lack are null."""
         if not self._generations(name):
