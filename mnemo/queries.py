@@ -747,8 +747,8 @@ def text_forms(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", T.quarantined(name).alias("wrapped"), T.safe_id(name).alias("safe"), T.tail(name, 4).alias("ending"), T.graph_key(name).alias("key"), T.embed_input(F.concat(F.lit(" "), "c_mktsegment"), name).alias("embed"))
 
 
-@query("""with parts as (select conv_id, turn, list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]'), s -> trim(s)) as found from conversations where text is not null),
-kept as (select conv_id, turn, list_filter(found, s -> length(s) >= 20)[1:10] as said from parts),
+@query("""with parts as (select conv_id, turn, list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]'), lambda s: trim(s)) as found from conversations where text is not null),
+kept as (select conv_id, turn, list_filter(found, lambda s: length(s) >= 20)[1:10] as said from parts),
 facts as (select conv_id, turn * 10 + i - 1 as seq, said[i] as statement, max(turn) over (partition by conv_id) as last from (select conv_id, turn, said, unnest(range(1, len(said) + 1)) as i from kept)),
 turns as (select conv_id, max(turn) as last from conversations group by conv_id),
 keyed as (select f.conv_id, seq, statement, trim(regexp_replace(lower(statement), '[^\\p{L}\\p{N}_]+', ' ', 'g')) as k from facts f join turns t using (conv_id) where t.last > 0),
