@@ -4,9 +4,9 @@ Each text's token ids, with an end id, are cut into chunks where a rolling hash
 equal passages are cut alike wherever they stand. A chunk's address is the 128-bit BLAKE2b of its bytes; each address is stored once.
 The store is a folder of three tables in Parquet:
 
-  packs      row_key, a, b (addresses), lengths, ids: the chunks whose first holder is that row, ids as little-endian unsigned integers
-             of WIDTH bytes, one chunk after the other
-  recipes    in ascending doc_id order: row_key, doc_id, start (ids of all documents before it), n_tokens, the addresses and lengths of
+  packs      in ascending doc_id order: row_key, doc_id, part, a, b (addresses), lengths, ids: the chunks whose first holder is that row,
+             ids as little-endian unsigned integers of WIDTH bytes, one chunk after the other; a pack may be empty
+  recipes    in the same order, part by part: row_key, doc_id, start (ids of all documents before it), n_tokens, the addresses and lengths of
              its chunks in order, own (which of them are in its pack), root (of the Merkle tree over the addresses)
   manifest   per part of the recipes in order: part, documents, tokens, root over its documents' roots; part -1 is the whole store
 
@@ -224,34 +224,33 @@ def _encoded(docs: DataFrame, name: str) -> DataFrame:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """Packs of rows that have foreign (places of chunks held elsewhere, or null)."""
+    """Packs of rows that have foreign (places of chunks held elsewhere, or null), in the rows' order."""
 
-    names = ["row_key", "a", "b", "lengths", "ids"]
+    names = ["row_key", "doc_id", "part", "a", "b", "lengths", "ids"]
 
     def start():
-        def each(batch: pa.RecordBatch):
-            alone = batch.column(5).is_null()
-            whole = batch.filter(alone)
-            if whole.num_rows:  # all chunks of these rows are their own
-                yield whole.select(names)
-            batch = batch.filter(pc.invert(alone))
-            out: list[list] = [[], [], [], [], []]
-            columns = (batch.column(i).to_pylist() for i in range(6))
-            for key, a, b, lengths, ids, foreign in zip(*columns):
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            alone = batch.column(7).is_null()
+            whole, mixed = batch.filter(alone).select(names), batch.filter(pc.invert(alone))
+            if not mixed.num_rows:  # all chunks of these rows are their own
+                return whole
+            out: list[list] = [[], [], [], []]
+            for a, b, lengths, ids, foreign in zip(*(mixed.column(i).to_pylist() for i in range(3, 8))):
                 away = set(foreign)
                 mine = [i for i in range(len(a)) if i not in away]
-                if not mine:
-                    continue
                 ends = np.cumsum([0, *lengths]) * WIDTH
-                ids = b"".join([ids[ends[i] : ends[i + 1]] for i in mine])
-                for column, value in zip(out, (key, [a[i] for i in mine], [b[i] for i in mine], [lengths[i] for i in mine], ids)):
+                for column, value in zip(out, ([a[i] for i in mine], [b[i] for i in mine], [lengths[i] for i in mine], b"".join([ids[ends[i] : ends[i + 1]] for i in mine]))):
                     column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), _lists(out[1], pa.int64()), _lists(out[2], pa.int64()), _lists(out[3], pa.int32()), pa.array(out[4], pa.binary())], names)
+            made = [*(mixed.column(i) for i in range(3)), _lists(out[0], pa.int64()), _lists(out[1], pa.int64()), _lists(out[2], pa.int32()), pa.array(out[3], pa.binary())]
+            held = alone.to_numpy(zero_copy_only=False)
+            order = pa.array(np.argsort(np.concatenate([np.flatnonzero(held), np.flatnonzero(~held)])))
+            both = [pa.concat_arrays([x, y.cast(x.type)]) for x, y in zip(whole.columns, made)]
+            return pa.RecordBatch.from_arrays([x.take(order) for x in both], names)
 
         return each
 
-    return arrow_map(rows.select("row_key", "a", "b", "lengths", "ids", "foreign"), "row_key long, a array<long>, b array<long>, lengths array<int>, ids binary", start)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return arrow_map(rows.select(*names, "foreign"), f"row_key long, doc_id {id_type}, part int, a array<long>, b array<long>, lengths array<int>, ids binary", start)
 
 
 def write_store(docs: DataFrame, folder: str, name: str = VOCABULARY) -> None:
@@ -268,12 +267,13 @@ def write_store(docs: DataFrame, folder: str, name: str = VOCABULARY) -> None:
     foreign = scratch.table(away.groupBy("row_key").agg(F.collect_list("place").alias("foreign")), "foreign")
     rows, values = foreign.agg(F.count("*"), F.coalesce(F.sum(F.size("foreign")), F.lit(0))).first()
     held = small(foreign, 1, rows * 48 + int(values) * 4)
-    _packed(staged.join(held, "row_key", "left")).write.option("compression", "zstd").parquet(f"{folder}/packs")
+    # Ids are dealt to ranges of doc_id and written from there, so a file of packs is a part: its documents in order, after those of the files before.
+    ranged = staged.join(held, "row_key", "left").select("row_key", "doc_id", "a", "b", "lengths", "ids", "foreign").repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
+    _packed(ranged.withColumn("part", F.spark_partition_id())).write.option("compression", "zstd").parquet(f"{folder}/packs")
 
     own = F.transform("a", lambda _, i: ~F.array_contains(F.coalesce("foreign", F.array().cast("array<int>")), i))
     recipes = staged.drop("ids").join(held, "row_key", "left").withColumn("own", own).drop("foreign")
-    ordered = recipes.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key").withColumn("part", F.spark_partition_id())
-    ordered = scratch.table(ordered, "ordered")
+    ordered = scratch.table(recipes.join(spark.read.parquet(f"{folder}/packs").select("row_key", "part"), "row_key"), "ordered")
     scratch.drop("staged", "holders")
     parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -281,7 +281,7 @@ def write_store(docs: DataFrame, folder: str, name: str = VOCABULARY) -> None:
     within = Window.partitionBy("part").orderBy("doc_id", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     started = ordered.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(F.broadcast(parts.select("part", "before")), "part")
     started = started.withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
-    started.sortWithinPartitions("part", "doc_id", "row_key").write.parquet(f"{folder}/recipes")
+    started.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{folder}/recipes")
     scratch.drop("ordered", "foreign")
 
     # The manifest: a root for each part, one row per part; then the root of the store over the parts' roots.
@@ -401,7 +401,7 @@ def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFr
     needs = scratch.table(needs.select("row_key", "c.a", "c.b", "c.place"), "needs")
     unique = scratch.table(needs.select("a", "b").distinct(), "unique")
     held = F.arrays_zip(F.col("a"), F.col("b"), F.sequence(F.lit(0), F.size("a") - 1).alias("place"))
-    index = packs.select("row_key", F.explode(held).alias("c")).select("row_key", "c.a", "c.b", "c.place")
+    index = packs.where(F.size("a") > 0).select("row_key", F.explode(held).alias("c")).select("row_key", "c.a", "c.b", "c.place")
     wanted = index.join(small(unique, unique.count(), 48), ["a", "b"]).groupBy("row_key").agg(F.collect_list("place").alias("wanted"))
     wanted = scratch.table(wanted, "wanted")
     rows, values = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
