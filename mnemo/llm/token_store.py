@@ -232,6 +232,8 @@ def _packed(rows: DataFrame) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             alone = batch.column(7).is_null()
             whole, mixed = batch.filter(alone).select(names), batch.filter(pc.invert(alone))
+            # A column that can't be null makes another schema than one that can, and a task's batches have to have one.
+            whole = pa.RecordBatch.from_arrays(whole.columns, names)
             if not mixed.num_rows:  # all chunks of these rows are their own
                 return whole
             out: list[list] = [[], [], [], []]

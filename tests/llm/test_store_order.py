@@ -20,3 +20,16 @@ def test_packs_and_recipes_ascend(spark, tmp_path):
     assert packs.where("size(a) = 0").count() > 10 and packs.select("a", "b").count() == 104
     got = token_store.read_store(spark, f"file://{tmp_path}/s").collect()
     assert len(got) == 104 and sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got)
+
+
+def test_batches_with_and_without_foreign_chunks(spark, tmp_path):
+    rows = [(k, f"own {k} " * 200) for k in range(20)] + [(20 + k, f"own {k} " * 200) for k in range(20)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")  # a task's first batches have no chunk of another row, its later ones have
+    try:
+        token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), f"file://{tmp_path}/s")
+        got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_store(spark, f"file://{tmp_path}/s", digest=True).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert len(got) == 40 and all(got[k] == got[20 + k] for k in range(20))
