@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
+from mnemo.sources.folders import staged
 
 RRF_K, RRF_BASE = 60, 1
 #: Hits, documents and neighbours of a search. Fixed values.
 HITS, LISTY_HITS, DOCUMENTS, FACTS, NEIGHBOURS = 60, 150, 30, 10, 5
 #: Blocks that the rows of each namespace are dealt to in a search for neighbours.
 BLOCKS = 16
+#: Weights (asked words times queries) that a task may hold, and scores (documents times queries) that it makes at a time.
+MOST_WEIGHTS, SCORES = 2_000_000, 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -119,6 +127,134 @@ def sparse(tf: DataFrame, weights: DataFrame, queries: DataFrame, k: int, id_: s
     return ranked.where(F.col("rank") <= k)
 
 
+def asked_counts(docs: DataFrame, tokens: list[str], id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_, codes and tfs of each document with any of the tokens: which it has, by place, and how often; rows alike in id_ are one document.
+
+    A document's words are counted in its own task. Only ids are shuffled, to see whether any comes twice, and then the counts of those.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(known.value, pa.string())
+        for batch in batches:
+            words = batch.column(1)
+            codes = pc.index_in(words.flatten(), value_set=values)
+            rows = pc.list_parent_indices(words).filter(codes.is_valid()).to_numpy().astype(np.int64)
+            at, tf = np.unique(rows * len(values) + codes.drop_null().to_numpy(), return_counts=True)
+            row, code = np.divmod(at, len(values))
+            some, lengths = np.unique(row, return_counts=True)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (code, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *lists], [id_, "codes", "tfs"])
+
+    kind = docs.schema[id_].dataType.simpleString()
+    counts = staged(docs.select(id_, T.lower_words(F.col(text)).alias("words")).mapInArrow(run, f"{id_} {kind}, codes array<int>, tfs array<int>"), "counts")
+    twice = staged(counts.groupBy(F.col(id_).alias("_twice")).agg(F.count("*").alias("n")).where("n > 1").select("_twice"), "twice")
+    if not twice.limit(1).count():
+        return counts
+    same = F.col(id_).eqNullSafe(F.col("_twice"))
+    each = counts.join(twice, same, "left_semi").select(id_, F.explode(F.arrays_zip("codes", "tfs")).alias("c")).groupBy(id_, F.col("c.codes").alias("code")).agg(F.sum("c.tfs").cast("int").alias("tf"))
+    one = each.groupBy(id_).agg(F.collect_list(F.struct("code", "tf")).alias("c")).select(id_, F.col("c.code").alias("codes"), F.col("c.tf").alias("tfs"))
+    return counts.join(twice, same, "left_anti").unionByName(one)
+
+
+def frequencies(counts: DataFrame, words: int) -> np.ndarray:
+    """The number of documents (codes) that have each of so many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(words, np.int64)
+        for batch in batches:
+            found += np.bincount(batch.column(0).flatten().to_numpy(), minlength=words)
+        code = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(found[code])], ["code", "df"])
+
+    df = np.zeros(words)
+    for r in counts.select("codes").mapInArrow(run, "code int, df long").groupBy("code").agg(F.sum("df").alias("df")).collect():  # a row for each word at most
+        df[r.code] = r.df
+    return df
+
+
+def best(counts: DataFrame, weights: np.ndarray, queries: list, k: int, id_: str = "doc_id", kind: str = "long") -> DataFrame:
+    """query_id (of type kind), id_, score and rank of the k best documents (id_, codes, tfs; rows are documents) for each query.
+
+    weights has a row for each word and a column for each query, what one occurrence adds to the score. A task multiplies some of its
+    documents by them at a time and passes on k of each query, so pairs of documents and queries are no rows.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(weights)
+    id_type = counts.schema[id_].dataType.simpleString()
+    keys = [("query", "ascending"), ("score", "descending"), ("id", "ascending")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        words, n = w.shape
+        low, held, rows = np.full(n, -1.0), [], 0
+
+        def first() -> pa.Table:
+            every = pa.concat_tables(held)
+            every = every.take(pc.sort_indices(every, sort_keys=keys, null_placement="at_start"))
+            query = every["query"].to_numpy()
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            last = place == k - 1
+            low[query[last]] = every["score"].to_numpy()[last]
+            return every.filter(pa.array(place < k))
+
+        most = max(1, SCORES // max(n, words))
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                m = np.zeros((part.num_rows, words))
+                m[pc.list_parent_indices(part.column(1)).to_numpy(), part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                raw = m @ w
+                score = np.floor(raw * 1e6 + 0.5) / 1e6
+                doc, query = np.nonzero((raw > 0) & (score >= low))
+                held.append(pa.table({"query": pa.array(query.astype(np.int32)), "id": part.column(0).take(pa.array(doc)), "score": score[doc, query]}))
+                rows += len(doc)
+                if rows > SCORES // 4:
+                    held = [first()]
+                    rows = held[0].num_rows
+        if held:
+            yield from first().combine_chunks().to_batches()
+
+    found = counts.select(id_, "codes", "tfs").mapInArrow(run, f"query int, id {id_type}, score double")
+    named = counts.sparkSession.createDataFrame(list(enumerate(queries)), f"query int, query_id {kind}")
+    ranked = found.join(F.broadcast(named), "query").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_), "score", "rank")
+
+
+def weighed(asked: list, tokens: list[str], queries: list, idf: np.ndarray) -> np.ndarray:
+    """The weights that best takes, of rows (query_id, token, tf) and the words' idf."""
+    word, column = ({v: i for i, v in enumerate(x)} for x in (tokens, queries))
+    out = np.zeros((len(tokens), len(queries)))
+    for r in asked:
+        out[word[r["token"]], column[r["query_id"]]] += r["tf"] * idf[word[r["token"]]]
+    return out
+
+
+def held_weights(queries: DataFrame) -> tuple[list, list[str], list] | None:
+    """The rows (query_id, token, tf), words and queries of a search, if a task may hold their weights; else None."""
+    rows, words, n = queries.agg(F.count("*"), F.count_distinct("token"), F.count_distinct(F.struct("query_id"))).first()
+    if not rows or words * n > MOST_WEIGHTS or rows > MOST_WEIGHTS:
+        return None
+    asked = queries.select("query_id", "token", "tf").collect()  # MOST_WEIGHTS rows at most
+    return asked, sorted({r["token"] for r in asked}), list(dict.fromkeys(r["query_id"] for r in asked))
+
+
+def sparse_best(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, id_, score and rank of the k best texts for words asked (query_id, token, tf), as sparse has them, written down.
+
+    Where a task may hold all queries' weights, documents are scored where they are; else words meet by joins.
+    """
+    held = held_weights(queries)
+    if held is None:
+        tf = asked_frequencies(docs, queries, id_, text)
+        return staged(sparse(tf, idf(tf, docs.select(id_).count()), queries, k, id_).select("query_id", id_, "score", "rank"), "hits")
+    asked, tokens, names = held
+    counts = asked_counts(docs, tokens, id_, text)
+    df = frequencies(counts, len(tokens))
+    weights = weighed(asked, tokens, names, np.log1p((docs.select(id_).count() - df + 0.5) / (df + 0.5)))
+    return staged(best(counts, weights, names, k, id_, queries.schema["query_id"].dataType.simpleString()), "hits")
+
+
 def fuse(rankings: list[DataFrame], keys: list[str], k: int = RRF_K, base: int = RRF_BASE) -> DataFrame:
     """keys and score: the sum over rankings (keys, rank from 1) of 1 / (k + rank - 1 + base)."""
     every = [r.select(*keys, (F.lit(1.0) / (F.col("rank") + (k - 1 + base))).alias("part")) for r in rankings]
