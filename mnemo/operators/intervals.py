@@ -8,6 +8,11 @@ more spans than twice the levels. Intervals are cut off at the first and last ti
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,24 +43,81 @@ def covers(t: Column, levels: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", t, level).alias("span")))
 
 
-def meets(rows: DataFrame, start: Column, end: Column, probes: DataFrame, tag: str = "container_tag") -> DataFrame:
-    """probe_id, t and the columns of rows for each probe (probe_id, container_tag, t) and row of its namespace with start <= t < end.
+def _unit(times: DataFrame) -> int:
+    """The greatest number that divides all of a column of whole numbers; 1 if all are 0."""
 
-    A null start is the beginning of time, a null end its end; a null namespace is the default one; a null t meets nothing.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = 0
+        for batch in batches:
+            found = int(np.gcd.reduce(batch.column(0).to_numpy(), initial=found))
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], ["unit"])
+
+    return math.gcd(*(r.unit for r in times.mapInArrow(run, "unit long").distinct().collect())) or 1  # a number of each task at most
+
+
+def _cut(rows: DataFrame, start: Column, end: Column, probes: DataFrame, tag: str) -> tuple[DataFrame, Column, int]:
+    """rows with _tag, _level and _span of each of their spans; the spans (level, span) of a probe's t; the number of levels.
+
+    Spans are of the unit that divides all times asked for: of days, if all are days apart.
     """
-    probes = probes.where("t is not null").select("probe_id", F.coalesce("container_tag", F.lit(P.DEFAULT_TAG)).alias("probe_tag"), F.col("t").cast("long").alias("t"))
-    first, last, n = probes.agg(F.min("t"), F.max("t"), F.count("*")).first()
+    first, last = probes.agg(F.min("t"), F.max("t")).first()
     first, last = first or 0, last or 0
-    levels = (last - first + 1).bit_length()
-    keyed = probes.withColumn("s", F.explode(covers(F.col("t") - first, levels))).select("probe_id", "t", F.col("probe_tag").alias("_tag"), F.col("s.level").alias("_level"), F.col("s.span").alias("_span"))
+    unit = _unit(probes.select(F.col("t") - first))
+    levels = ((last - first) // unit + 1).bit_length()
+    # The first time asked for that isn't before a second.
+    upto = lambda x: ((x + (unit - 1) - F.pmod(x + (unit - 1), F.lit(unit))) / unit).cast("long")
     lo = F.greatest(F.coalesce(start, F.lit(first)), F.lit(first)) - first
     hi = F.least(F.coalesce(end, F.lit(last + 1)), F.lit(last + 1)) - first
-    keys = ["_tag", "_level", "_span"]
-    cut = rows.withColumn("_tag", F.coalesce(tag, F.lit(P.DEFAULT_TAG))).withColumn("_s", F.explode(spans(lo, hi, levels)))
+    cut = rows.withColumn("_tag", F.coalesce(tag, F.lit(P.DEFAULT_TAG))).withColumn("_s", F.explode(spans(upto(lo), upto(F.greatest(hi, F.lit(0))), levels)))
     cut = cut.withColumn("_level", F.col("_s.level")).withColumn("_span", F.col("_s.span")).drop("_s")
-    if n * (levels + 1) * 96 <= BROADCAST_BYTES:
-        return cut.join(F.broadcast(keyed), keys).drop(*keys)
-    return cut.join(keyed.hint("merge"), keys).drop(*keys)
+    return cut, covers(((F.col("t") - first) / unit).cast("long"), levels), levels
+
+
+def _probes(probes: DataFrame) -> DataFrame:
+    return probes.where("t is not null").select("probe_id", F.coalesce("container_tag", F.lit(P.DEFAULT_TAG)).alias("probe_tag"), F.col("t").cast("long").alias("t"))
+
+
+_KEYS = ["_tag", "_level", "_span"]
+
+
+def meets(rows: DataFrame, start: Column, end: Column, probes: DataFrame, tag: str = "container_tag") -> DataFrame:
+    """probe_id, t and the columns of rows for each probe (probe_id, container_tag, t) and row of its namespace with start <= t < end.
+
+    A null start is the beginning of time, a null end its end; a null namespace is the default one; a null t meets nothing.
+    """
+    probes = _probes(probes)
+    cut, covered, levels = _cut(rows, start, end, probes, tag)
+    keyed = probes.withColumn("s", F.explode(covered)).select("probe_id", "t", F.col("probe_tag").alias("_tag"), F.col("s.level").alias("_level"), F.col("s.span").alias("_span"))
+    if probes.count() * (levels + 1) * 96 <= BROADCAST_BYTES:
+        return cut.join(F.broadcast(keyed), _KEYS).drop(*_KEYS)
+    return cut.join(keyed.hint("merge"), _KEYS).drop(*_KEYS)
+
+
+def totals(rows: DataFrame, start: Column, end: Column, value: Column, probes: DataFrame, tag: str = "container_tag") -> DataFrame:
+    """probe_id, n, least and most: of the rows that a probe meets, how many there are and the least and greatest value; none for one that meets nothing.
+
+    Rows are added up by their spans before they meet probes, and probes of one namespace and time are one, so no meeting is a row:
+    the work is that of the rows and of the probes, not of their pairs.
+    """
+    probes = _probes(probes)
+    cut, covered, _ = _cut(rows.withColumn("_value", value), start, end, probes, tag)
+    per = cut.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.min("_value").alias("least"), F.max("_value").alias("most"))
+    points = probes.select("probe_tag", "t").distinct().withColumn("s", F.explode(covered)).select("probe_tag", "t", F.col("probe_tag").alias("_tag"), F.col("s.level").alias("_level"), F.col("s.span").alias("_span"))
+    at = points.join(per, _KEYS).groupBy("probe_tag", "t").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # Repeated ids are one, as they are for who groups by them.
+    return probes.join(at, ["probe_tag", "t"]).groupBy("probe_id").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def _known(memories: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Memories that may be known, from when and until when."""
+    # The end is the earlier one that is there.
+    return memories.where(~F.coalesce("needs_review", F.lit(False))).where("learned_at is not null"), F.col("learned_at"), F.least("superseded_at", "valid_until")
+
+
+def known_at_many(memories: DataFrame, probes: DataFrame) -> DataFrame:
+    """probe_id, known, oldest and newest: of the memories that as_of_many gives each probe, their number, and when the first and the last was learned."""
+    found = totals(*_known(memories), F.col("learned_at"), probes)
+    return found.select("probe_id", F.col("n").alias("known"), F.col("least").alias("oldest"), F.col("most").alias("newest"))
 
 
 def as_of_many(memories: DataFrame, probes: DataFrame, limit: int | None = 200) -> DataFrame:
@@ -63,8 +125,7 @@ def as_of_many(memories: DataFrame, probes: DataFrame, limit: int | None = 200)
 
     With limit, those learned last, then of the smallest id, with their place as rank; None gives all, without a rank.
     """
-    end = F.least("superseded_at", "valid_until")  # the earlier one that is there
-    met = meets(memories.where(~F.coalesce("needs_review", F.lit(False))).where("learned_at is not null"), F.col("learned_at"), end, probes)
+    met = meets(*_known(memories), probes)
     if limit is None:
         return met
     newest = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("learned_at"), "id"))

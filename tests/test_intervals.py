@@ -53,3 +53,24 @@ def test_no_probes_and_no_rows(spark):
     facts = spark.createDataFrame([("a", "t", 1, None, None, None)], FACTS)
     assert intervals.as_of_many(facts, probes).count() == 0
     assert intervals.as_of_many(facts.limit(0), spark.createDataFrame([(1, "t", 3)], "probe_id int, container_tag string, t long")).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 60])
+def test_totals_are_those_of_the_meetings(spark, step):
+    rng = random.Random(4)
+    at = lambda: rng.choice([None, *(rng.randint(-50, 5000) for _ in range(5))])
+    rows = [(f"m{k}", rng.choice(["t", "u", None, "default"]), at(), at(), at(), rng.choice([None, False, True])) for k in range(300)]
+    probes = [(k % 70, rng.choice(["t", "u", None]), rng.choice([None, 100, *(rng.randint(-60, 5100) // step * step for _ in range(5))])) for k in range(90)]
+    df, asked = spark.createDataFrame(rows, FACTS), spark.createDataFrame(probes, "probe_id int, container_tag string, t long")
+    met = intervals.as_of_many(df, asked, None).groupBy("probe_id").agg(F.count("*").alias("known"), F.min("learned_at").alias("oldest"), F.max("learned_at").alias("newest"))
+    got = intervals.known_at_many(df, asked)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, met.collect())) and met.count() > 40
+    assert intervals.known_at_many(df, asked.limit(0)).count() == 0 == intervals.known_at_many(df.limit(0), asked).count()
+
+
+def test_many_probes_of_many_rows_are_no_pairs(spark):
+    """40,000 rows that 40,000 probes all meet: 1.6 billion meetings."""
+    df = spark.range(40_000).selectExpr("cast(id as string) as id", "'t' as container_tag", "id % 500 as learned_at", "cast(null as long) as superseded_at", "cast(null as long) as valid_until", "false as needs_review")
+    probes = spark.range(40_000).selectExpr("id as probe_id", "'t' as container_tag", "1000 + id % 700 as t")
+    found = intervals.known_at_many(df, probes).agg(F.count("*"), F.min("known"), F.max("known"), F.min("oldest"), F.max("newest")).first()
+    assert tuple(found) == (40_000, 40_000, 40_000, 0, 499)
