@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +36,8 @@ from mnemo.sources.folders import path_of
 MOST_CELLS, SAMPLE = 4096, 64
 #: Rows of a block on either side of a product.
 BLOCK_ROWS = 4096
+#: Pairs of a vector and a cell that a task looks at at a time.
+PAIRS = 1_000_000
 #: Cells from which an exact search takes its first hits.
 FIRST = 2
 #: Scores are rounded to six digits; bounds leave room for that and for the angles' own rounding.
@@ -55,6 +59,22 @@ def directed(vector: str | Column) -> Column:
     return F.coalesce((squares > 0) & ~F.isnan(squares) & (squares < math.inf), F.lit(False))
 
 
+def near_cells(batch: pa.RecordBatch, column: int, centres: np.ndarray, least: np.ndarray, most: np.ndarray, cells: np.ndarray, places: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of PAIRS pairs at most, with a column of each vector's nearest cells, nearest first: cell, angle and the best score that it can hold."""
+    size = max(1, PAIRS // max(1, len(cells)))
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        vectors = part.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+        angles = np.arccos(np.clip(_units(vectors) @ centres.T, -1, 1))
+        order = angles.argsort(1, kind="stable")[:, :places]
+        angle = np.take_along_axis(angles, order, 1)
+        best = np.cos(np.maximum(np.maximum(angle - most[order], least[order] - angle), 0))
+        kinds = (("cell", cells[order].astype(np.int32)), ("angle", angle), ("best", best))
+        found = pa.StructArray.from_arrays([pa.array(v.ravel()) for _, v in kinds], [name for name, _ in kinds])
+        offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * order.shape[1])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, found)], [*part.schema.names, "c"])
+
+
 class Cells:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -90,9 +110,12 @@ class Cells:
 
         @F.pandas_udf("cell int, angle double")
         def place(vectors: pd.Series) -> pd.DataFrame:
-            cosines = _units(_matrix(vectors)) @ centres.T
-            at = cosines.argmax(1)
-            return pd.DataFrame({"cell": at.astype(np.int32), "angle": np.arccos(np.clip(cosines[np.arange(len(at)), at], -1, 1))})
+            size, at, angle = max(1, PAIRS // max(1, len(centres))), np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+            for low in range(0, len(vectors), size):
+                cosines = _units(_matrix(vectors.iloc[low : low + size])) @ centres.T
+                at[low : low + size] = cosines.argmax(1)
+                angle[low : low + size] = np.arccos(np.clip(cosines.max(1), -1, 1))
+            return pd.DataFrame({"cell": at, "angle": angle})
 
         placed = rows.where(directed(vector)).select(F.col(id_).alias("id"), F.col(tag).alias("tag"), F.col(vector).alias("vector"), place(F.col(vector)).alias("p"))
         placed = placed.select("id", "tag", "vector", "p.angle", "p.cell")
@@ -119,24 +142,25 @@ class Cells:
         batches = self.spark.read.parquet(f"{self.root}/summary").select("batch").distinct()
         return self.spark.read.parquet(f"{self.root}/rows").join(F.broadcast(batches), "batch", "left_semi").drop("batch")
 
-    def _asked(self, queries: DataFrame, held: dict[int, tuple[int, float, float]]) -> DataFrame:
-        """queries (query_id, tag, q) with every cell that has rows: its angle from the query and the best score it can hold."""
-        cells = sorted(held)
+    def _asked(self, queries: DataFrame, held: dict[int, tuple[int, float, float]], places: int | None = None) -> DataFrame:
+        """queries (query_id, tag, q) with their nearest cells that have rows, so many or all: each cell's angle from the query and the best score it can hold."""
+        cells = np.array(sorted(held))
         centres = self.centres()[cells]
-        least, most = (np.array([held[c][k] for c in cells]) for k in (1, 2))
+        least, most = (np.array([held[c][k] for c in cells.tolist()]) for k in (1, 2))
+        places = len(cells) if places is None else max(0, min(places, len(cells)))
 
-        @F.pandas_udf("array<struct<cell int, angle double, best double>>")
-        def bounds(vectors: pd.Series) -> pd.Series:
-            angles = np.arccos(np.clip(_units(_matrix(vectors)) @ centres.T, -1, 1))
-            best = np.cos(np.maximum(np.maximum(angles - most, least - angles), 0))
-            order = angles.argsort(1, kind="stable")
-            return pd.Series([[{"cell": cells[j], "angle": a[j], "best": b[j]} for j in o] for a, b, o in zip(angles, best, order, strict=True)])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from near_cells(batch, 2, centres, least, most, cells, places)
 
-        return queries.select("query_id", "tag", "q", F.posexplode(bounds(F.col("q"))).alias("place", "c")).select("query_id", "tag", "q", "place", "c.*")
+        asked = queries.select("query_id", "tag", "q")
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
+        near = asked.mapInArrow(run, f"{columns}, c array<struct<cell: int, angle: double, best: double>>")
+        return near.select("query_id", "tag", "q", F.posexplode("c").alias("place", "c")).select("query_id", "tag", "q", "place", "c.*")
 
     def probed(self, queries: DataFrame, probes: int, id_: str = "id", tag: str = "container_tag", vector: str = "embedding") -> DataFrame:
         """query_id and cell of the cells that a search with so many probes reads."""
-        return self._asked(_queries(queries, id_, tag, vector), self.summary()).where(F.col("place") < probes).select("query_id", "cell")
+        return self._asked(_queries(queries, id_, tag, vector), self.summary(), probes).select("query_id", "cell")
 
     def _scored(self, asked: DataFrame, held: dict, k: int, floor: float, among: DataFrame | None, itself: bool, tagged: bool) -> DataFrame:
         """query_id, id and score: for each query, cell and block the k best at least as good as low; asked has low besides _asked's columns."""
@@ -197,11 +221,11 @@ class Cells:
         given = _queries(queries, id_, tag, vector)
         if not held:
             return self.spark.createDataFrame([], f"query_id {given.schema['query_id'].dataType.simpleString()}, id {queries.schema[id_].dataType.simpleString()}, score double, rank int")
-        asked = self._asked(given, held).withColumn("low", F.lit(float(floor)))
+        asked = self._asked(given, held, probes).withColumn("low", F.lit(float(floor)))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         first = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if probes is not None:
-            return first(self._scored(asked.where(F.col("place") < probes), held, k, floor, among, itself, tagged))
+            return first(self._scored(asked, held, k, floor, among, itself, tagged))
         path = f"{self.root}/asked/{uuid.uuid4().hex[:12]}"
         first(self._scored(asked.where(F.col("place") < FIRST), held, k, floor, among, itself, tagged)).write.parquet(path)
         near = self.spark.read.parquet(path)

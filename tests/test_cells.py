@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnemo import queries as Q
@@ -96,3 +97,17 @@ def test_odd_rows(spark):
     assert got(index.search(spark.createDataFrame(asked, SCHEMA), 7, 0.0)) == brute([a for a in asked if a[0] not in (61, 62)], good, 7, 0.0)
     empty = Cells.build(spark.createDataFrame([], SCHEMA), folders.fresh(spark, "c"))
     assert empty.search(spark.createDataFrame(asked, SCHEMA), 7).count() == 0
+
+
+def test_cells_of_many_queries_come_in_bounded_slices():
+    rng = np.random.default_rng(5)
+    centres = cells._units(rng.normal(size=(500, 8)))
+    vectors = rng.normal(size=(5000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(vectors.tolist(), pa.list_(pa.float64()))], ["query_id", "q"])
+    parts = list(cells.near_cells(batch, 1, centres, np.zeros(500), np.full(500, 0.1), np.arange(500) * 2, 7))
+    assert len(parts) == 3 and max(p.num_rows for p in parts) * 500 <= cells.PAIRS and sum(p.num_rows for p in parts) == 5000
+    angles = np.arccos(np.clip(cells._units(vectors) @ centres.T, -1, 1))
+    got = [[(c["cell"], round(c["angle"], 9), round(c["best"], 9)) for c in r] for p in parts for r in p.column("c").to_pylist()]
+    for row, found in zip(angles[::97], got[::97]):
+        at = row.argsort(kind="stable")[:7]
+        assert found == [(2 * j, round(row[j], 9), round(float(np.cos(max(row[j] - 0.1, 0))), 9)) for j in at.tolist()]
