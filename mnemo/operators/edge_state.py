@@ -65,19 +65,22 @@ class EdgeState:
         times = [r.piece for r in mine.select("piece").distinct().collect()]  # as many as there are pieces of time
         if not times:
             return
-        touched = mine.select(*KEY, "piece").distinct()
+        # One shuffle serves all: a piece's edges, whether the batch touches it, their changes and the summary, which stands at the change that opens it.
         log = self._read("log", [*self._batches(), batch]).where(F.col("piece").isin(times)).withColumn("piece", F.col("piece").cast("long"))
-        own = log.join(touched, _same(log, touched, (*KEY, "piece")), "left_semi")
         w = Window.partitionBy(*KEY, "piece").orderBy("valid_from", "captured_at", "id")
+        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        own = log.withColumn("touched", F.max(F.col("batch") == batch.removeprefix("batch=")).over(every)).where("touched")
         # An edge that came twice stands beside itself.
         whole = F.struct("valid_from", "captured_at", "id", "object")
-        once = own.withColumn("again", F.lag(whole).over(w).eqNullSafe(whole)).where(~F.col("again"))
+        once = own.withColumn("again", F.lag(whole).over(w).eqNullSafe(whole)).withColumn("singular", F.max("singular").over(every)).where(~F.col("again"))
+        order, value = F.struct("valid_from", "captured_at", "id"), F.struct("object", "valid_from")
         placed = once.withColumn("before", F.lag(folded(F.col("object"))).over(w)).withColumn("opens", F.row_number().over(w) == 1)
+        placed = placed.withColumn("last_at", F.last(order).over(every)).withColumn("last", F.last(value).over(every))
         changes = placed.where(F.col("before").isNull() | (F.col("before") != folded(F.col("object"))))
-        changes.select(*KEY, "piece", "object", "valid_from", "captured_at", "id", "opens").write.parquet(f"{self.root}/changes/{batch}")
-        order, value = F.struct("valid_from", "captured_at", "id"), F.struct("object", "valid_from")
-        summary = own.groupBy(*KEY, "piece").agg(F.min(order).alias("first_at"), F.min_by(value, order).alias("first"), F.max(order).alias("last_at"), F.max_by(value, order).alias("last"), F.max("singular").alias("singular"))
-        summary.write.parquet(f"{self.root}/pieces/{batch}")
+        at = F.when(F.col("opens"), F.struct(order.alias("first_at"), value.alias("first"), "last_at", "last", "singular"))
+        changes.select(*KEY, "piece", "object", "valid_from", "captured_at", "id", "opens", at.alias("summary")).write.parquet(f"{self.root}/changes/{batch}")
+        opened = self._read("changes", [batch]).where("opens")
+        opened.select(*KEY, "piece", "summary.*").write.parquet(f"{self.root}/pieces/{batch}")
 
     def _none(self, columns: str) -> DataFrame:
         return self.spark.createDataFrame([], ", ".join(f"{k} string" for k in KEY) + f", {columns}")
