@@ -4,7 +4,8 @@ Postings of a word are kept in blocks of alike term frequency (powers of two), e
 frequency; the slices of a word and frequency that many documents share are dealt by a hash of the id, so that no word, however
 common, is one group. A word's document frequency is the sum of its blocks' numbers, so appended batches keep it without a recount.
 
-Where few postings are met a search adds them all up. Where they are many it first scores the blocks of each asked word that weigh most, which gives each query a score that its k-th hit surely
+Where a task may hold the weights of all queries, each asked word's postings are brought together by document, once for all queries, and
+documents are scored as search.best does. Else, where few postings are met, a search adds them all up. Where they are many it first scores the blocks of each asked word that weigh most, which gives each query a score that its k-th hit surely
 reaches. A document found only in blocks that weigh, word by word, less than the same share of their word's greatest weight can't
 reach that score when those shares add up to less than it; so only documents of heavier blocks are candidates, and of the other
 postings only those of candidates are added up, if these are few enough to be sent around. The scores are those of search.sparse over all texts.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemo.functions import text as T
+from mnemo.operators import search as S
 from mnemo.sources.folders import path_of
 
 #: Postings of a block, about, and folders that words are dealt to by hash.
@@ -115,6 +117,9 @@ class Postings:
         words, rows = sum(r["words"] for r in wanted), sum(r["rows"] for r in wanted)
         if not n or not rows:
             return self.spark.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, id string, score double, rank int")
+        held = None if skip else S.held_weights(asked)
+        if held:
+            return self._by_document(self.blocks(list(batches), [r["bucket"] for r in wanted]), n, held, asked.schema["query_id"].dataType.simpleString(), k, among)
         blocks = self.blocks(list(batches), [r["bucket"] for r in wanted]).join(_small(asked.select("token").distinct(), words), "token", "left_semi")
         # Numbers alone, so no posting is read for them.
         df = blocks.groupBy("token").agg(F.sum("n").alias("df"), F.max("most").alias("peak"))
@@ -144,6 +149,20 @@ class Postings:
         total = scored.groupBy("query_id", "id").agg(F.round(F.sum(F.col("q") * F.col("tf") * F.col("idf")), 6).alias("score"))
         return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+    def _by_document(self, blocks: DataFrame, n: int, held: tuple[list, list[str], list], kind: str, k: int, among: DataFrame | None) -> DataFrame:
+        """The hits of a search whose weights a task may hold: no posting is a row for each query that asks its word."""
+        asked, tokens, names = held
+        codes = F.broadcast(self.spark.createDataFrame(list(enumerate(tokens)), "code int, token string"))
+        blocks = blocks.join(codes, "token")
+        df = np.zeros(len(tokens))
+        for r in blocks.groupBy("code").agg(F.sum("n").alias("df")).collect():  # a row for each asked word
+            df[r.code] = r.df
+        met = blocks.select("code", F.explode("postings").alias("p")).select("p.id", "code", "p.tf")
+        if among is not None:
+            met = met.join(among.select("id"), "id", "left_semi")
+        counts = met.groupBy("id").agg(F.collect_list(F.struct("code", "tf")).alias("c")).select("id", F.col("c.code").alias("codes"), F.col("c.tf").alias("tfs"))
+        return S.best(counts, S.weighed(asked, tokens, names, np.log1p((n - df + 0.5) / (df + 0.5))), names, k, "id", kind)
+
     def _met(self, blocks: DataFrame, words: DataFrame, rows: int) -> DataFrame:
         return blocks.join(_small(words, rows), "token")
 

@@ -203,7 +203,7 @@ def best(counts: DataFrame, weights: np.ndarray, queries: list, k: int, id_: str
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
                 m = np.zeros((part.num_rows, words))
-                m[pc.list_parent_indices(part.column(1)).to_numpy(), part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                np.add.at(m, (pc.list_parent_indices(part.column(1)).to_numpy(), part.column(1).flatten().to_numpy()), part.column(2).flatten().to_numpy().astype(np.float64))
                 raw = m @ w
                 score = np.floor(raw * 1e6 + 0.5) / 1e6
                 doc, query = np.nonzero((raw > 0) & (score >= low))
