@@ -16,7 +16,7 @@ their numbers of documents and tokens. A difference from recipe or manifest rais
 
 Texts are encoded by the tokenizers library as its file is: the string of a special token in a text becomes that token's id. Where
 the file's pre-tokenizer always splits before a single space, as byte-level ones do, a text is split there, equal pieces are encoded
-once while they are remembered, and a text with other runs of spaces is encoded whole. With any other file texts are encoded whole.
+once while they are remembered, in blocks of bounded bytes, and a text with other runs of spaces is encoded whole. With any other file texts are encoded whole.
 
 Defined cases: null texts are empty; an empty text is its end id; documents alike in doc_id are separate recipes in the order of
 their row_key; null doc_ids come first; an empty table makes an empty store; other columns aren't stored.
@@ -24,11 +24,13 @@ their row_key; null doc_ids come first; an empty table makes an empty store; oth
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +45,21 @@ WIDTH = 2
 #: Chunks: least and most ids, and the mean distance of cuts as a power of two.
 LEAST, MOST, BITS = 64, 4096, 9
 ROLL = 8
-#: Pieces remembered by a task and joined to one text; documents encoded at a time.
-_MEMO_PIECES, _JOINED, _DOCS = 600_000, 512, 1000
+#: Bytes of text encoded at a time, of pieces and their ids remembered by a task; pieces joined to one text, documents in a batch.
+_BLOCK_BYTES, _MEMO_BYTES, _JOINED, _DOCS = 8 << 20, 16 << 20, 512, 1000
 #: Marks that, after a letter at a piece's end, are a pre-token of their own.
 _MARKS = ".,;:!?#$%&*|"
-#: White space next to a space: the pieces on both sides depend on each other there.
-_RUN = re.compile(r"\s (?:\s|$)")
+#: Letters of Latin alphabets, which all versions of Unicode have as such.
+_LETTERS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
+#: White space next to a space, by Unicode: the pieces on both sides depend on each other there.
+_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN = f"{_SPACE} (?:{_SPACE}|$)"
+#: The character that a byte-level vocabulary has for each byte; zero stays one.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_CHARACTERS = np.zeros(256, "<u4")
+_CHARACTERS[sorted(_PRINTED)] = sorted(_PRINTED)
+_CHARACTERS[sorted({*range(256)} - _PRINTED)] = np.arange(256, 512 - len(_PRINTED))
+_CHARACTERS[0] = 0
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -66,10 +77,14 @@ def splits_at_spaces(tokenizer) -> bool:
 
 
 class Encoder:
-    """Texts to the bytes of their ids. It and what it remembers live as long as a task."""
+    """Texts to the bytes of their ids. What it remembers is forgotten at a task's end.
+
+    Pieces are columns: those of a block of texts are told apart by one dictionary, only new ones are encoded, and the ids are put together by one take.
+    """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core; the library's threads would only wait
         self.tokenizer = Tokenizer.from_file(name if "/" in name else vocabulary_path(name))
@@ -81,13 +96,21 @@ class Encoder:
         #: Which ids begin with a space (written as U+0120 in the vocabulary).
         self.opens = np.zeros(1 << (8 * WIDTH), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.memo: dict[str, bytes] = {}
+        #: The same model for words of letters alone, which are one pre-token each: many between zeros, already in the vocabulary's characters.
+        self.many, self.line = None, self.tokenizer.token_to_id("\u010a")
+        if self.splits and self.line is not None and not any(t.content.strip("\n").isalpha() or t.content == "\n" for t in self.tokenizer.get_added_tokens_decoder().values()):
+            self.many = Tokenizer(self.tokenizer.model)
+            self.many.pre_tokenizer = CharDelimiterSplit("\0")
+        self.forget()
         trim()
 
+    def forget(self) -> None:
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+
     def encode(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def each(self, pieces: list[str]) -> dict[str, bytes]:
+    def each(self, pieces: list[str]) -> list[bytes]:
         """The ids of single pieces, each after a space. Those without white space at their edges are encoded as one text and told apart by ids that begin with a space."""
         joinable = [p for p in pieces if p[:1].strip() and p[-1:].strip()]
         apart = [p for p in pieces if not (p[:1].strip() and p[-1:].strip())]
@@ -105,34 +128,108 @@ class Encoder:
         for low in range(0, len(apart), 2048):
             some = apart[low : low + 2048]
             out.update(zip(some, self.encode([" " + p for p in some])))
-        return out
+        return [out[p] for p in pieces]
+
+    def words(self, words: pa.Array, line: bool) -> pa.Array:
+        """The ids of words of letters alone, each after a space or, as a pre-token of its own, a line's end."""
+        first, between = (b"\n\0", "\0\n\0") if line else (b" ", "\0 ")
+        bounds = np.append(np.arange(0, len(words), _JOINED), len(words)).astype(np.int32)
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words), between).cast(pa.binary())
+        found: list[np.ndarray] = []
+        for low in range(0, len(groups), 16):
+            some = [_CHARACTERS[np.frombuffer(first + g, np.uint8)].tobytes().decode("utf-32-le") for g in groups[low : low + 16].to_pylist()]
+            found += [np.array(e.ids, "<u2") for e in self.many.encode_batch_fast(some, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, "<u2")
+        at = np.nonzero(ids == self.line if line else self.opens[ids])[0]
+        if len(at) != len(words):
+            return pa.array(self.encode([("\n" if line else " ") + w for w in words.to_pylist()]), pa.binary())
+        return _binary(np.append(at, len(ids)) * WIDTH, pa.py_buffer(ids))
+
+    def marked(self, pieces: pa.Array, line: bool = False) -> pa.Array:
+        """The ids of words with marks behind them or none. Marks are a pre-token of their own, so a word is encoded once, whatever marks follow."""
+        core = pc.utf8_rtrim(pieces, _MARKS).dictionary_encode()
+        ids = self.words(core.dictionary, line).take(core.indices)
+        marks = pc.replace_substring_regex(pieces, f"^{_LETTERS}+", "").dictionary_encode()
+        after = pa.array([self.encode([m])[0] if m else b"" for m in marks.dictionary.to_pylist()], pa.binary())
+        return pc.binary_join_element_wise(ids, after.take(marks.indices), pa.scalar(b"", pa.binary()))
+
+    def fresh(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, each after a space."""
+        if not self.many:
+            return pa.array(self.each(pieces.to_pylist()), pa.binary())
+        word = f"{_LETTERS}+[{_MARKS}]*"
+        plain = pc.match_substring_regex(pieces, f"^{word}$").to_numpy(zero_copy_only=False)
+        rest = pieces.filter(pa.array(~plain))
+        broken = pc.match_substring_regex(rest, f"^{word}\n{word}$").to_numpy(zero_copy_only=False)
+        n, lines = int(plain.sum()), pc.split_pattern(rest.filter(pa.array(broken)), "\n").values
+        ids = self.marked(pa.concat_arrays([pieces.filter(pa.array(plain)), lines[0::2]]))
+        tails = lines[1::2].dictionary_encode()
+        both = pc.binary_join_element_wise(ids[n:], self.marked(tails.dictionary, True).take(tails.indices), pa.scalar(b"", pa.binary()))
+        others = pa.array(self.each(rest.filter(pa.array(~broken)).to_pylist()), pa.binary())
+        place, of_rest = np.empty(len(pieces), np.int64), np.empty(len(rest), np.int64)
+        of_rest[broken], of_rest[~broken] = n + np.arange(len(both)), n + len(both) + np.arange(len(others))
+        place[plain], place[~plain] = np.arange(n), of_rest
+        return pa.concat_arrays([ids[:n], both, others]).take(pa.array(place))
+
+    def block(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of texts that aren't null, as bytes, each followed by end."""
+        if not self.splits:
+            return pa.array([ids + end for ids in self.encode(texts.to_pylist())], pa.binary())
+        alone = pc.match_substring_regex(texts, _RUN)
+        pieces = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        at, pieces = pieces.offsets.to_numpy(), pieces.values
+        begins = np.zeros(len(pieces), bool)
+        begins[at[:-1]] = True
+        heads = pc.if_else(alone, texts, pieces.filter(pa.array(begins)))
+        heads = [ids for low in range(0, len(heads), _DOCS) for ids in self.encode(heads[low : low + _DOCS].to_pylist())]
+        # What is known comes first, so it keeps its places in the dictionary and what is new follows.
+        codes = pa.chunked_array([self.known, pieces.filter(pa.array(~begins))]).dictionary_encode().combine_chunks()
+        del pieces
+        size, old = len(codes.dictionary), len(self.known)
+        ids = pa.concat_arrays([self.ids, self.fresh(codes.dictionary[old:])])
+        place = np.empty(len(begins), np.int32)
+        place[~begins], place[begins] = codes.indices.to_numpy()[old:], size + np.arange(len(heads))
+        self.known, self.ids = codes.dictionary, ids
+        if self.known.nbytes + ids.nbytes > _MEMO_BYTES:
+            self.forget()
+        del codes
+        flat = pa.concat_arrays([ids, pa.array([*heads, end], pa.binary())]).take(pa.array(np.insert(place, at[1:], size + len(heads))))
+        _, bounds, data = flat.buffers()
+        return _binary(np.frombuffer(bounds, np.int32)[at + np.arange(len(at))], data)
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        if not self.splits:
-            return self.encode(batch)
-        memo = self.memo
-        if len(memo) > _MEMO_PIECES:
-            memo.clear()
-        split: list[list[str] | None] = [None if _RUN.search(text) else text.split(" ") for text in batch]
-        firsts = self.encode([pieces[0] if pieces else text for text, pieces in zip(batch, split)])
-        needed: set[str] = set()
-        for pieces in split:
-            if pieces:
-                needed.update(pieces[1:])
-        new = needed - memo.keys()
-        ends = {p: core for p in new if (core := p.rstrip(_MARKS)) != p and core[-1:].isalpha()}
-        marks = {p: p[len(core) :] for p, core in ends.items()}
-        bare = (new - ends.keys()) | (set(ends.values()) - memo.keys())
-        memo.update(self.each(list(bare)))
-        apart = list(set(marks.values()))
-        after = dict(zip(apart, self.encode(apart)))
-        memo.update((p, memo[core] + after[marks[p]]) for p, core in ends.items())
-        out = []
-        for first, pieces in zip(firsts, split):
-            out.append(first + b"".join(map(memo.__getitem__, pieces[1:])) if pieces and len(pieces) > 1 else first)
-        for piece in [p for p in new | bare if len(p) > 64]:
-            del memo[piece]
-        return out
+        return self.block(pa.array(batch, pa.string())).to_pylist()
+
+
+@functools.lru_cache(1)
+def _encoder(name: str) -> Encoder:
+    """One for a worker: to read its file takes a sixth of a second."""
+    return Encoder(name)
+
+
+def _binary(bounds: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), data])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows (doc_id, text) of batches anew, with about so many bytes of text at most; a text alone may have more."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = int(np.searchsorted(ends, before + most - size, "right"))
+            if high <= low and held:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+                continue
+            high = max(high, low + 1)
+            held.append(batch.slice(low, high - low))
+            size += int(ends[high - 1] - before)
+            low = high
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 _GEAR = np.random.default_rng(20240).integers(0, 1 << 32, 1 << 16, np.uint32)
@@ -184,43 +281,46 @@ def _lists(values: list[list[int]], kind: pa.DataType) -> pa.Array:
 def _encoded(docs: DataFrame, name: str) -> DataFrame:
     """row_key, doc_id, n_tokens, a, b, lengths, root and ids of each row of docs."""
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, base, count = Encoder(name), TaskContext.get().partitionId() << 33, 0
+        encoder, base = _encoder(name), TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u2").tobytes()
-
-        def each(batch: pa.RecordBatch):
-            nonlocal count
-            for low in range(0, batch.num_rows, _DOCS):
-                part = batch.slice(low, _DOCS)
-                payload = [ids + end for ids in encoder([t or "" for t in part.column(1).to_pylist()])]
-                tokens = np.fromiter(map(len, payload), np.int64, len(payload)) // WIDTH
-                allowed = candidates(np.frombuffer(b"".join(payload), "<u2"))
-                starts = np.cumsum(tokens) - tokens
-                first, last = (np.searchsorted(allowed, x, "right").tolist() for x in (starts, starts + tokens))
-                n, lengths, leaves, roots = [], [], [], []
-                for ids, at, a, b in zip(payload, starts.tolist(), first, last):
-                    bounds = cuts(len(ids) // WIDTH, (allowed[a:b] - at).tolist())
-                    own = [address(ids[WIDTH * x : WIDTH * y]) for x, y in zip([0, *bounds], bounds)]
-                    n.append(len(bounds))
-                    lengths += [y - x for x, y in zip([0, *bounds], bounds)]
-                    leaves += own
-                    roots.append(merkle(own))
-                pair = np.frombuffer(b"".join(leaves), "<i8").reshape(-1, 2)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((pair[:, 0], pa.int64()), (pair[:, 1], pa.int64()), (lengths, pa.int32()))]
-                keys = np.arange(base + count, base + count + len(payload))
-                count += len(payload)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), part.column(0), pa.array(tokens), *lists, pa.array(roots, pa.binary()), pa.array(payload, pa.binary())],
-                    ["row_key", "doc_id", "n_tokens", "a", "b", "lengths", "root", "ids"],
-                )
-
-        return each
+        for block in _blocks(batches, _BLOCK_BYTES):
+            texts = pc.fill_null(block.column(1).cast(pa.string()).combine_chunks(), "")
+            doc_ids = block.column(0).combine_chunks()
+            del block
+            payload = encoder.block(texts, end)
+            del texts
+            bounds, data = np.frombuffer(payload.buffers()[1], np.int32).astype(np.int64) // WIDTH, payload.buffers()[2]
+            allowed, view = candidates(np.frombuffer(data, "<u2")), memoryview(data)
+            first, last = (np.searchsorted(allowed, x, "right").tolist() for x in (bounds[:-1], bounds[1:]))
+            n, lengths, leaves, roots = [], [], [], []
+            for at, stop, a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first, last):
+                ends = cuts(stop - at, (allowed[a:b] - at).tolist())
+                own = [address(view[WIDTH * (at + x) : WIDTH * (at + y)]) for x, y in zip([0, *ends], ends)]
+                n.append(len(ends))
+                lengths += [y - x for x, y in zip([0, *ends], ends)]
+                leaves += own
+                roots.append(merkle(own))
+            pair = np.frombuffer(b"".join(leaves), "<i8").reshape(-1, 2)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((pair[:, 0], pa.int64()), (pair[:, 1], pa.int64()), (lengths, pa.int32()))]
+            keys = np.arange(base, base + len(payload))
+            base += len(payload)
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), doc_ids, pa.array(np.diff(bounds)), *lists, pa.array(roots, pa.binary()), payload],
+                ["row_key", "doc_id", "n_tokens", "a", "b", "lengths", "root", "ids"],
+            )
+            for low in range(0, made.num_rows, _DOCS):
+                yield made.slice(low, _DOCS)
+            del payload, data, view, made
+            pa.default_memory_pool().release_unused()
+        encoder.forget()
+        trim()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), f"row_key long, doc_id {id_type}, n_tokens long, a array<long>, b array<long>, lengths array<int>, root binary, ids binary", start)
+    return docs.select("doc_id", "text").mapInArrow(run, f"row_key long, doc_id {id_type}, n_tokens long, a array<long>, b array<long>, lengths array<int>, root binary, ids binary")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
