@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A small side is broadcast only if its rows, at a fixed width, stay below this; otherwise the join is shuffled.
 BROADCAST_BYTES = 16 << 20
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 #: Words remembered by a worker while it scans; the memo is emptied beyond that, which changes no result.
 MEMO_WORDS = 150_000
 

@@ -46,7 +46,7 @@ WIDTH = 2
 LEAST, MOST, BITS = 64, 4096, 9
 ROLL = 8
 #: Bytes of text encoded at a time, of pieces and their ids remembered by a task; pieces joined to one text, documents in a batch.
-_BLOCK_BYTES, _MEMO_BYTES, _JOINED, _DOCS = 8 << 20, 16 << 20, 512, 1000
+_BLOCK_BYTES, _MEMO_BYTES, _JOINED, _DOCS = 4 << 20, 8 << 20, 512, 1000
 #: Marks that, after a letter at a piece's end, are a pre-token of their own.
 _MARKS = ".,;:!?#$%&*|"
 #: Letters of Latin alphabets, which all versions of Unicode have as such.
@@ -183,16 +183,17 @@ class Encoder:
         heads = pc.if_else(alone, texts, pieces.filter(pa.array(begins)))
         heads = [ids for low in range(0, len(heads), _DOCS) for ids in self.encode(heads[low : low + _DOCS].to_pylist())]
         # What is known comes first, so it keeps its places in the dictionary and what is new follows.
-        codes = pa.chunked_array([self.known, pieces.filter(pa.array(~begins))]).dictionary_encode().combine_chunks()
+        pieces, old = pa.chunked_array([self.known, pieces.filter(pa.array(~begins))]), len(self.known)
+        codes = pieces.dictionary_encode().chunks  # none for an empty one
         del pieces
-        size, old = len(codes.dictionary), len(self.known)
-        ids = pa.concat_arrays([self.ids, self.fresh(codes.dictionary[old:])])
-        place = np.empty(len(begins), np.int32)
-        place[~begins], place[begins] = codes.indices.to_numpy()[old:], size + np.arange(len(heads))
-        self.known, self.ids = codes.dictionary, ids
+        self.known = codes[0].dictionary if codes else self.known
+        size, place = len(self.known), np.empty(len(begins), np.int32)
+        place[~begins], place[begins] = np.concatenate([c.indices for c in codes] or [place[:0]])[old:], size + np.arange(len(heads))
+        del codes
+        pa.default_memory_pool().release_unused()  # the dictionary's hash table
+        self.ids = ids = pa.concat_arrays([self.ids, self.fresh(self.known[old:])])
         if self.known.nbytes + ids.nbytes > _MEMO_BYTES:
             self.forget()
-        del codes
         flat = pa.concat_arrays([ids, pa.array([*heads, end], pa.binary())]).take(pa.array(np.insert(place, at[1:], size + len(heads))))
         _, bounds, data = flat.buffers()
         return _binary(np.frombuffer(bounds, np.int32)[at + np.arange(len(at))], data)

@@ -50,3 +50,14 @@ def test_blocks_keep_all_rows_in_order():
     assert sum((b.column(0).to_pylist() for b in blocks), []) == list(range(100)) and sum((b.column(1).to_pylist() for b in blocks), []) == texts
     assert all(b.num_rows == 1 or sum(map(len, filter(None, b.column(1).to_pylist()))) <= 300 for b in blocks)
     assert list(token_store._blocks(iter(()), 300)) == []
+
+
+def test_a_block_holds_little():
+    """Of many blocks of new words the encoder remembers a bounded number of bytes, and a block is bounded."""
+    encoder, rng = token_store.Encoder(token_store.VOCABULARY), random.Random(3)
+    stems = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([" ".join(a + b for a, b in zip(rng.choices(stems, k=700), rng.choices(stems, k=700))) for _ in range(300)])], ["doc_id", "text"])
+    for block in token_store._blocks((batch for _ in range(10)), token_store._BLOCK_BYTES):
+        encoder.block(block.column(1).combine_chunks())
+        assert encoder.known.nbytes + encoder.ids.nbytes <= token_store._MEMO_BYTES
+        assert block.column(1).nbytes < 2 * token_store._BLOCK_BYTES
