@@ -5,13 +5,13 @@ equal passages are cut alike wherever they stand. A chunk's address is the 128-b
 The store is a folder of three tables in Parquet:
 
   packs      in ascending doc_id order: row_key, doc_id, part, a, b (addresses), lengths, ids: the chunks whose first holder is that row,
-             ids as little-endian unsigned integers of WIDTH bytes, one chunk after the other; a pack may be empty
+             ids as little-endian unsigned integers of WIDTH bytes, one chunk after the other; a pack may be empty; whole (it has all of its row's)
   recipes    in the same order, part by part: row_key, doc_id, start (ids of all documents before it), n_tokens, the addresses and lengths of
              its chunks in order, own (which of them are in its pack), root (of the Merkle tree over the addresses)
   manifest   per part of the recipes in order: part, documents, tokens, root over its documents' roots; part -1 is the whole store
 
-Reading back joins recipes, packs and the chunks that are in another row's pack, reassembles every document, hashes every chunk and
-recomputes every root: of each document, and from those and the starts of the reassembled documents of each part and the store, with
+Reading back hashes whole packs where they are and joins what that gives with their recipes; other recipes are joined with their packs and the chunks
+that are in another row's pack. Every document is reassembled, every chunk hashed and every root recomputed: of each document, and from those and the starts of the reassembled documents of each part and the store, with
 their numbers of documents and tokens. A difference from recipe or manifest raises an error before a row is returned. Only addresses are shuffled to find first holders.
 
 Texts are encoded by the tokenizers library as its file is: the string of a special token in a text becomes that token's id. Where
@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ LEAST, MOST, BITS = 64, 4096, 9
 ROLL = 8
 #: Bytes of text encoded at a time, of pieces and their ids remembered by a task; pieces joined to one text, documents in a batch.
 _BLOCK_BYTES, _MEMO_BYTES, _JOINED, _DOCS = 4 << 20, 8 << 20, 512, 1000
+#: Blocks in which a piece is encoded once; words in a row.
+_WINDOW, _ROW = 12, 64
 #: Marks that, after a letter at a piece's end, are a pre-token of their own.
 _MARKS = ".,;:!?#$%&*|"
 #: Letters of Latin alphabets, which all versions of Unicode have as such.
@@ -60,6 +63,8 @@ _CHARACTERS = np.zeros(256, "<u4")
 _CHARACTERS[sorted(_PRINTED)] = sorted(_PRINTED)
 _CHARACTERS[sorted({*range(256)} - _PRINTED)] = np.arange(256, 512 - len(_PRINTED))
 _CHARACTERS[0] = 0
+#: Those of the bytes of _LETTERS.
+_OF_LETTERS = "[A-Za-z" + "".join(map(chr, _CHARACTERS[[*range(0x80, 0xC0), *range(0xC3, 0xCA)]])) + "]"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -76,15 +81,22 @@ def splits_at_spaces(tokenizer) -> bool:
     return bool(byte_level and tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added))
 
 
+def _words_part(tokenizer) -> bool:
+    """Whether words of _LETTERS have the same ids in a row as alone, each after a space or a line's end: no entry holds a word's end and what follows, or a line's end and a letter."""
+    model = tokenizer.model
+    plain = not any(getattr(model, k, None) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    across = re.compile(f"(?:^|\u0120){_OF_LETTERS}+\u0120|{_OF_LETTERS}\u010a|\u010a{_OF_LETTERS}")
+    return plain and not any(map(across.search, tokenizer.get_vocab()))
+
+
 class Encoder:
     """Texts to the bytes of their ids. What it remembers is forgotten at a task's end.
 
-    Pieces are columns: those of a block of texts are told apart by one dictionary, only new ones are encoded, and the ids are put together by one take.
+    Pieces are columns: those of some blocks of texts are told apart by one dictionary, only new ones are encoded, and a block's ids are put together by one take.
     """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core; the library's threads would only wait
         self.tokenizer = Tokenizer.from_file(name if "/" in name else vocabulary_path(name))
@@ -96,11 +108,10 @@ class Encoder:
         #: Which ids begin with a space (written as U+0120 in the vocabulary).
         self.opens = np.zeros(1 << (8 * WIDTH), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        #: The same model for words of letters alone, which are one pre-token each: many between zeros, already in the vocabulary's characters.
+        #: The same model for words of letters alone, already in the vocabulary's characters: many in a row where no merge reaches from one to the next.
         self.many, self.line = None, self.tokenizer.token_to_id("\u010a")
         if self.splits and self.line is not None and not any(t.content.strip("\n").isalpha() or t.content == "\n" for t in self.tokenizer.get_added_tokens_decoder().values()):
-            self.many = Tokenizer(self.tokenizer.model)
-            self.many.pre_tokenizer = CharDelimiterSplit("\0")
+            self.many = Tokenizer(self.tokenizer.model) if _words_part(self.tokenizer) else None
         self.forget()
         trim()
 
@@ -132,12 +143,12 @@ class Encoder:
 
     def words(self, words: pa.Array, line: bool) -> pa.Array:
         """The ids of words of letters alone, each after a space or, as a pre-token of its own, a line's end."""
-        first, between = (b"\n\0", "\0\n\0") if line else (b" ", "\0 ")
-        bounds = np.append(np.arange(0, len(words), _JOINED), len(words)).astype(np.int32)
+        first, between = (b"\n", "\n") if line else (b" ", " ")
+        bounds = np.append(np.arange(0, len(words), _ROW), len(words)).astype(np.int32)
         groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words), between).cast(pa.binary())
         found: list[np.ndarray] = []
-        for low in range(0, len(groups), 16):
-            some = [_CHARACTERS[np.frombuffer(first + g, np.uint8)].tobytes().decode("utf-32-le") for g in groups[low : low + 16].to_pylist()]
+        for low in range(0, len(groups), 128):
+            some = [_CHARACTERS[np.frombuffer(first + g, np.uint8)].tobytes().decode("utf-32-le") for g in groups[low : low + 128].to_pylist()]
             found += [np.array(e.ids, "<u2") for e in self.many.encode_batch_fast(some, add_special_tokens=False)]
         ids = np.concatenate(found) if found else np.zeros(0, "<u2")
         at = np.nonzero(ids == self.line if line else self.opens[ids])[0]
@@ -171,32 +182,47 @@ class Encoder:
         place[plain], place[~plain] = np.arange(n), of_rest
         return pa.concat_arrays([ids[:n], both, others]).take(pa.array(place))
 
-    def block(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
-        """The ids of texts that aren't null, as bytes, each followed by end."""
-        if not self.splits:
-            return pa.array([ids + end for ids in self.encode(texts.to_pylist())], pa.binary())
+    def parted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], pa.DictionaryArray]:
+        """Of texts: their bounds among all pieces, which pieces are their first, the ids of those, and the other pieces."""
         alone = pc.match_substring_regex(texts, _RUN)
         pieces = pc.split_pattern(pc.if_else(alone, "", texts), " ")
         at, pieces = pieces.offsets.to_numpy(), pieces.values
         begins = np.zeros(len(pieces), bool)
         begins[at[:-1]] = True
         heads = pc.if_else(alone, texts, pieces.filter(pa.array(begins)))
-        heads = [ids for low in range(0, len(heads), _DOCS) for ids in self.encode(heads[low : low + _DOCS].to_pylist())]
+        heads = [ids for low in range(0, len(heads), _DOCS) for ids in self.encode(_objects(heads[low : low + _DOCS]))]
+        return at, begins, heads, pieces.filter(pa.array(~begins)).dictionary_encode()
+
+    def window(self, blocks: Iterable[pa.Array], end: bytes = b"") -> Iterator[pa.Array]:
+        """The ids of blocks of texts that aren't null, as bytes, each followed by end. A piece is encoded once in all of them."""
+        if not self.splits:
+            yield from (pa.array([ids + end for ids in self.encode(texts.to_pylist())], pa.binary()) for texts in blocks)
+            return
+        parts = [self.parted(texts) for texts in blocks]
         # What is known comes first, so it keeps its places in the dictionary and what is new follows.
-        pieces, old = pa.chunked_array([self.known, pieces.filter(pa.array(~begins))]), len(self.known)
-        codes = pieces.dictionary_encode().chunks  # none for an empty one
-        del pieces
-        self.known = codes[0].dictionary if codes else self.known
-        size, place = len(self.known), np.empty(len(begins), np.int32)
-        place[~begins], place[begins] = np.concatenate([c.indices for c in codes] or [place[:0]])[old:], size + np.arange(len(heads))
+        old, codes = len(self.known), pa.chunked_array([self.known, *(p.dictionary for *_, p in parts)]).dictionary_encode().chunks  # none for an empty one
+        known, of = codes[0].dictionary if codes else self.known, np.concatenate([c.indices for c in codes] or [np.zeros(0, np.int32)])[old:]
         del codes
+        parts = [(*part, p.indices, len(p.dictionary)) for *part, p in parts]
         pa.default_memory_pool().release_unused()  # the dictionary's hash table
-        self.ids = ids = pa.concat_arrays([self.ids, self.fresh(self.known[old:])])
-        if self.known.nbytes + ids.nbytes > _MEMO_BYTES:
+        ids = pa.concat_arrays([self.ids, self.fresh(known[old:])])
+        self.known, self.ids = known, ids
+        if known.nbytes + ids.nbytes > _MEMO_BYTES:
             self.forget()
-        flat = pa.concat_arrays([ids, pa.array([*heads, end], pa.binary())]).take(pa.array(np.insert(place, at[1:], size + len(heads))))
-        _, bounds, data = flat.buffers()
-        return _binary(np.frombuffer(bounds, np.int32)[at + np.arange(len(at))], data)
+        size = len(known)
+        del known
+        parts.reverse()
+        while parts:
+            at, begins, heads, codes, n = parts.pop()
+            place = np.empty(len(begins), np.int32)
+            place[~begins], place[begins] = of[:n][codes.to_numpy()], size + np.arange(len(heads))
+            of = of[n:]
+            flat = pa.concat_arrays([ids, pa.array([*heads, end], pa.binary())]).take(pa.array(np.insert(place, at[1:], size + len(heads))))
+            _, bounds, data = flat.buffers()
+            yield _binary(np.frombuffer(bounds, np.int32)[at + np.arange(len(at))], data)
+
+    def block(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        return next(self.window([texts], end))
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         return self.block(pa.array(batch, pa.string())).to_pylist()
@@ -208,6 +234,11 @@ def _encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
+def _objects(column: pa.Array) -> list:
+    """As to_pylist, several times faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _binary(bounds: np.ndarray, data: pa.Buffer) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), data])
 
@@ -238,10 +269,9 @@ _GEAR = np.random.default_rng(20240).integers(0, 1 << 32, 1 << 16, np.uint32)
 
 def candidates(ids: np.ndarray) -> np.ndarray:
     """Places behind which the rolling hash of the last ids allows a cut."""
-    gear = _GEAR[ids]
-    rolled = gear.copy()
-    for j in range(1, ROLL):
-        rolled[j:] += gear[:-j] << np.uint32(4 * j)
+    rolled = _GEAR[ids]
+    for j in (1, 2, 4):  # each step doubles the ids that a hash is of, up to ROLL
+        rolled[j:] += rolled[:-j] << np.uint32(4 * j)
     return np.nonzero((rolled >> np.uint32(32 - BITS)) == 0)[0] + 1
 
 
@@ -287,12 +317,15 @@ def _encoded(docs: DataFrame, name: str) -> DataFrame:
 
         encoder, base = _encoder(name), TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u2").tobytes()
-        for block in _blocks(batches, _BLOCK_BYTES):
-            texts = pc.fill_null(block.column(1).cast(pa.string()).combine_chunks(), "")
-            doc_ids = block.column(0).combine_chunks()
-            del block
-            payload = encoder.block(texts, end)
-            del texts
+        blocks, ids_of = _blocks(batches, _BLOCK_BYTES), []
+
+        def texts(first: pa.Table) -> Iterator[pa.Array]:
+            for block in itertools.chain([first], itertools.islice(blocks, _WINDOW - 1)):
+                ids_of.append(block.column(0).combine_chunks())
+                yield pc.fill_null(block.column(1).cast(pa.string()).combine_chunks(), "")
+
+        for payload in (x for first in blocks for x in encoder.window(texts(first), end)):
+            doc_ids = ids_of.pop(0)
             bounds, data = np.frombuffer(payload.buffers()[1], np.int32).astype(np.int64) // WIDTH, payload.buffers()[2]
             allowed, view = candidates(np.frombuffer(data, "<u2")), memoryview(data)
             first, last = (np.searchsorted(allowed, x, "right").tolist() for x in (bounds[:-1], bounds[1:]))
@@ -331,6 +364,9 @@ def _packed(rows: DataFrame) -> DataFrame:
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return packs(batch).append_column("whole", batch.column(7).is_null())
+
+        def packs(batch: pa.RecordBatch) -> pa.RecordBatch:
             alone = batch.column(7).is_null()
             whole, mixed = batch.filter(alone).select(names), batch.filter(pc.invert(alone))
             # A column that can't be null makes another schema than one that can, and a task's batches have to have one.
@@ -353,7 +389,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         return each
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows.select(*names, "foreign"), f"row_key long, doc_id {id_type}, part int, a array<long>, b array<long>, lengths array<int>, ids binary", start)
+    return arrow_map(rows.select(*names, "foreign"), f"row_key long, doc_id {id_type}, part int, a array<long>, b array<long>, lengths array<int>, ids binary, whole boolean", start)
 
 
 def write_store(docs: DataFrame, folder: str, name: str = VOCABULARY) -> None:
@@ -389,7 +425,8 @@ def write_store(docs: DataFrame, folder: str, name: str = VOCABULARY) -> None:
 
     # The manifest: a root for each part, one row per part; then the root of the store over the parts' roots.
     roots = _part_roots(spark.read.parquet(f"{folder}/recipes")).select("part", "root")
-    manifest = parts.select("part", "documents", "tokens").join(roots, "part").orderBy("part").collect()  # one small row per part
+    manifest = parts.select("part", "documents", "tokens").join(roots, "part").collect()  # one small row per part
+    manifest.sort(key=lambda r: r.part)  # here, as an ORDER BY would make the roots twice
     total = (-1, sum(r.documents for r in manifest), sum(r.tokens for r in manifest), merkle([bytes(r.root) for r in manifest]))
     spark.createDataFrame([*((r.part, r.documents, r.tokens, bytes(r.root)) for r in manifest), total], "part int, documents long, tokens long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
     scratch.release()
@@ -407,7 +444,7 @@ def _part_roots(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds.values())], list(kinds))
 
         for batch in batches:
-            for part, start, n, root in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for part, start, n, root in zip(*(_objects(batch.column(i)) for i in range(4))):
                 if part != held_part:
                     if held_part is not None:
                         yield row()
@@ -425,7 +462,7 @@ def _part_roots(rows: DataFrame) -> DataFrame:
 def _verify(rows: DataFrame, manifest: DataFrame) -> None:
     """Raises if the reassembled rows aren't what the manifest says, part by part and in all."""
     said = {r.part: (r.documents, r.tokens, bytes(r.root)) for r in manifest.collect()}  # one small row per part
-    parts = _part_roots(rows).orderBy("part").collect()
+    parts = sorted(_part_roots(rows).collect(), key=lambda r: r.part)
     found = {r.part: (r.documents, r.tokens, bytes(r.root)) for r in parts}
     found[-1] = (sum(r.documents for r in parts), sum(r.tokens for r in parts), merkle([bytes(r.root) for r in parts]))
     wrong = sorted(p for p in said.keys() | found.keys() if said.get(p) != found.get(p))
@@ -438,6 +475,45 @@ def _verify(rows: DataFrame, manifest: DataFrame) -> None:
         raise ValueError(f"the store doesn't match its manifest in parts {sorted(set(wrong))} (-1: the whole store)")
 
 
+WRONG = "a document of the store doesn't match its recipe"
+
+
+def _last(whole: list[bytes], digest: bool) -> pa.Array:
+    """The documents' ids, or with digest their checksums."""
+    return pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for x in whole], pa.int64()) if digest else pa.array(whole, pa.binary())
+
+
+def _whole(recipes: DataFrame, packs: DataFrame, digest: bool) -> DataFrame:
+    """What _assembled returns, of recipes whose packs are whole: chunks are hashed where the packs are, and only what that gives is joined."""
+
+    def start():
+        def each(batch: pa.RecordBatch):
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                a, b, lengths = some.column(1), some.column(2), some.column(3)
+                bounds, sizes = a.offsets.to_numpy(), lengths.values.to_numpy()
+                pairs = np.stack([x.values.to_numpy() for x in (a, b)], 1)
+                if not all(np.array_equal(np.diff(bounds), np.diff(x.offsets.to_numpy())) for x in (b, lengths)):
+                    raise ValueError(WRONG)
+                roots, ids, shift = [], _objects(some.column(4)), lengths.offsets.to_numpy()[0] - bounds[0]
+                for pack, x, y in zip(ids, bounds.tolist(), bounds[1:].tolist()):
+                    ends = (np.cumsum(sizes[x + shift : y + shift]) * WIDTH).tolist()
+                    leaves = [address(pack[i:j]) for i, j in zip([0, *ends], ends)]
+                    if b"".join(leaves) != pairs[x:y].tobytes() or ends[-1:] != [len(pack)]:
+                        raise ValueError(WRONG)
+                    roots.append(merkle(leaves))
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), pa.array([len(x) // WIDTH for x in ids], pa.int64()), pa.array(roots, pa.binary()), _last(ids, digest)], names)
+
+        return each
+
+    last = "ids_crc32" if digest else "ids"
+    names = ["row_key", "of_a", "of_b", "of_lengths", "n", "made", last]
+    found = arrow_map(packs.select("row_key", "a", "b", "lengths", "ids"), f"row_key long, of_a array<long>, of_b array<long>, of_lengths array<int>, n long, made binary, {last} {'long' if digest else 'binary'}", start)
+    right = F.expr("made = root and n = n_tokens and of_a = a and of_b = b and of_lengths = lengths")
+    checked = F.when(right, F.col("root")).otherwise(F.raise_error(F.lit(WRONG)).cast("binary"))
+    return recipes.join(found, "row_key", "left").select("doc_id", "start", "n_tokens", last, "part", checked.alias("root"))
+
+
 def _assembled(rows: DataFrame, digest: bool) -> DataFrame:
     """doc_id, start, n_tokens, ids (with digest, ids_crc32 in their place), part and root of rows with their pack and foreign chunks, all of it verified."""
 
@@ -465,10 +541,9 @@ def _assembled(rows: DataFrame, digest: bool) -> DataFrame:
                     leaves = [address(c) for c in chunks]
                     roots.append(merkle(leaves))
                     if b"".join(leaves) != np.stack([of_a, of_b], 1).tobytes() or roots[-1] != root or sum(map(len, chunks)) != n * WIDTH:
-                        raise ValueError("a document of the store doesn't match its recipe")
+                        raise ValueError(WRONG)
                     whole.append(b"".join(chunks))
-                last = pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in whole], pa.int64()) if digest else pa.array(whole, pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(7), last, part.column(10), pa.array(roots, pa.binary())], ["doc_id", "start", "n_tokens", name, "part", "root"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(7), _last(whole, digest), part.column(10), pa.array(roots, pa.binary())], ["doc_id", "start", "n_tokens", name, "part", "root"])
 
         return each
 
@@ -511,8 +586,9 @@ def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFr
     slices = scratch.table(_slices(packs.join(small(wanted, 1, rows * 48 + int(values) * 4), "row_key")), "slices")
     foreign = needs.join(slices.hint("merge"), ["a", "b"]).groupBy("row_key").agg(F.collect_list(F.struct("place", "chunk")).alias("foreign"))
     scratch.release()
-    met = recipes.join(packs.select("row_key", "ids").hint("merge"), "row_key", "left").join(foreign, "row_key", "left")
-    whole = scratch.table(_assembled(met, digest), "whole", compression="zstd")
+    alone = F.forall("own", lambda x: x)
+    met = recipes.where(~alone).join(packs.where("not whole").select("row_key", "ids").hint("merge"), "row_key", "left").join(foreign, "row_key", "left")
+    whole = scratch.table(_whole(recipes.where(alone), packs.where("whole"), digest).unionByName(_assembled(met, digest)), "whole", compression="zstd")
     _verify(whole, spark.read.parquet(f"{folder}/manifest"))
     return whole.drop("part", "root")
 
