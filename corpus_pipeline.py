@@ -54,4 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
         if place:
             scratch.drop(STAGES[place - 1][0])
+        scratch.release()
     return docs

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -72,6 +72,16 @@ class Scratch:
         df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def counted(self, df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+        """The table of df and how many of its rows are what (all by default), counted while they are written.
+
+        A count afterwards would be a query of its own, and each query costs the driver threads, broadcasts and what Spark keeps of it.
+        A task that is run again may be counted again, so the number is never too small and 0 only of none.
+        """
+        seen = Observation()
+        held = self.table(df.observe(seen, F.count(F.lit(1) if what is None else F.when(what, 1)).alias("n")), name)
+        return held, seen.get["n"]
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
@@ -79,7 +89,7 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
     def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished stages now, not at the next chance collection."""
+        """Lets Spark's cleaner remove the shuffle files and broadcasts of finished stages now, not at the next chance collection; the JVM's heap shrinks with it."""
         gc.collect()
         self.spark._jvm.System.gc()
 
@@ -177,7 +187,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Connected components of edges (a, b) of long ids: rows (node, root) for each node with an edge, root the smallest id of its component.
 
     Rounds of: link all smaller neighbours of a node to the smallest, then let each node skip to its parent's parent.
-    Each round is written to the shared folder; nothing is collected but counts. Loops and null ends are ignored. A giant component
+    Each round is written to the shared folder and counted on the way; nothing is collected but counts. Loops and null ends are ignored. A giant component
     has all its nodes below one root: only parents that have a parent themselves are looked up, so a root is in no join's key but
     where those are too many to broadcast, and there adaptive execution splits it.
     """
@@ -185,14 +195,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     state = scratch.table(ordered.distinct(), f"{name}-0")
     step = 0
     while True:
-        parents = scratch.table(state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-p{step}")
+        parents, wide = scratch.counted(state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-p{step}", F.col("n") > 1)
         above = parents.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        above = scratch.table(above.join(parents.select("m").distinct(), "m", "left_semi"), f"{name}-a{step}")
-        deep = above.count()
-        wide = parents.where("n > 1").count()
+        above, deep = scratch.counted(above.join(parents.select("m").distinct(), "m", "left_semi"), f"{name}-a{step}")
         if not deep and not wide:
             out = scratch.table(parents.select(F.col("u").alias("node"), F.col("m").alias("root")).union(parents.select("m", "m").distinct()), name)
             scratch.drop(f"{name}-{step}", f"{name}-p{step}", f"{name}-a{step}")
+            scratch.release()
             return out
         linked = state.join(parents.select("u", "m"), "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", "e.m").where("u <> m").distinct()
         jumped = linked.join(small(above, deep, 32), "m", "left").select("u", F.coalesce("mm", "m").alias("v")).where("u <> v").distinct()

@@ -245,9 +245,9 @@ def _by_pivots(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -
     # A pivot's members are dealt to bounded groups, and the pivot goes to each of them.
     members = chosen.join(stars, "pivot").select(F.col("pivot").alias("cluster"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("side"), "class")
     centres = stars.select(F.col("pivot").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("side"), F.col("pivot").alias("class"))
-    rows = scratch.table(members.unionByName(centres).withColumn("j", F.lit(-1)), name)
+    rows, n = scratch.counted(members.unionByName(centres).withColumn("j", F.lit(-1)), name)
     scratch.drop(f"{name}-chosen")
-    return verify(sets.select("class", "shingles").join(small(rows, rows.count(), 48), "class"))
+    return verify(sets.select("class", "shingles").join(small(rows, n, 48), "class"))
 
 
 def _by_blocks(hits: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -267,8 +267,8 @@ def _by_blocks(hits: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     rows = rows.withColumn("own", (F.col("low") + F.pmod(F.xxhash64("class"), F.col("parts"))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     same = (F.col("group") >= 0) & (F.col("other") >= F.col("low")) & (F.col("other") < F.col("low") + F.col("parts"))
     rows = rows.where(~same).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class")
-    rows = scratch.table(rows, "pairs")
-    return verify(sets.select("class", "shingles").join(small(rows, rows.count(), 48), "class"))
+    rows, n = scratch.counted(rows, "pairs")
+    return verify(sets.select("class", "shingles").join(small(rows, n, 48), "class"))
 
 
 def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -280,23 +280,23 @@ def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     keys = classes.select("class", F.explode("bands").alias("key"))
     met = keys.groupBy("key").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").drop("last")
-    met = scratch.table(met, "met")
-    hits = scratch.table(keys.join(small(met, met.count(), 40), "key"), "hits")
+    met, n = scratch.counted(met, "met")
+    hits = scratch.table(keys.join(small(met, n, 40), "key"), "hits")
     scratch.release()
-    wanted = scratch.table(hits.select("class").distinct().join(classes.select("class", "doc_id", "set_a", "set_b"), "class"), "wanted")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(small(wanted, wanted.count(), 80), "doc_id")
+    wanted, n = scratch.counted(hits.select("class").distinct().join(classes.select("class", "doc_id", "set_a", "set_b"), "class"), "wanted")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(small(wanted, n, 80), "doc_id")
     sets = scratch.table(shingle_sets(read), "sets")
     scratch.drop("met", "wanted")
 
-    found = scratch.table(_by_pivots(hits.where("class <> pivot").select("class", "pivot"), sets, scratch, "stars-0"), "links-0")
-    for step in (1, 2):
-        comps = components(found, scratch, f"comps-{step}").select(F.col("node").alias("class"), "root")
+    edges = scratch.table(_by_pivots(hits.where("class <> pivot").select("class", "pivot"), sets, scratch, "stars-0"), "links-0")
+    for step in (1, 2, 3):
+        comps = components(edges, scratch, f"comps-{step}").select(F.col("node").alias("class"), "root")
+        if step == 3:
+            break
         at = hits.select("key", "class").join(comps, "class", "left").select("key", "class", F.coalesce("root", "class").alias("comp"))
         at = scratch.table(at, f"at-{step}")
         ends = F.min(F.struct("comp", "class")).alias("low"), F.max(F.struct("comp", "class")).alias("high")
-        still = scratch.table(at.groupBy("key").agg(*ends).where("low.comp < high.comp"), f"open-{step}")
-        n = still.count()
-        scratch.drop(f"comps-{step}")
+        still, n = scratch.counted(at.groupBy("key").agg(*ends).where("low.comp < high.comp"), f"open-{step}")
         if not n:
             break
         if step == 1:
@@ -305,15 +305,16 @@ def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
             more = _by_pivots(pairs, sets, scratch, "stars-1")
         else:
             more = _by_blocks(at.join(small(still.select("key"), n, 24), "key", "left_semi"), sets, scratch)
-        found = found.union(scratch.table(more, f"links-{step}"))
-    roots = components(found, scratch, "roots").select(F.col("node").alias("class"), "root")
+        # What is connected already is a link to its root, so the next components start from stars.
+        edges = comps.select(F.col("class").alias("a"), F.col("root").alias("b")).union(scratch.table(more, f"links-{step}"))
+    roots = comps
 
     linked = classes.select("class", "set_a", "set_b", "doc_id", "copies").join(small(roots, roots.count(), 32), "class", "left")
     linked = scratch.table(linked.where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "class")), "linked")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    member = scratch.table(linked.join(least, "root").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "root", "component_id"), "member")
-    out = seen.select("doc_id", "text_id", "n_shingles", "set_a", "set_b").join(small(member, member.count(), 64), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & F.col("doc_id").isNotNull(), "left")
-    scratch.drop("classes", "hits", "sets", "at-1", "at-2", "open-1", "open-2", "links-0", "links-1", "links-2", "stars-0", "stars-1", "pairs", "chains", "placed", "sized", "linked", "roots")
+    member, n = scratch.counted(linked.join(least, "root").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "root", "component_id"), "member")
+    out = seen.select("doc_id", "text_id", "n_shingles", "set_a", "set_b").join(small(member, n, 64), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & F.col("doc_id").isNotNull(), "left")
+    scratch.drop("classes", "hits", "sets", "at-1", "at-2", "open-1", "open-2", "links-0", "links-1", "links-2", "stars-0", "stars-1", "pairs", "chains", "placed", "sized", "linked", "comps-1", "comps-2", "comps-3")
     scratch.release()
     return out.select("doc_id", "text_id", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -335,11 +336,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     found = scratch.table(grouped(docs, scratch).where("doc_id is not null").groupBy("doc_id", "text_id", "root", "component_id").agg(F.count("*").alias("n")), "found")
     kept = found.where("doc_id = component_id and root is not null").groupBy("root").agg(F.min("text_id").alias("least"))
     judged = found.join(kept, "root", "left").withColumn("gone", (F.col("doc_id") != F.col("component_id")) | F.coalesce(F.col("text_id") != F.col("least"), F.lit(False)))
-    judged = scratch.table(judged.where("gone or n > 1").select(F.col("doc_id").alias("id_"), F.col("text_id").alias("text_"), "gone"), "judged")
+    judged, n = scratch.counted(judged.where("gone or n > 1").select(F.col("doc_id").alias("id_"), F.col("text_id").alias("text_"), "gone"), "judged", F.col("gone"))
     scratch.drop("seen", "member", "found")
     same = (F.col("doc_id").cast("long") == F.col("id_")) & (text_id() == F.col("text_"))
     gone, twice = judged.where("gone").drop("gone"), judged.where("not gone").drop("gone")
-    left = docs.join(small(gone, gone.count(), 40), same, "left_anti")
+    left = docs.join(small(gone, n, 40), same, "left_anti")
     n = twice.count()
     if not n:
         return left

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import MEMO_WORDS, arrow_map, held_out, texts
+from mnemo.llm.common import MEMO_WORDS, arrow_map, held_out, texts, trim
 
 THRESHOLD = 0.3
 _END, _REPEAT = 0, 1
@@ -75,7 +75,7 @@ def document(words: list[bytes], memo: dict[bytes, np.ndarray], p: Params) -> tu
         weights.append(np.full(len(f), n / tokens / len(f)))
     every, each = np.concatenate(found), np.concatenate(weights)
     unique, inverse = np.unique(every, return_inverse=True)
-    return unique, np.bincount(inverse, each)
+    return unique.astype(np.int32), np.bincount(inverse, each)
 
 
 def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> np.ndarray:
@@ -111,6 +111,13 @@ def train(examples: list[tuple[bytes, int]], p: Params = Params()) -> np.ndarray
     return (vectors @ (layer[1] - layer[0])).astype(np.float32)
 
 
+def learned(docs: DataFrame, labels: DataFrame, p: Params) -> np.ndarray:
+    """The model of the labelled documents; what learning held of the driver's memory is given back, as the driver goes on for long."""
+    model = train(sample(docs, labels, "quality", p.max_docs, p.max_chars), p)
+    trim()
+    return model
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_chars: int) -> list[tuple[bytes, int]]:
     """Labelled texts for a learner, never of held-out documents: the first max_docs in the order of a hash of doc_id, as far as max_chars go."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -179,7 +186,7 @@ def score_documents(docs: DataFrame, model: np.ndarray, p: Params = Params()) ->
 
 def classify(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, by a model learned from the labels of documents that aren't held out."""
-    model = train(sample(docs, labels, "quality", p.max_docs, p.max_chars), p)
+    model = learned(docs, labels, p)
     return score_documents(docs, model, p).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -188,7 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshol
 
     The verdict is computed beside the row, in the same pass: no join by doc_id, so repeated ids keep their own verdicts.
     """
-    model = train(sample(docs, labels, "quality", p.max_docs, p.max_chars), p)
+    model = learned(docs, labels, p)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cut = np.log(threshold / (1 - threshold))
 
