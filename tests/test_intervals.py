@@ -74,3 +74,41 @@ def test_many_probes_of_many_rows_are_no_pairs(spark):
     probes = spark.range(40_000).selectExpr("id as probe_id", "'t' as container_tag", "1000 + id % 700 as t")
     found = intervals.known_at_many(df, probes).agg(F.count("*"), F.min("known"), F.max("known"), F.min("oldest"), F.max("newest")).first()
     assert tuple(found) == (40_000, 40_000, 40_000, 0, 499)
+
+
+@pytest.mark.parametrize("limit,step", [(1, 1), (3, 1), (3, 60), (7, 60)])
+def test_newest_are_the_first_of_the_meetings(spark, limit, step):
+    rng = random.Random(limit + step)
+    at = lambda: rng.choice([None, *(rng.randint(-50, 3000) for _ in range(5))])
+    rows = [(f"m{k}", rng.choice(["t", "t", "u", None, "v"]), s, None if rng.random() < 0.2 else s + rng.choice([0, 5, 400, 3000]), at() if rng.random() < 0.2 else None, None) for k in range(900) for s in [rng.randint(-90, 3000) // 30 * 30]]
+    rows += [(f"h{k:04}", "v", 700, rng.choice([900, 1000 + k, None]), None, False) for k in range(600)]  # one moment
+    probes = [(k % 120, rng.choice(["t", "u", "v", "w"]), rng.randint(-90, 3100) // step * step) for k in range(160)]  # some ids twice
+    df, asked = spark.createDataFrame(rows, FACTS), spark.createDataFrame(probes, "probe_id int, container_tag string, t long")
+    met = {}
+    for r in sorted(intervals.as_of_many(df, asked, None).collect(), key=lambda r: (-r.learned_at, r.id)):
+        met.setdefault(r.probe_id, []).append((r.t, r.id, r.learned_at))
+    found = intervals.as_of_many(df, asked, limit, ["learned_at"])
+    assert set(found.columns) == {"probe_id", "t", "id", "learned_at", "rank"}
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.probe_id, r.rank)):
+        got.setdefault(r.probe_id, []).append((r.rank, r.id, r.learned_at))
+    assert got == {k: [(rank, i, at) for rank, (_, i, at) in enumerate(x[:limit], 1)] for k, x in met.items()} and len(got) > 60
+
+
+def _most_rows(plan):
+    """The most rows that a step of an executed plan made."""
+    name, made = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+    children = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([made.get().value() if made.isDefined() else 0, *map(_most_rows, children)])
+
+
+@pytest.mark.parametrize("ended", [True, False])
+def test_newest_of_many_probes_of_many_rows_are_no_pairs(spark, ended):
+    """3,000 rows that 3,000 probes all meet: 9,000,000 meetings."""
+    end = "3000 + id" if ended else "cast(null as long)"
+    df = spark.range(3_000).selectExpr("id", "'t' as container_tag", "id % 500 as learned_at", f"{end} as superseded_at", "cast(null as long) as valid_until", "false as needs_review")
+    probes = spark.range(3_000).selectExpr("id as probe_id", "'t' as container_tag", "500 + id % 2500 as t")
+    found = intervals.as_of_many(df, probes, 2)
+    rows = found.collect()
+    assert sorted((r.probe_id, r.rank, r.id) for r in rows) == [(p, k, (499, 999)[k - 1]) for p in range(3_000) for k in (1, 2)]
+    assert _most_rows(found._jdf.queryExecution().executedPlan()) < 150_000
